@@ -1,0 +1,60 @@
+"""Small sequential oracles, written from the operator definitions."""
+
+from __future__ import annotations
+
+import math
+
+R = 6371.0088
+
+
+def arc(a, b):
+    p1, p2 = math.radians(a["lat"]), math.radians(b["lat"])
+    s = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(
+        math.radians(b["lon"] - a["lon"]) / 2
+    ) ** 2
+    return 2 * R * math.asin(math.sqrt(min(1.0, s)))
+
+
+def duplicate_groups(rows, seconds=90, km=35, dm=0.6):
+    """rows: dicts id, t (s), lat, lon, mag -> set of frozensets of ids."""
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(rows):
+        for j in range(i):
+            b = rows[j]
+            if abs(a["t"] - b["t"]) > seconds or arc(a, b) > km:
+                continue
+            if a["mag"] is None or b["mag"] is None or abs(a["mag"] - b["mag"]) <= dm:
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, a in enumerate(rows):
+        groups.setdefault(find(i), set()).add(a["id"])
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def greedy_clusters(rows, minimum=3.0):
+    """rows: dicts id, t (s), lat, lon, mag -> {id: (role, main id or None)}."""
+    claimed, role = {}, {r["id"]: ("background", None) for r in rows}
+    for c in sorted(rows, key=lambda r: (-r["mag"], r["t"], r["id"])):
+        if c["mag"] < minimum or c["id"] in claimed:
+            continue
+        radius = min(max(10 ** (0.5 * c["mag"] - 0.75), 12), 180)
+        days = min(max(10 ** (0.8 * c["mag"] - 1.2), 1), 365)
+        hits = [
+            e for e in rows
+            if 0 < (e["t"] - c["t"]) / 86400 <= days and e["mag"] <= c["mag"]
+            and e["id"] not in claimed and arc(c, e) <= radius
+        ]
+        if not hits:
+            continue
+        claimed[c["id"]] = c["id"]
+        role[c["id"]] = ("mainshock", c["id"])
+        for e in hits:
+            claimed[e["id"]] = c["id"]
+            role[e["id"]] = ("associated_event", c["id"])
+    return role
