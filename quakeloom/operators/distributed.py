@@ -185,8 +185,8 @@ def prior_not_greater(
         (F.row_number().over(by_key.orderBy(order)) - 1).cast("long").alias("_r"),
         F.count(F.lit(1)).over(by_key).alias("_n"),
     )
-    level = F.expr("explode(sequence(0, 40))").alias("_l")
-    spread = numbered.select("*", level).filter("shiftleft(1L, _l) < _n").select(
+    level = F.expr("explode(sequence(0, cast(floor(log2(_n)) as int)))").alias("_l")
+    spread = numbered.select("*", level).select(
         *keys, "_o", "_v", "_l", F.expr("shiftright(_r, _l)").alias("_block")
     )
     spread = spread.withColumn("_asks", F.col("_block") % 2)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -47,10 +49,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def staged(frame: DataFrame) -> DataFrame:
-    """Materialise on reliable storage, so that lineage is cut and lost
-    executors cost a re-read instead of a recompute."""
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Materialise as a table in the shared checkpoint folder.
+
+    Lineage is cut there, so a lost executor costs a re-read, not a recompute,
+    and the planner sees the real size of the table when it picks a join.
+    """
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark)}/quakeloom/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def spread_evenly(frame: DataFrame, *keys: str) -> DataFrame:
+    """Use every shuffle partition before a step that multiplies rows; the
+    adaptive planner would fold a small table into one task."""
+    count = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(count, *keys)
 
 
 def with_row_key(frame: DataFrame, name: str = "_row") -> DataFrame:
