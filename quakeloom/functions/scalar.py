@@ -89,18 +89,13 @@ def to_bool(column: Column) -> Column:
     return F.when(token.isin(*TRUE_TOKENS), True).when(token.isin(*FALSE_TOKENS), False)
 
 
-ISO_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S][XXX]",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S][XXX]",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-)
-MONTH_FIRST_FORMATS = ("M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy", "M-d-yyyy HH:mm:ss")
-DAY_FIRST_FORMATS = (
-    "d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy",
-    "d-M-yyyy HH:mm:ss", "d-M-yyyy HH:mm", "d-M-yyyy",
+# ISO texts go through a plain cast; these are tried after it, in order.
+DATE_FORMATS = (
+    "yyyy/M/d[ HH:mm[:ss]]",
+    "M/d/yyyy[ HH:mm[:ss]]",
+    "M-d-yyyy[ HH:mm[:ss]]",
+    "d/M/yyyy[ HH:mm[:ss]]",
+    "d-M-yyyy[ HH:mm[:ss]]",
 )
 
 
@@ -109,9 +104,8 @@ def parse_datetime(value: Column, date: Column | None = None, time: Column | Non
 
     def parsed(text: Column) -> Column:
         text = F.trim(text.cast("string"))
-        formats = ISO_FORMATS + MONTH_FIRST_FORMATS + DAY_FIRST_FORMATS
         return F.coalesce(
-            text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in formats]
+            text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
         )
 
     result = parsed(value)
