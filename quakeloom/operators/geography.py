@@ -68,36 +68,46 @@ def ring_distance(ring: Ring, x: Column, y: Column) -> Column:
     return F.least(*distances)
 
 
-def classify(lat: Column, lon: Column, regions: Sequence[Region] = REGIONS) -> Column:
-    """struct(name, confidence) of a point."""
-    inside = [covers(ring, lon, lat) for _, ring in regions]
-    hits = sum((i.cast("int") for i in inside), F.lit(0))
+def with_region(
+    frame: DataFrame, regions: Sequence[Region] = REGIONS, lat: str = "latitude", lon: str = "longitude"
+) -> DataFrame:
+    """Add ``_region`` struct(name, confidence) for each point.
+
+    Cover tests and distances are columns of their own first, so that the rule
+    chain refers to them and does not repeat them.
+    """
+    y, x = F.col(lat), F.col(lon)
+    count = len(regions)
+    tested = frame.select(
+        "*",
+        *[covers(ring, x, y).alias(f"_in{i}") for i, (_, ring) in enumerate(regions)],
+        *[ring_distance(ring, x, y).alias(f"_d{i}") for i, (_, ring) in enumerate(regions)],
+    )
+    hits = sum((F.col(f"_in{i}").cast("int") for i in range(count)), F.lit(0))
+    nearest = F.array_min(F.array(*[F.col(f"_d{i}") for i in range(count)]))
 
     def answer(name: str, kind: str) -> Column:
         return F.struct(
             F.lit(name).alias("name"), F.lit(REGION_CONFIDENCE[kind]).alias("confidence")
         )
 
-    chain = F.when(lat.isNull() | lon.isNull(), answer(UNCLASSIFIED_REGION, "missing"))
+    chain = F.when(y.isNull() | x.isNull(), answer(UNCLASSIFIED_REGION, "missing"))
     # sorted() is stable, so equal areas keep the configured order
-    for i in sorted(range(len(regions)), key=lambda k: planar_area(regions[k][1])):
-        chain = chain.when(inside[i] & (hits == 1), answer(regions[i][0], "single"))
-        chain = chain.when(inside[i], answer(regions[i][0], "overlap"))
-    distances = [ring_distance(ring, lon, lat) for _, ring in regions]
-    nearest = F.least(*distances) if len(distances) > 1 else distances[0]
-    for (name, _), distance in zip(regions, distances):
-        chain = chain.when(
-            (distance == nearest) & (distance <= NEAR_REGION_DEGREES), answer(name, "near")
-        )
-    return chain.otherwise(answer(OUTSIDE_REGION, "outside"))
+    for i in sorted(range(count), key=lambda k: planar_area(regions[k][1])):
+        inside = F.col(f"_in{i}")
+        chain = chain.when(inside & (F.col("_hits") == 1), answer(regions[i][0], "single"))
+        chain = chain.when(inside, answer(regions[i][0], "overlap"))
+    for i, (name, _) in enumerate(regions):
+        near = (F.col(f"_d{i}") == F.col("_near")) & (F.col("_near") <= NEAR_REGION_DEGREES)
+        chain = chain.when(near, answer(name, "near"))
+    return tested.select("*", hits.alias("_hits"), nearest.alias("_near")).select(
+        *frame.columns, chain.otherwise(answer(OUTSIDE_REGION, "outside")).alias("_region")
+    )
 
 
 def classify_events(frame: DataFrame, regions: Sequence[Region] = REGIONS) -> DataFrame:
-    found = classify(F.col("latitude"), F.col("longitude"), regions)
     return conform(
-        conform(frame)
-        .withColumn("_region", found)
-        .withColumns(
+        with_region(conform(frame), regions).withColumns(
             {
                 "tectonic_domain": F.col("_region.name"),
                 "domain_confidence": F.col("_region.confidence"),

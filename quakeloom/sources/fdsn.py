@@ -185,11 +185,19 @@ def month_chunks(spark: SparkSession, start: str, end: str, months: int) -> Data
     first = limits.first()
     if first["start"] >= first["end"]:
         raise ValueError("the start must precede the effective end")
+    return split_ranges(limits, months)
+
+
+def split_ranges(ranges: DataFrame, months: int) -> DataFrame:
+    """Split each (start, end) row into half-open chunks of ``months`` months."""
+    others = [c for c in ranges.columns if c not in ("start", "end")]
     step = F.expr(f"interval {int(months)} months")
-    starts = limits.select(
-        "end", F.explode(F.sequence("start", "end", step)).alias("chunk_start")
+    starts = ranges.select(
+        *others, "end", F.explode(F.sequence("start", "end", step)).alias("chunk_start")
     ).filter("chunk_start < end")
-    return starts.select("chunk_start", F.least(F.col("chunk_start") + step, "end").alias("chunk_end"))
+    return starts.select(
+        *others, "chunk_start", F.least(F.col("chunk_start") + step, "end").alias("chunk_end")
+    )
 
 
 def chunk_progress(chunks: DataFrame, completed: DataFrame) -> DataFrame:
