@@ -14,12 +14,13 @@ EVENT_COLUMNS = [name for name, _ in EVENT_FIELDS]
 EVENT_SCHEMA = ", ".join(f"{n} {t}" for n, t in EVENT_FIELDS)
 
 
-def finite(column: Column) -> Column:
-    """NaN and infinities to NULL."""
-    return F.when(F.abs(column) < float("inf"), column)
+# Column metadata that says a value already went through `conform`, so that a
+# chain of operators does not nest the same checks again and again.
+CONFORMED = {"conformed": True}
 
 
 def plausible(column: Column, name: str) -> Column:
+    """NULL outside the inclusive bounds; NaN and infinities are outside too."""
     low, high = PLAUSIBLE_RANGE[name]
     return F.when(column.between(low, high), column)
 
@@ -32,29 +33,36 @@ def conform(frame: DataFrame, id_column: str = "event_id") -> DataFrame:
     """
     if id_column != "event_id" and id_column in frame.columns:
         frame = frame.withColumnRenamed(id_column, "event_id")
-    types = dict(frame.dtypes)
+    given = {f.name: f for f in frame.schema.fields}
+    done = {
+        name for name, kind in EVENT_FIELDS
+        if name in given and given[name].metadata.get("conformed")
+        and given[name].dataType.simpleString() == kind
+    }
     out: dict[str, Column] = {}
     for name, kind in EVENT_FIELDS:
-        if name not in types:
+        if name not in given:
             out[name] = F.lit(None).cast(kind)
             continue
         value = F.col(name)
-        if kind == "double":
-            value = finite(value if types[name] == "double" else value.try_cast("double"))
+        if name not in done:
+            if given[name].dataType.simpleString() != kind:
+                value = value.try_cast(kind)
             if name in PLAUSIBLE_RANGE:
                 value = plausible(value, name)
-        elif types[name] != kind:
-            value = value.try_cast(kind)
         out[name] = value
-    out["is_preferred_record"] = F.coalesce(out["is_preferred_record"], F.lit(True))
-    out["is_background_event"] = F.coalesce(out["is_background_event"], F.lit(False))
-    out["magnitude_original_value"] = F.coalesce(
-        out["magnitude_original_value"], out["magnitude_value"]
+    defaults = {
+        "is_preferred_record": F.lit(True),
+        "is_background_event": F.lit(False),
+        "magnitude_original_value": out["magnitude_value"],
+        "magnitude_original_type": out["magnitude_type"],
+    }
+    for name, default in defaults.items():
+        if name not in done:
+            out[name] = F.coalesce(out[name], default)
+    return frame.select(
+        [out[c] if c in done else out[c].alias(c, metadata=CONFORMED) for c in EVENT_COLUMNS]
     )
-    out["magnitude_original_type"] = F.coalesce(
-        out["magnitude_original_type"], out["magnitude_type"]
-    )
-    return frame.select([out[name].alias(name) for name in EVENT_COLUMNS])
 
 
 def empty_events(spark: SparkSession) -> DataFrame:
