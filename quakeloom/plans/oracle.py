@@ -122,7 +122,7 @@ FEATURE_LIST = """dom AS tectonic_domain, w AS window_days, ws::VARCHAR AS windo
  epoch AS comparison_epoch, thr AS comparison_magnitude_threshold, epoch_mc AS epoch_catalogue_mc,
  epoch_n::BIGINT AS epoch_event_count, n::BIGINT AS event_count, round(rate,6) AS event_rate_per_30d,
  cn::BIGINT AS comparable_event_count, round(crate,6) AS comparable_event_rate_per_30d,
- mx AS maximum_magnitude, round(mean_m,6) AS mean_magnitude, med_depth AS median_depth_km,
+ mx AS maximum_magnitude, round(mean_m,9) AS mean_magnitude, med_depth AS median_depth_km,
  round(sd_depth,6) AS depth_std_km, round(disp,6) AS spatial_dispersion_km, round(energy,6) AS log10_total_energy_j,
  round(since,6) AS days_since_previous_m3, mc AS catalogue_completeness_mc, round(quality,6) AS data_quality_score,
  round(mag_cov,6) AS magnitude_coverage_ratio, round(depth_cov,6) AS depth_coverage_ratio,

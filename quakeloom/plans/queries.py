@@ -358,8 +358,10 @@ def window_counts(spark, sf):
 
 @query
 def window_features_full(spark, sf):
-    return rounded(
-        one(spark, sf).drop("catalogue_mode", "magnitude_policy", "comparison_epoch_label")
+    made = one(spark, sf).drop("catalogue_mode", "magnitude_policy", "comparison_epoch_label")
+    # means of one-decimal magnitudes often end in 5 at the seventh decimal
+    return rounded(made.withColumn("mean_magnitude", F.round("mean_magnitude", 9).cast("decimal(12,9)"))).withColumn(
+        "mean_magnitude", F.col("mean_magnitude").cast("double")
     )
 
 
