@@ -14,7 +14,7 @@ cat AS (
     floor(o_totalprice/10000)/10e0 AS mag,
     36 + (o_custkey % 400)/100e0 AS lat, -12 + (o_orderkey % 500)/100e0 AS lon,
     CASE WHEN o_orderkey % 11 <> 0 THEN (o_custkey % 60)::DOUBLE END AS depth,
-    (o_orderkey % 64)/64e0 AS q,
+    (o_orderkey % 4)/4e0 AS q,
     CASE WHEN o_orderkey % 3 = 0 THEN 'Mw' WHEN o_orderkey % 3 = 1 THEN 'ML' END AS mtype,
     CASE WHEN o_orderkey % 3 = 0 THEN 'reviewed_identity' WHEN o_orderkey % 3 = 1 THEN 'review_required'
       ELSE 'unknown_scale' END AS mstatus,
@@ -30,7 +30,7 @@ cat AS (
     CASE WHEN event_id % 17 <> 0 THEN floor(value)/100e0 END AS mag,
     36 + (user_id % 40)/10e0 AS lat, -12 + (user_id % 50)/10e0 AS lon,
     CASE WHEN event_id % 11 <> 0 THEN (user_id % 60)::DOUBLE END AS depth,
-    (event_id % 64)/64e0 AS q,
+    (event_id % 4)/4e0 AS q,
     CASE WHEN event_id % 3 = 0 THEN 'Mw' WHEN event_id % 3 = 1 THEN 'ML' END AS mtype,
     CASE WHEN event_id % 2 = 0 THEN 'reviewed' ELSE 'preliminary' END AS rstatus
   FROM events)
@@ -124,7 +124,7 @@ FEATURE_LIST = """dom AS tectonic_domain, w AS window_days, ws::VARCHAR AS windo
  cn::BIGINT AS comparable_event_count, round(crate,6) AS comparable_event_rate_per_30d,
  mx AS maximum_magnitude, round(mean_m,9) AS mean_magnitude, med_depth AS median_depth_km,
  round(sd_depth,6) AS depth_std_km, round(disp,6) AS spatial_dispersion_km, round(energy,6) AS log10_total_energy_j,
- round(since,6) AS days_since_previous_m3, mc AS catalogue_completeness_mc, round(quality,6) AS data_quality_score,
+ round(since,6) AS days_since_previous_m3, mc AS catalogue_completeness_mc, round(quality,9) AS data_quality_score,
  round(mag_cov,6) AS magnitude_coverage_ratio, round(depth_cov,6) AS depth_coverage_ratio,
  round(loc_cov,6) AS location_coverage_ratio, round(s_ipma,6) AS source_share_ipma, round(s_isc,6) AS source_share_isc,
  round(s_ahead,6) AS source_share_ahead, round(abs(s_other),6) AS source_share_other,

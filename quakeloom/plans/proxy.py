@@ -54,7 +54,7 @@ def orders_catalogue(spark: SparkSession, folder: str) -> DataFrame:
             "magnitude_conversion_uncertainty": (key % 7) / F.lit(20.0),
             "location_text": F.col("o_orderpriority"),
             "tectonic_domain": F.col("o_orderpriority"),
-            "quality_score": (key % 64) / F.lit(64.0),
+            "quality_score": (key % 4) / F.lit(4.0),
             "record_status": F.when(key % 2 == 0, "reviewed").otherwise("preliminary"),
             "is_preferred_record": key % 13 != 0,
             "is_background_event": key % 5 != 0,
@@ -83,7 +83,7 @@ def stream_catalogue(spark: SparkSession, folder: str) -> DataFrame:
             "magnitude_original_type": F.when(ident % 3 == 0, "Mw").when(ident % 3 == 1, "ML"),
             "location_text": F.col("event_type"),
             "tectonic_domain": F.col("event_type"),
-            "quality_score": (ident % 64) / F.lit(64.0),
+            "quality_score": (ident % 4) / F.lit(4.0),
             "record_status": F.when(ident % 2 == 0, "reviewed").otherwise("preliminary"),
         },
     )

@@ -359,10 +359,10 @@ def window_counts(spark, sf):
 @query
 def window_features_full(spark, sf):
     made = one(spark, sf).drop("catalogue_mode", "magnitude_policy", "comparison_epoch_label")
-    # means of one-decimal magnitudes often end in 5 at the seventh decimal
-    return rounded(made.withColumn("mean_magnitude", F.round("mean_magnitude", 9).cast("decimal(12,9)"))).withColumn(
-        "mean_magnitude", F.col("mean_magnitude").cast("double")
-    )
+    # these means often end in 5 at the seventh decimal: compare nine
+    fine = ["mean_magnitude", "data_quality_score"]
+    kept = made.withColumns({c: F.round(c, 9).cast("decimal(12,9)") for c in fine})
+    return rounded(kept).withColumns({c: F.col(c).cast("double") for c in fine})
 
 
 @query

@@ -206,7 +206,7 @@ def test_guard(spark):
 def test_stream_appends_each_event_once(spark, raw_zone, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for _ in range(2):
-        ingest.start(spark, raw_zone, out, state, "1000000 days").awaitTermination()
+        ingest.start(spark, raw_zone, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 7
 
 
