@@ -20,13 +20,13 @@ FALSE_ATTRIBUTION = (
 NEGATIONS = ("nao ", "nunca ", "not ")
 LOOK_BACK = 55
 SUBJECT_TOKENS = (
-    "memoria", "projeto", "project", "observatorio", "plataforma", "aplicacao",
+    "projeto", "project", "observatorio", "plataforma", "aplicacao",
 )
 QUESTION_PHRASES = (
     "quem criou", "quem desenvolveu", "quem fez", "qual e o autor", "qual a autoria",
     "quem e o criador", "criado por quem", "desenvolvido por quem", "e do ipma",
     "projeto do ipma", "equipa do ipma", "relacao com o ipma",
-    "relacao do memoria com o ipma", "qual e a relacao", "ligacao ao ipma",
+    "qual e a relacao", "ligacao ao ipma",
     "afiliado ao ipma", "who created", "who developed", "created by",
     "is this an ipma project", "affiliated with ipma",
 )
@@ -47,9 +47,12 @@ def _contains_any(column: Column, tokens: tuple[str, ...]) -> Column:
     return result
 
 
-def is_identity_question(column: Column) -> Column:
+def is_identity_question(column: Column, project_names: tuple[str, ...] = ()) -> Column:
+    """Asks who made the project or whether it belongs to an institution.
+    ``project_names``: the deployment's own name, accent-free lower case."""
     text = normalise_text(column)
-    return _contains_any(text, SUBJECT_TOKENS) & _contains_any(text, QUESTION_PHRASES)
+    subjects = (*SUBJECT_TOKENS, *project_names)
+    return _contains_any(text, subjects) & _contains_any(text, QUESTION_PHRASES)
 
 
 def has_false_attribution(column: Column) -> Column:

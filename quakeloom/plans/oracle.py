@@ -511,12 +511,12 @@ SELECT round(la, 6) AS center_latitude, round(lo, 6) AS center_longitude,
 WITH {ORDERS} SELECT dom AS tectonic_domain, count(*)::BIGINT AS event_count, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day, max(mag) AS maximum_magnitude,
   round(median(mag), 6) AS median_magnitude, median(depth) AS median_depth_km, count(*) FILTER (source = 'IPMA')::BIGINT AS from_ipma FROM cat GROUP BY 1"""
     norm = "trim(regexp_replace(translate(lower(t), 'áàâãäåéèêëíìîïóòôõöúùûüýÿçñ', 'aaaaaaeeeeiiiiooooouuuuyycn'), '\\s+', ' ', 'g'))"
-    subject = " OR ".join(f"contains(n, '{s}')" for s in ("memoria", "projeto", "project", "observatorio", "plataforma", "aplicacao"))
+    subject = " OR ".join(f"contains(n, '{s}')" for s in ("projeto", "project", "observatorio", "plataforma", "aplicacao"))
     phrases = " OR ".join(
         f"contains(n, '{s}')" for s in (
             "quem criou", "quem desenvolveu", "quem fez", "qual e o autor", "qual a autoria", "quem e o criador",
             "criado por quem", "desenvolvido por quem", "e do ipma", "projeto do ipma", "equipa do ipma",
-            "relacao com o ipma", "relacao do memoria com o ipma", "qual e a relacao", "ligacao ao ipma",
+            "relacao com o ipma", "qual e a relacao", "ligacao ao ipma",
             "afiliado ao ipma", "who created", "who developed", "created by", "is this an ipma project",
             "affiliated with ipma"))
     out["text_normalisation"] = f"""
