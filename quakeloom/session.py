@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Functions of ``mapInArrow`` and its kin are pickled by reference, so a
+    worker must be able to import their module wherever the driver started.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quakeloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quakeloom-ship-")) / "quakeloom.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(package.rglob("*.py")):
+            target.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._quakeloom_shipped = True
+
+
 def staged(frame: DataFrame) -> DataFrame:
     """Materialise as a table in the shared checkpoint folder.
 
