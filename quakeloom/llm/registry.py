@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeloom.llm.histogram_shards import op1_histogram_shards
+from quakeloom.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
+    "op2_token_files": op2_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
