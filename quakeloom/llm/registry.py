@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quakeloom.llm import repeats
 from quakeloom.llm.histogram_shards import op1_histogram_shards
+from quakeloom.llm.repeats import op3_repeats
 from quakeloom.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_token_files": op2_token_files,
+    "op3_repeats": op3_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_repeats": repeats.ORACLE_SQL,
+}

@@ -156,23 +156,56 @@ def _encode_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]
     return out, lengths
 
 
+class _Known:
+    """Pieces that this worker has encoded: at most about ``limit``, then it starts anew."""
+
+    limit = 1 << 20
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces = pa.array([], pa.string())
+        self.ids, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece is among the known ones, after adding those that are new."""
+        if len(self.pieces) > self.limit:
+            self.clear()
+        place = pc.index_in(pieces, value_set=self.pieces)
+        fresh = pc.is_null(place)
+        new = pieces.filter(fresh)
+        ids, lengths = _encode_pieces(new, self.path)
+        out = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[fresh.to_numpy(zero_copy_only=False)] = len(self.pieces) + np.arange(len(new))
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        self.ids = np.concatenate([self.ids, ids])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        return out
+
+
+_known = cache(_Known)
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and how many each has.
 
     A text is cut before each space that a visible character follows, where a
     byte-level pre-token always begins; each different piece is encoded once.
     """
-    texts = texts.fill_null("")
+    texts = texts.fill_null("").cast(pa.string())
     marked = pc.match_substring(texts, CUT)
     cut = pc.if_else(marked, texts, pc.replace_substring_regex(texts, f" ([^{WHITE}])", CUT + r" \1"))
     pieces = pc.split_pattern(cut, CUT)
     if pc.any(marked).as_py():  # a text with the mark itself stays whole
         whole = marked.to_pylist()
         kept = zip(texts.to_pylist(), whole, pieces.to_pylist(), strict=True)
-        pieces = pa.array([[t] if w else p for t, w, p in kept], pa.list_(texts.type))
+        pieces = pa.array([[t] if w else p for t, w, p in kept], pa.list_(pa.string()))
     coded = pieces.flatten().dictionary_encode()
-    flat, lengths = _encode_pieces(coded.dictionary, path)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
+    known = _known(path)
+    codes = known.places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    flat, lengths = known.ids, known.lengths
     each = lengths[codes]
     ends = np.concatenate(([0], np.cumsum(each)))
     starts = (np.cumsum(lengths) - lengths)[codes]
@@ -283,11 +316,12 @@ def write_token_files(
     """Encode (doc_id, text) in ``order`` and write the files to ``path``.
 
     ``tokenizer`` is a file's path or the name of a public one. A null text is
-    an empty one. ``order`` should be total; equal keys go to one part.
+    an empty one. Rows of equal keys go to one part, in the order of their
+    texts. Spark samples the keys of ``order``, so keep them short.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     segments = map_arrow(ordered, _encoder(tokenizer, end_id, segment_ids), SEGMENT)
     segments.write.mode("overwrite").parquet(path)
 
@@ -324,4 +358,4 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty table gives an empty result.
     """
     docs = documents(spark, sf_dir)
-    return token_table(docs, [F.col("doc_id"), F.xxhash64("text"), F.col("text")])
+    return token_table(docs, [F.col("doc_id"), F.xxhash64("text")])
