@@ -10,11 +10,13 @@ from quakeloom.llm import repeats
 from quakeloom.llm.histogram_shards import op1_histogram_shards
 from quakeloom.llm.repeats import op3_repeats
 from quakeloom.llm.token_files import op2_token_files
+from quakeloom.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_token_files": op2_token_files,
     "op3_repeats": op3_repeats,
+    "op4_toxicity": op4_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
