@@ -29,6 +29,8 @@ from quakeloom.session import staged
 KEY_BITS = 128
 HALF = 1 << 63
 LONG = 1 << 64
+#: Stands for a missing key; sorts first.
+NO_KEY = -HALF
 
 
 @dataclass(frozen=True)
@@ -206,7 +208,7 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
         F.xxhash64("text").alias("_first"),
-        F.coalesce("doc_id", F.lit(-HALF)).alias("_second"),
+        F.coalesce("doc_id", F.lit(NO_KEY)).alias("_second"),
     )
     sharded = shard_by_bytes(staged(keyed), "_first", "_second", "size", ties=("size", "text_crc32"))
     return sharded.select(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeloom.llm import repeats
+from quakeloom.llm.bottom_k import op6_bottom_k
 from quakeloom.llm.histogram_shards import op1_histogram_shards
 from quakeloom.llm.repeats import op3_repeats
 from quakeloom.llm.token_files import op2_token_files
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_repeats": op3_repeats,
     "op4_toxicity": op4_toxicity,
+    "op6_bottom_k": op6_bottom_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
