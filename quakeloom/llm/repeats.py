@@ -39,7 +39,9 @@ from quakeloom.session import ship_package
 
 NO_ID = -(1 << 63)
 ANCHOR = 4
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
+#: Buckets' worth of hashes that one group of the dealt ones has.
+BUCKETS_A_GROUP = 8
 
 
 @dataclass
@@ -100,17 +102,29 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Is each value other than the one before?"""
+    flags = np.ones(len(ordered), bool)
+    flags[1:] = ordered[1:] != ordered[:-1]
+    return flags
+
+
 def _first_owner(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different values, the least owner of each, and each row's place among them."""
-    different, place = np.unique(values, return_inverse=True)
-    first = np.full(len(different), np.iinfo(np.int64).max)
-    np.minimum.at(first, place, owners)
-    return different, first, place
+    order = np.argsort(values)
+    ordered = values[order]
+    new = _new(ordered)
+    begins = np.flatnonzero(new)
+    first = np.minimum.reduceat(owners[order], begins) if len(begins) else owners[:0]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[begins], first, place
 
 
 def _send_anchors(length: int, groups: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _dealt(key[0].as_py(), groups, np.unique(_bucket(table, length).anchors))
+        anchors = np.sort(_bucket(table, length).anchors)
+        return _dealt(key[0].as_py(), groups, anchors[_new(anchors)])
 
     return run
 
@@ -128,8 +142,11 @@ def _returned(table: pa.Table, keep: np.ndarray) -> pa.Table:
 
 def _shared_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     hashes = np.asarray(pc.list_flatten(table.column("hashes")))
-    _, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    return _returned(table, counts[place] > 1)
+    order = np.argsort(hashes)
+    new = _new(hashes[order])
+    several = np.empty(len(hashes), bool)
+    several[order] = ~(new & np.append(new[1:], True))
+    return _returned(table, several)
 
 
 def _send_windows(length: int, groups: int):
@@ -193,8 +210,9 @@ def remove_repeats(docs: DataFrame, length: int = 13, bucket_bytes: int = BUCKET
     """
     ship_package(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(1, -(-total // bucket_bytes))
-    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("bucket"))
+    buckets = max(1, -(-total // bucket_bytes))
+    groups = -(-buckets // BUCKETS_A_GROUP)
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"))
     by_bucket = placed.groupBy("bucket")
     back = "bucket long, hashes array<long>"
     shared = (

@@ -28,7 +28,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for positions below ``length``."""
     if not _powers or len(_powers["up"]) < length:
-        size = max(1 << 20, 1 << int(length).bit_length())
+        size = 1 << int(length).bit_length()
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         for name, factor in (("up", BASE), ("down", inverse)):
             table = np.full(size, factor, np.uint64)
@@ -62,12 +62,21 @@ def spans(data: np.ndarray, borders: np.ndarray, separators: bytes = WHITE) -> t
     return starts, ends, np.searchsorted(starts, borders)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word."""
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """64-bit hash of every word; about ``step`` bytes are worked on at a time."""
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        begin = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(ends, begin + step, "right")))
+        piece = data[begin : int(ends[high - 1])]
+        up, down = _power_tables(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_byte_values()[piece] * up[: len(piece)], out=total[1:])
+        first, last = starts[low:high] - begin, ends[low:high] - begin
+        out[low:high] = (total[last] - total[first]) * down[first]
+        low = high
+    return mix(out)
 
 
 def windows(values: np.ndarray, length: int) -> np.ndarray:
