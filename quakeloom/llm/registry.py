@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeloom.llm import repeats
+from quakeloom.llm import decontaminate, repeats
 from quakeloom.llm.bottom_k import op6_bottom_k
+from quakeloom.llm.decontaminate import op5_decontaminate
 from quakeloom.llm.histogram_shards import op1_histogram_shards
 from quakeloom.llm.repeats import op3_repeats
 from quakeloom.llm.token_files import op2_token_files
@@ -18,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_repeats": op3_repeats,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op6_bottom_k": op6_bottom_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_repeats": repeats.ORACLE_SQL,
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
 }
