@@ -10,6 +10,7 @@ from quakeloom.llm import decontaminate, repeats
 from quakeloom.llm.bottom_k import op6_bottom_k
 from quakeloom.llm.decontaminate import op5_decontaminate
 from quakeloom.llm.histogram_shards import op1_histogram_shards
+from quakeloom.llm.mixing import op7_mixing
 from quakeloom.llm.repeats import op3_repeats
 from quakeloom.llm.token_files import op2_token_files
 from quakeloom.llm.toxicity import op4_toxicity
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_bottom_k": op6_bottom_k,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
