@@ -11,6 +11,7 @@ from quakeloom.llm.bottom_k import op6_bottom_k
 from quakeloom.llm.decontaminate import op5_decontaminate
 from quakeloom.llm.histogram_shards import op1_histogram_shards
 from quakeloom.llm.jaccard_join import op10_jaccard_join
+from quakeloom.llm.licenses import op8_licenses
 from quakeloom.llm.mixing import op7_mixing
 from quakeloom.llm.repeats import op3_repeats
 from quakeloom.llm.token_files import op2_token_files
@@ -24,11 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_bottom_k": op6_bottom_k,
     "op7_mixing": op7_mixing,
+    "op8_licenses": op8_licenses,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_repeats": repeats.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op8_licenses": op8_licenses,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
