@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from quakeloom.session import ship_package
 
 
-def map_arrow(frame: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(frame: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` whose workers can import this package."""
     ship_package(frame.sparkSession)
     return frame.mapInArrow(function, schema)

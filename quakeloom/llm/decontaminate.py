@@ -86,29 +86,31 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> Da
 
 
 def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    left = docs.withColumn("_text", F.xxhash64("text")).alias("d")
-    right = found.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), *[c for c in found.columns if c not in ("doc_id", "_text")])
-    on = F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("d._text") == F.col("_hash"))
+    """Each row of docs whole, as ``_row`` (so that no name can clash), with what was found in it."""
+    left = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_left"), F.xxhash64("text").alias("_left_hash"))
+    right = found.withColumnsRenamed({"doc_id": "_right", "_text": "_right_hash"})
+    on = F.col("_left").eqNullSafe(F.col("_right")) & (F.col("_left_hash") == F.col("_right_hash"))
     return left.join(right, on, how)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """Documents without any hit; all columns stay."""
-    return _joined(docs, contamination(docs, items, length), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    narrow = docs.select("doc_id", "text")
+    return _joined(docs, contamination(narrow, items, length), "left_anti").select("_row.*")
 
 
 def cut_contaminated(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """All documents, with the words of hits (and what follows each up to the
     next word) cut from ``text``; all columns stay."""
-    joined = _joined(docs, contamination(docs, items, length), "left")
+    joined = _joined(docs, contamination(docs.select("doc_id", "text"), items, length), "left")
     # Word i stands between the separators i and i + 1; the first and last may be empty.
     cut = F.expr(f"""
-        case when spans is null then text else concat_ws('',
-            element_at(split(text, r'{WORD_CASED}'), 1),
-            zip_with(sequence(0, size(split(text, r'{WORD_CASED}')) - 2), array_remove(split(text, r'{BETWEEN_CASED}'), ''), (i, w) ->
-                if(exists(spans, s -> s.start <= i and i < s.end), '', concat(w, element_at(split(text, r'{WORD_CASED}'), i + 2))))) end
+        case when spans is null then _row.text else concat_ws('',
+            element_at(split(_row.text, r'{WORD_CASED}'), 1),
+            zip_with(sequence(0, size(split(_row.text, r'{WORD_CASED}')) - 2), array_remove(split(_row.text, r'{BETWEEN_CASED}'), ''), (i, w) ->
+                if(exists(spans, s -> s.start <= i and i < s.end), '', concat(w, element_at(split(_row.text, r'{WORD_CASED}'), i + 2))))) end
     """)
-    return joined.select(*[cut.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
+    return joined.select(*[cut.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +124,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = docs.select("doc_id", F.size(word_list(F.col("text"))).cast("long").alias("n_words"), "text")
     items = F.coalesce("item_ids", F.array().cast("array<string>"))
     return _joined(counted, found, "left").select(
-        "d.doc_id",
-        "n_words",
+        "_row.doc_id",
+        "_row.n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),

@@ -345,12 +345,11 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     kept = similarity_classes(narrow, threshold, tolerance).filter(
         "node is not null and doc_id <=> class_id and class_id <=> copy_of"
     ).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("node").alias("_node")).groupBy("_id").agg(F.min("_node").alias("_node"))
-    names = docs.columns
-    held = docs.filter("text is not null").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(
-        "_node", node_of(F.col("text"))
+    held = docs.filter("text is not null").select(
+        F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), node_of(F.col("text")).alias("_node")
     )
     # Rows that repeat a document whole (id and text) are one document.
-    picked = held.join(kept, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"]).select(*names)
+    picked = held.join(kept, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"]).select("_row.*")
     return picked.union(docs.filter("text is null"))
 
 

@@ -154,15 +154,11 @@ def mixed_documents(docs: DataFrame, weights: Mapping[str | None, float] | None
         F.min(F.struct("slot", "offset")).alias("_at")
     )
     right = first.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_at.slot", "_at.offset")
-    left = docs.withColumn("_text", F.xxhash64("text")).alias("d")
-    joined = left.join(
-        right, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("d._text") == F.col("_hash")), "left" if weights is None else "inner"
-    )
-    order = ["slot", "offset"]
+    left = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_left"), F.xxhash64("text").alias("_left_hash"))
+    on = F.col("_left").eqNullSafe(F.col("_id")) & (F.col("_left_hash") == F.col("_hash"))
+    joined = left.join(right, on).select("_row", "slot", "offset")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = joined.select(*[F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *order)
-    ordered = ordered.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return ordered.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return joined.repartitionByRange(parts, "slot", "offset").sortWithinPartitions("slot", "offset").select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from quakeloom.llm.jaccard_join import op10_jaccard_join
 from quakeloom.llm.licenses import op8_licenses
 from quakeloom.llm.mixing import op7_mixing
 from quakeloom.llm.repeats import op3_repeats
+from quakeloom.llm.secrets import op9_secrets
 from quakeloom.llm.token_files import op2_token_files
 from quakeloom.llm.toxicity import op4_toxicity
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bottom_k": op6_bottom_k,
     "op7_mixing": op7_mixing,
     "op8_licenses": op8_licenses,
+    "op9_secrets": op9_secrets,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
@@ -33,5 +35,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_repeats": repeats.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op8_licenses": op8_licenses,
+    "op9_secrets": op9_secrets,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }

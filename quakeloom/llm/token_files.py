@@ -31,6 +31,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -350,6 +351,22 @@ def token_table(docs: DataFrame, order: list[str | Column]) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Token files of documents in the order in which their files hold them.
+
+    Spark numbers the files that a job writes by partition, so a table that was
+    written in a global order keeps it. Frames that do not come from Parquet
+    files go by doc_id.
+    """
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return token_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), [F.col("doc_id"), F.xxhash64("text")])
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("long")
+    ordered = placed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", part.alias("_part"), "_file", "_row")
+    return token_table(ordered, ["_part", "_file", "_row"])
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents by ascending doc_id, read back.
 

@@ -182,6 +182,18 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(docs, run, f"{schema},score:double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """Rows that score under ``threshold``; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", SLICE_BYTES):
+                yield piece.filter(pa.array(score(piece.column("text"), shared.value) < threshold))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels that may be learnt."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long"), F.col("toxic").alias("label"))
