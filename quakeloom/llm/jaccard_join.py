@@ -262,15 +262,17 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     nodes = staged(
         signed.filter("sign is not null").groupBy("node").agg(F.first("sign").alias("sign"), F.first("bands").alias("bands"))
     )
+    # Joins of what grows with the corpus are hinted as sort-merge joins: below the
+    # broadcast limit the planner would take another way, with other costs.
     bands = nodes.select("node", F.explode("bands").alias("band"))
     buckets = staged(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1"))
 
     # Families of large buckets: each node is tied to its bucket's least one.
-    ties = bands.join(buckets.filter(F.col("n") > SMALL), "band").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    ties = bands.join(buckets.filter(F.col("n") > SMALL).hint("merge"), "band").select(F.col("node").alias("a"), F.col("least").alias("b"))
     family = staged(connected_components(ties).toDF("node", "family"))
 
     # Pairs of small buckets, unless both are of one family.
-    listed = bands.join(buckets.filter(F.col("n") <= SMALL), "band").groupBy("band").agg(
+    listed = bands.join(buckets.filter(F.col("n") <= SMALL).hint("merge"), "band").groupBy("band").agg(
         F.array_sort(F.collect_list("node")).alias("s")
     )
     pairs = listed.select(F.explode(F.expr(
@@ -286,7 +288,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
 
     # The texts that are still needed, once each.
     needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(family.select("node")).distinct()
-    texts = staged(keyed.select("node", "text").join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    texts = staged(keyed.select("node", "text").join(needed.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     with_texts = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     links = staged(map_arrow(with_texts, _verify(threshold), "a binary, b binary"))
 
@@ -327,11 +329,12 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     copies = own.groupBy("node").agg(F.min("_id").alias("copy_of"))
     known = copies.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    by_node = known.join(least, "component").join(counts, "node", "left").select(
+    # Staged, so that the join with a text's many copies has a plain exchange on either side and can be split.
+    by_node = staged(known.join(least, "component").join(counts, "node", "left").select(
         "node", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    ))
     back = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) for c in ("class_id", "copy_of")]
-    grouped = own.join(by_node, "node").select("doc_id", "node", *back, "n_links")
+    grouped = own.join(by_node.hint("merge"), "node").select("doc_id", "node", *back, "n_links")
     alone = docs.filter("text is null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("node"),
         F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("copy_of"), F.lit(0).cast("long").alias("n_links"),
