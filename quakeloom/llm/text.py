@@ -12,8 +12,9 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same, and words, in text as it stands.
 BETWEEN_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Characters beyond A-Z that have a lower-case form are all in these classes.
-CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
+#: Characters beyond A-Z that may have a lower-case form: capitals up to U+07FF, and
+#: all above, as the two libraries behind these expressions differ in their newest letters.
+CASED = r"[\x{800}-\x{10FFFF}[\p{Lu}\p{Lt}&&[^A-Z]]]"
 
 
 def ascii_lower(text: Column) -> Column:

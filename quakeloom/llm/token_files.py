@@ -43,7 +43,7 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 SAMPLE = 64
 SEGMENT_IDS = 1 << 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces that are encoded as one string.
 JOINED = 512
 #: Where a space before another character stands, a new pre-token begins whatever came before.
@@ -160,7 +160,7 @@ def _encode_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]
 class _Known:
     """Pieces that this worker has encoded: at most about ``limit``, then it starts anew."""
 
-    limit = 1 << 20
+    limit = 1 << 19
 
     def __init__(self, path: str) -> None:
         self.path = path

@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 from quakeloom.llm.arrow import map_arrow, slices
 from quakeloom.llm.tables import documents, table
 
-SPACE_BITS = 18
-ORDERS = (3, 4, 5)
+SPACE_BITS = 19
+ORDERS = (3, 4, 5, 6)
 SLICE_BYTES = 1 << 20
 #: Documents of each class that the fit may see.
 PER_CLASS = 4000
 #: Share of the learnt weights in the blend with their mean size.
 BLEND = 0.75
-PENALTY = 0.01
+PENALTY = 0.1
 STEPS = 80
+#: Parts of the sample for calibration.
+FOLDS = 3
 
 
 @dataclass(frozen=True)
@@ -67,18 +69,20 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
     return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int32)
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> Model:
-    """The blended weights, already multiplied by the log-count ratios."""
+def _ratios(counts: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio of every feature from its documents of either class, and
+    whether it is useful: one of few documents, or which both classes share evenly, tells nothing."""
+    smooth = (counts + 1.0) / (np.array([[(labels == 0).sum()], [(labels == 1).sum()]]) + 2.0)
+    ratio = np.log(smooth[1] / smooth[0])
+    return ratio, (counts.sum(axis=0) >= 3) & (np.abs(ratio) >= 0.4)
+
+
+def _weights(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The blended weights of all features, times their log-count ratios."""
     size, count = 1 << SPACE_BITS, len(labels)
-    if count == 0 or labels.min() == labels.max():
-        share = (labels.sum() + 0.01) / (count + 1)
-        return Model(float(np.log(share / (1 - share))), np.zeros(size, np.float32))
     toxic = labels[rows] == 1
-    counts = np.stack([np.bincount(columns[toxic], minlength=size), np.bincount(columns[~toxic], minlength=size)])
-    smooth = (counts + 1.0) / (np.array([[labels.sum()], [count - labels.sum()]]) + 2.0)
-    ratio = np.log(smooth[0] / smooth[1])
-    # A feature of one document, or one that both classes share evenly, tells nothing.
-    useful = (counts.sum(axis=0) >= 3) & (np.abs(ratio) >= 0.4)
+    counts = np.stack([np.bincount(columns[~toxic], minlength=size), np.bincount(columns[toxic], minlength=size)])
+    ratio, useful = _ratios(counts, labels)
     kept = useful[columns]
     rows, columns = rows[kept], columns[kept]
     place = np.cumsum(useful) - 1
@@ -92,7 +96,7 @@ def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> Model:
     for step in range(1, STEPS + 1):
         total = np.concatenate(([0.0], np.cumsum(values * weights[columns])))
         margin = total[ends[1:]] - total[ends[:-1]] + bias
-        error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels
+        error = _chance(margin) - labels
         slope = np.append(
             np.bincount(columns, values * error[rows], len(weights)) / count + PENALTY / count * weights, error.mean()
         )
@@ -100,43 +104,74 @@ def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> Model:
         second = 0.99 * second + 0.01 * slope**2
         move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - move[-1]
-    blended = BLEND * weights + (1 - BLEND) * np.abs(weights).mean()
-    full = np.zeros(size, np.float32)
-    full[useful] = blended * ratio_used / norm
-    total = np.concatenate(([0.0], np.cumsum(values * blended[columns])))
-    margin = total[ends[1:]] - total[ends[:-1]]
-    return Model(_bias(margin, labels, bias), full)
-
-
-def _bias(margin: np.ndarray, labels: np.ndarray, bias: float) -> float:
-    """The bias that makes the scores' mean the labels' mean, by bisection."""
-    low, high = -60.0 - np.abs(margin).max(), 60.0 + np.abs(margin).max()
-    for _ in range(60):
-        bias = (low + high) / 2
-        if (1 / (1 + np.exp(-np.clip(margin + bias, -40, 40)))).mean() < labels.mean():
-            low = bias
-        else:
-            high = bias
-    return float(bias)
+    full = np.zeros(size)
+    full[useful] = (BLEND * weights + (1 - BLEND) * np.abs(weights).mean()) * ratio_used / norm
+    return full
+
+
+def _chance(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+
+
+def _calibrated(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that make chances of margins, by Newton's method."""
+    scale = max(float(np.abs(margin).mean()), 1e-9)
+    x = np.stack([margin / scale, np.ones(len(margin))], axis=1)
+    found = np.zeros(2)
+    for _ in range(50):
+        chance = _chance(x @ found)
+        slope = x.T @ (chance - labels) + 1e-3 * found
+        curve = (x * (chance * (1 - chance))[:, None]).T @ x + 1e-3 * np.eye(2)
+        found = found - np.linalg.solve(curve, slope)
+    return max(float(found[0]), 1e-3) / scale, float(found[1])
+
+
+def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> Model:
+    """Weights from all documents, on the scale of chances that FOLDS models
+    give to documents which they have not seen."""
+    count = len(labels)
+    fold = np.arange(count) % FOLDS
+    both = count > 0 and all(len(np.unique(labels[fold != k])) == 2 for k in range(FOLDS))
+    if not both:
+        share = (labels.sum() + 0.01) / (count + 1)
+        return Model(float(np.log(share / (1 - share))), np.zeros(1 << SPACE_BITS, np.float32))
+    margin = np.zeros(count)
+    for k in range(FOLDS):
+        seen = fold != k
+        number = np.cumsum(seen) - 1
+        mine = seen[rows]
+        weights = _weights(number[rows[mine]], columns[mine], labels[seen])
+        margin += np.where(seen, 0.0, np.bincount(rows, weights[columns], count))
+    slope, offset = _calibrated(margin, labels)
+    return Model(offset, (slope * _weights(rows, columns, labels)).astype(np.float32))
 
 
 def score(texts: pa.Array, model: Model) -> np.ndarray:
     rows, columns = features(texts, model.weights != 0)
     margin = np.bincount(rows, model.weights[columns], len(texts)) + model.bias
-    return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+    return _chance(margin)
+
+
+def fit_texts(texts: pa.Array, labels: np.ndarray) -> Model:
+    """Two passes, so that only useful features are held."""
+    pieces, counts, start = [], np.zeros((2, 1 << SPACE_BITS), np.int64), 0
+    for piece in slices(pa.record_batch({"text": texts}), "text", SLICE_BYTES):
+        pieces.append((start, piece.column("text")))
+        rows, columns = features(piece.column("text"))
+        toxic = labels[start + rows] == 1
+        for k, mine in enumerate((columns[~toxic], columns[toxic])):
+            counts[k] += np.bincount(mine, minlength=1 << SPACE_BITS)
+        start += piece.num_rows
+    _, useful = _ratios(counts, labels)
+    found = [(first + r, c) for first, (r, c) in ((first, features(t, useful)) for first, t in pieces)]
+    empty = np.empty(0, np.int64)
+    return fit(np.concatenate([empty, *[f[0] for f in found]]), np.concatenate([empty, *[f[1] for f in found]]), labels)
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, columns, labels, count = [], [], [], 0
-    for batch in batches:
-        for piece in slices(batch, "text", SLICE_BYTES):
-            r, c = features(piece.column("text"))
-            rows.append(r + count)
-            columns.append(c)
-            labels.append(piece.column("label").to_numpy())
-            count += piece.num_rows
-    empty = np.empty(0, np.int64)
-    model = fit(np.concatenate([empty, *rows]), np.concatenate([empty, *columns]), np.concatenate([empty, *labels]))
+    sample = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("label", pa.float64())])).combine_chunks()
+    texts = sample.column("text").cast(pa.large_string()).combine_chunks()
+    model = fit_texts(texts, sample.column("label").to_numpy())
     yield pa.record_batch({"bias": [model.bias], "weights": [model.weights.astype("<f4").tobytes()]})
 
 
