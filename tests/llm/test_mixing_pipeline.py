@@ -108,7 +108,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     gone = rows["documents"].keys() - rows["toxicity"].keys()
     toxic = {i for i, t in labels.items() if t == 1}
     # Fifty toxic examples in four languages are few; clean documents must stay nevertheless.
-    assert len(toxic - gone) <= 0.3 * len(toxic) and len(gone - toxic) <= 0.01 * len(rows["documents"])
+    assert len(toxic - gone) <= 0.3 * len(toxic) and sum(labels.get(i) == 0 for i in gone) <= 0.01 * len(labels)
     # One document of each group of near-equal ones stays.
     before = rows["toxicity"]
     sets = {i: fx.shingles(t) for i, t in before.items()}
