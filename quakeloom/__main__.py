@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None) -> None:
         ).show(truncate=False)
         counts_by(events, "tectonic_domain").show(truncate=False)
     if args.command == "isc-diagnostics":
-        fdsn.diagnose(bronze.read_snapshots(spark, f"{args.bronze}/isc")).show(truncate=80)
+        fdsn.diagnose(bronze.read_snapshots(spark, f"{args.bronze}/isc"), 1000).show(truncate=80)
     if args.command == "validate-grid":
         scores = walk_forward_grid(
             tables.load_silver(spark, args.silver), tables.load_gold(spark, args.gold),

@@ -55,7 +55,7 @@ def timestamp_slug(column: Column) -> Column:
     return F.date_format(column, "yyyyMMdd'T'HHmmss'Z'")
 
 
-def response_preview(column: Column, limit: int = 500) -> Column:
+def response_preview(column: Column, limit: int) -> Column:
     collapsed = F.regexp_replace(F.trim(column), r"\s+", " ")
     return F.substring(F.trim(collapsed), 1, limit)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-# --- Fixed values: accent folding ------------------------------------------
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüýÿçñ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyycn"
+from pyspark.sql.types import StringType
 
 # --- Fixed values: attribution patterns and negations ----------------------
 FALSE_ATTRIBUTION = (
@@ -32,12 +32,23 @@ QUESTION_PHRASES = (
 )
 
 
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition (NFKD) without combining marks."""
+    return texts.map(
+        lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    )
+
+
 def normalise_text(column: Column) -> Column:
-    """Lower case, accents stripped, whitespace collapsed."""
-    lowered = F.lower(F.coalesce(column, F.lit("")))
-    bare = F.regexp_replace(lowered, "\\p{Mn}", "")
-    folded = F.translate(bare, ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(folded, r"\s+", " "))
+    """Lower case, accents stripped, compatible letters folded, whitespace collapsed.
+
+    Only text beyond ASCII goes through Python, in Arrow batches.
+    """
+    text = F.coalesce(column, F.lit(""))
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    folded = F.coalesce(_compatible(other), text)
+    return F.regexp_replace(F.regexp_replace(F.lower(folded), r"(?U)\s+", " "), "^ | $", "")
 
 
 def _contains_any(column: Column, tokens: tuple[str, ...]) -> Column:
@@ -52,7 +63,8 @@ def is_identity_question(column: Column, project_names: tuple[str, ...] = ()) ->
     ``project_names``: the deployment's own name, accent-free lower case."""
     text = normalise_text(column)
     subjects = (*SUBJECT_TOKENS, *project_names)
-    return _contains_any(text, subjects) & _contains_any(text, QUESTION_PHRASES)
+    phrases = (*QUESTION_PHRASES, *[f"relacao do {name} com o ipma" for name in project_names])
+    return _contains_any(text, subjects) & _contains_any(text, phrases)
 
 
 def has_false_attribution(column: Column) -> Column:
@@ -63,11 +75,10 @@ def has_false_attribution(column: Column) -> Column:
     def affirmed(sentence: Column) -> Column:
         result = F.lit(False)
         for pattern in FALSE_ATTRIBUTION:
-            hit = F.regexp_substr(sentence, F.lit(pattern))
-            at = F.position(hit, sentence)
-            start = F.greatest(F.lit(1), at - LOOK_BACK)
-            before = F.substr(sentence, start, at - start)
-            result = result | (hit.isNotNull() & ~_contains_any(before, NEGATIONS))
+            # What stands before the first match, found by the match itself.
+            before = F.regexp_extract(sentence, f"^(.*?)(?:{pattern})", 1)
+            near = F.right(before, F.lit(LOOK_BACK))
+            result = result | (sentence.rlike(pattern) & ~_contains_any(near, NEGATIONS))
         return result
 
     return F.exists(sentences, affirmed)

@@ -23,7 +23,6 @@ from quakeloom.session import staged, with_row_key
 
 KM_PER_DEGREE = math.radians(1) * EARTH_RADIUS_KM
 PAIR_BUDGET = 4096  # record pairs tested per cell pair before cells are split
-EXACT_DIGEST_MEMBERS = 10_000  # larger groups get an order-free digest
 
 
 class Grid:
@@ -289,6 +288,12 @@ def preference_order() -> list[Column]:
     ]
 
 
+def _id_part(i: int) -> Column:
+    """60 bits of an id's MD5; sums of them do not depend on the members' order."""
+    digits = F.substring(F.md5(F.col("event_id").cast("binary")), 1 + 15 * i, 15)
+    return F.conv(digits, 16, 10).cast("decimal(38,0)")
+
+
 def group_records(
     frame: DataFrame, time_seconds: float = 90, distance_km: float = 35, magnitude_delta: float = 0.6
 ) -> DataFrame:
@@ -329,33 +334,16 @@ def deduplicate_events(
             F.min(F.struct(*preference_order(), F.col("_row"))).alias("_best"),
             F.min("event_id").alias("_first"),
             F.max("event_id").alias("_last"),
-            F.bit_xor(F.xxhash64("event_id")).alias("_mix"),
+            *[F.sum(_id_part(i)).alias(f"_sum{i}") for i in (0, 1)],
         )
         .filter("_n > 1")
     )
-    groups = staged(groups.withColumn("_best", F.col("_best._row")))
-    small = (
-        records.select("component", "event_id")
-        .join(groups.filter(F.col("_n") <= EXACT_DIGEST_MEMBERS).select("component"), "component")
-        .groupBy("component")
-        .agg(F.array_join(F.array_sort(F.collect_list("event_id")), "|").alias("_members"))
-        .select("component", F.sha1("_members").alias("_digest"))
-    )
-    named = groups.join(small, "component", "left").select(
+    named = groups.select(
         "component",
-        "_best",
+        F.col("_best._row").alias("_best"),
         F.concat(
             F.lit("DUP-"),
-            F.upper(
-                F.substring(
-                    F.coalesce(
-                        "_digest",
-                        F.sha1(F.concat_ws("|", "_first", "_last", "_n", "_mix")),
-                    ),
-                    1,
-                    12,
-                )
-            ),
+            F.upper(F.substring(F.sha1(F.concat_ws("|", "_n", "_first", "_last", "_sum0", "_sum1")), 1, 12)),
         ).alias("_id"),
     )
     marked = records.join(named, "component", "left").withColumns(

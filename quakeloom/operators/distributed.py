@@ -203,7 +203,7 @@ def prior_not_greater(
     return frame.join(ranks, [*keys, order], "left")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest member per node of an undirected graph (columns a, b).
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): the
@@ -217,7 +217,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     previous = None
-    for _ in range(max_rounds):
+    while True:  # each round shrinks the graph towards stars, which no round changes
         # large star: connect larger neighbours to the smallest of {node, neighbours}
         both = current.union(current.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
@@ -243,8 +243,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if previous == (state["n"], state["h"]):
             break
         previous = (state["n"], state["h"])
-    else:
-        raise RuntimeError("connected components did not settle")
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(roots)

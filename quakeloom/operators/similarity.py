@@ -520,7 +520,7 @@ def feature_differences(neighbours: DataFrame, weighted: DataFrame) -> DataFrame
     ).drop("row")
 
 
-def top_contributions(differences: DataFrame, count: int = 6) -> DataFrame:
+def top_contributions(differences: DataFrame, count: int) -> DataFrame:
     """The largest contributions of each neighbour (a top-k report)."""
     rank = Window.partitionBy("query_id", "analogue_rank").orderBy(
         F.desc("contribution_pct"), "feature"

@@ -370,13 +370,22 @@ def map_points(frame: DataFrame, minimum_magnitude: float) -> DataFrame:
     )
 
 
-def strongest_plus_sample(points: DataFrame, limit: int = 5000, strongest: int = 750) -> DataFrame:
-    """All points up to the limit; beyond it the strongest and a fixed random
-    fill (the sampling rule of the point map)."""
-    top = points.orderBy(F.desc("magnitude_comparable"), "event_id").limit(min(strongest, limit))
-    rest = points.join(top.select("event_id"), "event_id", "left_anti").select(*points.columns)
-    fill = rest.orderBy(F.xxhash64("event_id"), "event_id").limit(max(0, limit - strongest))
-    return top.unionByName(fill)
+def strongest(points: DataFrame, count: int) -> DataFrame:
+    """A top-k report: the ``count`` strongest points."""
+    return points.orderBy(F.desc("magnitude_comparable"), "event_id").limit(count)
+
+
+def sample(points: DataFrame, count: int, seed: str = "") -> DataFrame:
+    """A sampling operator: ``count`` points in the order of their ids' MD5."""
+    drawn = F.md5(F.concat(F.lit(seed), F.col("event_id")).cast("binary"))
+    return points.orderBy(drawn, "event_id").limit(count)
+
+
+def strongest_and_sample(points: DataFrame, top: int, fill: int, seed: str = "") -> DataFrame:
+    """What a point map shows: the ``top`` strongest and a sample of the others."""
+    first = strongest(points, top)
+    rest = points.join(first.select("event_id"), "event_id", "left_anti").select(*points.columns)
+    return first.unionByName(sample(rest, fill, seed))
 
 
 def density_grid(points: DataFrame, bins: int = 70) -> DataFrame:
@@ -443,8 +452,8 @@ def map_view(points: DataFrame, bins: int = 70) -> DataFrame:
 # --- context ----------------------------------------------------------------
 
 
-def event_summary(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Aggregate-only description of a catalogue selection."""
+def event_summary(frame: DataFrame, keys: Sequence[str] = (), top: int | None = None) -> DataFrame:
+    """Aggregate-only description of a catalogue selection; all sources, or the ``top`` most frequent."""
     keys = list(keys)
     one = frame.withColumn("_one", F.lit(1)) if keys else frame.withColumns(
         {"_one": F.lit(1), "_k": F.lit(0)}
@@ -463,7 +472,7 @@ def event_summary(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     rank = Window.partitionBy(*groups).orderBy(F.desc("n"), "s")
     top = (
-        counts.withColumn("_r", F.row_number().over(rank)).filter("_r <= 6")
+        counts.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= top if top else F.lit(True))
         .groupBy(*groups)
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "n")))).alias("sources"))
     )

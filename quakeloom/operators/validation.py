@@ -13,7 +13,7 @@ from quakeloom.fixed_values import DECISION_THRESHOLDS, MODELS
 from quakeloom.functions.scalar import brier_skill_score, clip, wilson_interval
 from quakeloom.operators.distributed import running_totals
 
-SCENARIO = ("catalogue_mode", "magnitude_policy", "threshold_magnitude", "horizon_days")
+SCENARIO = ("tectonic_domain", "catalogue_mode", "magnitude_policy", "threshold_magnitude", "horizon_days")
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -329,7 +329,8 @@ e AS (SELECT a.id AS a, b.id AS b FROM cat a JOIN cat b ON a.id <> b.id AND abs(
   AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 35 AND (a.mag IS NULL OR b.mag IS NULL OR abs(a.mag - b.mag) <= 0.6e0)),
 reach(id, c) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.c FROM reach r JOIN e ON e.a = r.id),
 comp AS (SELECT id, min(c) AS c FROM reach GROUP BY id),
-named AS (SELECT c, 'DUP-' || upper(substr(sha1(string_agg(id::VARCHAR, '|' ORDER BY id::VARCHAR)), 1, 12)) AS gid FROM comp GROUP BY c),
+named AS (SELECT c, 'DUP-' || upper(substr(sha1(concat_ws('|', count(*), min(id::VARCHAR), max(id::VARCHAR),
+    sum(('0x' || substr(md5(id::VARCHAR), 1, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(md5(id::VARCHAR), 16, 15))::BIGINT)::VARCHAR)), 1, 12)) AS gid FROM comp GROUP BY c),
 ranked AS (SELECT m.id, n.gid, row_number() OVER (PARTITION BY m.c ORDER BY
     (CASE k.source WHEN 'IPMA' THEN 5 WHEN 'ISC' THEN 4 WHEN 'AHEAD' THEN 3 ELSE 0 END) DESC,
     (CASE k.rstatus WHEN 'reviewed' THEN 3 WHEN 'preliminary' THEN 1 ELSE 0 END) DESC,
@@ -495,6 +496,10 @@ WITH {EVENTS} SELECT id::VARCHAR AS event_id, round(least(46e0, greatest(7e0, po
 FROM cat WHERE mag >= 0.5"""
     out["map_strongest"] = f"""
 WITH {ORDERS}, p AS (SELECT * FROM cat WHERE mag >= 1) SELECT id::VARCHAR AS event_id, mag AS magnitude_comparable FROM p ORDER BY mag DESC, id::VARCHAR LIMIT 750"""
+    out["map_sample"] = f"""
+WITH {ORDERS}, p AS (SELECT id::VARCHAR AS event_id, mag AS magnitude_comparable FROM cat WHERE mag >= 1),
+top AS (SELECT * FROM p ORDER BY magnitude_comparable DESC, event_id LIMIT 750)
+SELECT * FROM top UNION ALL (SELECT * FROM p WHERE event_id NOT IN (SELECT event_id FROM top) ORDER BY md5(event_id), event_id LIMIT 4250)"""
     out["density_grid"] = f"""
 WITH {EVENTS}, v AS (SELECT * FROM cat WHERE mag >= 0.5), s AS (SELECT min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1 FROM v),
 c AS (SELECT greatest(0, least(69, floor((lat - a0)/((a1 - a0)/70))))::INT AS i, greatest(0, least(69, floor((lon - o0)/((o1 - o0)/70))))::INT AS j, * FROM v, s),
@@ -510,7 +515,7 @@ SELECT round(la, 6) AS center_latitude, round(lo, 6) AS center_longitude,
     out["event_summary"] = f"""
 WITH {ORDERS} SELECT dom AS tectonic_domain, count(*)::BIGINT AS event_count, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day, max(mag) AS maximum_magnitude,
   round(median(mag), 6) AS median_magnitude, median(depth) AS median_depth_km, count(*) FILTER (source = 'IPMA')::BIGINT AS from_ipma FROM cat GROUP BY 1"""
-    norm = "trim(regexp_replace(translate(lower(t), 'áàâãäåéèêëíìîïóòôõöúùûüýÿçñ', 'aaaaaaeeeeiiiiooooouuuuyycn'), '\\s+', ' ', 'g'))"
+    norm = "trim(regexp_replace(lower(strip_accents(nfc_normalize(t))), '\\s+', ' ', 'g'))"
     subject = " OR ".join(f"contains(n, '{s}')" for s in ("projeto", "project", "observatorio", "plataforma", "aplicacao"))
     phrases = " OR ".join(
         f"contains(n, '{s}')" for s in (
@@ -522,15 +527,26 @@ WITH {ORDERS} SELECT dom AS tectonic_domain, count(*)::BIGINT AS event_count, mi
     out["text_normalisation"] = f"""
 SELECT doc_id, sha1({norm}) AS normalised_sha1, length({norm})::BIGINT AS normalised_length, left(trim(regexp_replace(trim(t), '\\s+', ' ', 'g')), 500) AS preview
 FROM (SELECT doc_id, text AS t FROM documents)"""
+    claims = (
+        r"\b(?:projeto|produto|plataforma|observatorio|iniciativa|servico)(?:\s+experimental)?\s+(?:do|da|de)\s+(?:o\s+)?ipma\b",
+        r"\b(?:criado|desenvolvido|mantido|operado|produzido|financiado)\s+(?:pela|pelo)\s+(?:equipa\s+do\s+)?ipma\b",
+        r"\bequipa\s+do\s+ipma\s+(?:criou|desenvolveu|mantem|opera)\b",
+    )
+    affirmed = " OR ".join(
+        f"(regexp_matches(x, '{p}') AND NOT regexp_matches(right(regexp_extract(x, '^(.*?)(?:{p})', 1), 55), 'nao |nunca |not '))"
+        for p in claims
+    )
     out["attribution_guard"] = f"""
-SELECT conv_id, turn, ({subject}) AND ({phrases}) AS identity_question, kind IN (0, 3) AS false_attribution, sha1(n) AS normalised_sha1 FROM (
-SELECT conv_id, turn, kind, {norm} AS n FROM (SELECT conv_id, turn, (conv_id + turn) % 5 AS kind, replace(text, '.', ',') || '. ' || CASE (conv_id + turn) % 5
+SELECT conv_id, turn, ({subject}) AND ({phrases}) AS identity_question,
+  len(list_filter(string_split(regexp_replace(n, '([.!?;]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: {affirmed})) > 0 AS false_attribution,
+  sha1(n) AS normalised_sha1 FROM (
+SELECT conv_id, turn, {norm} AS n FROM (SELECT conv_id, turn, text || ' ' || CASE (conv_id + turn) % 5
  WHEN 0 THEN 'Este é um projeto experimental do IPMA.' WHEN 1 THEN 'Não é um produto do IPMA.' WHEN 2 THEN 'Quem criou o projeto?'
  WHEN 3 THEN 'Foi criado pela equipa do IPMA.' ELSE 'Os dados são públicos.' END AS t FROM conversations))"""
     parsed = """SELECT event_id::VARCHAR AS source_event_id, 'ISC' AS source, epoch_us(date_trunc('second', ts))::BIGINT AS origin_us, (user_id % 40)/10e0 AS latitude, (user_id % 50)/10e0 AS longitude,
   CASE WHEN event_id % 11 <> 0 THEN (user_id % 60)::DOUBLE END AS depth_km, CASE WHEN event_id % 17 <> 0 THEN floor(value)/100e0 END AS magnitude_value"""
     out["fdsn_text"] = f"""
-{parsed}, event_type AS location_text, round(0.92e0 - CASE WHEN event_id % 17 = 0 THEN 0.08e0 ELSE 0 END - CASE WHEN event_id % 11 = 0 THEN 0.05e0 ELSE 0 END, 6) AS quality_score,
+{parsed}, event_type || CASE WHEN (event_id // 100) % 2 = 0 THEN '' ELSE ', the "place"' END AS location_text, round(0.92e0 - CASE WHEN event_id % 17 = 0 THEN 0.08e0 ELSE 0 END - CASE WHEN event_id % 11 = 0 THEN 0.05e0 ELSE 0 END, 6) AS quality_score,
   'reviewed' AS record_status FROM events"""
     out["ipma_json"] = f"""
 {parsed.replace("'ISC'", "'IPMA'")}, CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 1 THEN false WHEN event_id % 4 = 2 THEN true END AS felt,
@@ -540,7 +556,10 @@ SELECT event_id::VARCHAR AS source_event_id, 'AHEAD' AS source, (1000 + event_id
   CASE WHEN event_id % 17 <> 0 THEN floor(value)/100e0 END AS magnitude_value, CASE WHEN event_id % 17 <> 0 THEN 'Mw' END AS magnitude_type,
   greatest((event_id % 5)::DOUBLE, (event_id % 3)::DOUBLE) AS location_uncertainty_km, CASE WHEN event_id % 17 <> 0 THEN 0.72e0 ELSE 0.58e0 END AS quality_score FROM events"""
     out["month_chunks"] = """
-SELECT o_orderpriority AS tectonic_domain, a::DATE::VARCHAR AS chunk_start, least(a + INTERVAL 6 MONTH, hi)::DATE::VARCHAR AS chunk_end
-FROM (SELECT o_orderpriority, date_trunc('month', min(o_orderdate)) AS lo, max(o_orderdate) AS hi FROM orders GROUP BY 1), LATERAL (SELECT lo + to_months((6*k)::INT) AS a FROM range(0, 400) t(k)) c
-WHERE a < hi"""
+WITH RECURSIVE spans AS (
+  SELECT o_orderpriority AS dom, o_orderkey % 40 AS part, min(o_orderdate)::TIMESTAMP AS lo, max(o_orderdate)::TIMESTAMP AS hi FROM orders GROUP BY ALL
+), chunks AS (
+  SELECT dom, part, lo AS a, least(lo + INTERVAL 1 MONTH, hi) AS b, hi FROM spans WHERE lo < hi
+  UNION ALL SELECT dom, part, b, least(b + INTERVAL 1 MONTH, hi), hi FROM chunks WHERE b < hi)
+SELECT dom AS tectonic_domain, part::BIGINT AS part, a::DATE::VARCHAR AS chunk_start, b::DATE::VARCHAR AS chunk_end FROM chunks"""
     return out

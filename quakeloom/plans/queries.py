@@ -728,13 +728,13 @@ def map_points(spark, sf):
 @query
 def map_strongest(spark, sf):
     points = summaries.map_points(orders_catalogue(spark, sf), 1.0)
-    return summaries.strongest_plus_sample(points, 750).select("event_id", "magnitude_comparable")
+    return summaries.strongest(points, 750).select("event_id", "magnitude_comparable")
 
 
 @query
 def map_sample(spark, sf):
     points = summaries.map_points(orders_catalogue(spark, sf), 1.0)
-    return summaries.strongest_plus_sample(points).select("event_id", "magnitude_comparable")
+    return summaries.strongest_and_sample(points, 750, 4250).select("event_id", "magnitude_comparable")
 
 
 @query
@@ -766,7 +766,7 @@ def text_normalisation(spark, sf):
     text = text_guard.normalise_text(F.col("text"))
     return table(spark, sf, "documents").select(
         "doc_id", F.sha1(text).alias("normalised_sha1"), F.length(text).cast("long").alias("normalised_length"),
-        display.response_preview(F.col("text")).alias("preview"),
+        display.response_preview(F.col("text"), 500).alias("preview"),
     )
 
 
@@ -782,9 +782,8 @@ def attribution_guard(spark, sf):
         ]
     )
     kind = ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int")
-    text = F.concat(
-        F.replace("text", F.lit("."), F.lit(",")), F.lit(". "), F.element_at(endings, kind)
-    )
+    # The texts as they stand, with a sentence that the rules are about.
+    text = F.concat("text", F.lit(" "), F.element_at(endings, kind))
     return table(spark, sf, "conversations").select(
         "conv_id", "turn",
         text_guard.is_identity_question(text).alias("identity_question"),
@@ -831,21 +830,29 @@ def fdsn_text(spark, sf):
     def blank(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(""))
 
-    line = F.concat_ws(
-        "|", "id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "lat", "lon", blank("depth"),
-        F.lit("ISC"), F.lit(""), F.lit("ISC"), "id", F.lit("ML"), blank("mag"), F.lit("ISC"), "event_type",
-    )
-    header = (
-        "#EventID | Time | Latitude | Longitude | Depth/km | Author | Catalog | Contributor | "
-        "ContributorID | MagType | Magnitude | MagAuthor | EventLocationName"
-    )
+    names = "EventID,Time,Latitude,Longitude,Depth/km,Author,Catalog,Contributor,ContributorID,MagType,Magnitude,MagAuthor,EventLocationName"
+    values = [
+        F.col("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("lat"), F.col("lon"), blank("depth"),
+        F.lit("ISC"), F.lit(""), F.lit("ISC"), F.col("id"), F.lit("ML"), blank("mag"), F.lit("ISC"),
+    ]
+    # Files with an even number have bars; the others commas, quotes around
+    # times, places that hold commas and quotes, and a second place heading.
+    bars = F.concat_ws("|", *values, "event_type")
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    commas = F.concat_ws(
+        ",", values[0], quote(values[1]), *values[2:], quote(F.concat(F.col("event_type"), F.lit(', the ""place""'))), F.lit("other")
+    )
+    even = F.col("file") % 2 == 0
+    header = F.when(even, "#" + names.replace(",", " | ")).otherwise(names + ",Region")
+    records = _raw(spark, sf).withColumn("header", header)
     snapshots = _snapshots(
-        _raw(spark, sf), line,
+        records, F.struct(F.when(even, bars).otherwise(commas).alias("line"), "header"),
         lambda rows: F.to_json(
             F.struct(
                 F.lit(200).alias("status_code"),
                 F.concat(
-                    F.lit(header + "\n"), F.array_join(rows, "\n"), F.lit("\n# Agencies\n# ISC: centre\n")
+                    rows[0]["header"], F.lit("\n"), F.array_join(F.transform(rows, lambda x: x["line"]), "\n"),
+                    F.lit("\n# Agencies\n# ISC: centre\n"),
                 ).alias("response_text"),
             )
         ),
@@ -895,10 +902,13 @@ def ahead_geojson(spark, sf):
 
 @query
 def month_chunks(spark, sf):
-    spans = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("tectonic_domain")).agg(
-        F.date_trunc("month", F.min("o_orderdate").cast("timestamp")).alias("start"),
+    # Starts lie on any day of the month.
+    spans = table(spark, sf, "orders").groupBy(
+        F.col("o_orderpriority").alias("tectonic_domain"), (F.col("o_orderkey") % 40).alias("part")
+    ).agg(
+        F.min("o_orderdate").cast("timestamp").alias("start"),
         F.max("o_orderdate").cast("timestamp").alias("end"),
     )
-    return fdsn.split_ranges(spans, 6).select(
-        "tectonic_domain", day("chunk_start").alias("chunk_start"), day("chunk_end").alias("chunk_end")
+    return fdsn.split_ranges(spans, 1).select(
+        "tectonic_domain", "part", day("chunk_start").alias("chunk_start"), day("chunk_end").alias("chunk_end")
     )

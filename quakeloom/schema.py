@@ -14,9 +14,11 @@ EVENT_COLUMNS = [name for name, _ in EVENT_FIELDS]
 EVENT_SCHEMA = ", ".join(f"{n} {t}" for n, t in EVENT_FIELDS)
 
 
-# Column metadata that says a value already went through `conform`, so that a
-# chain of operators does not nest the same checks again and again.
-CONFORMED = {"conformed": True}
+def _mark(name: str) -> dict[str, str]:
+    """Column metadata that says a value already went through `conform` under
+    this name, so that a chain of operators does not nest the same checks again
+    and again. Metadata survives a rename; the name in it does not match then."""
+    return {"conformed": name}
 
 
 def plausible(column: Column, name: str) -> Column:
@@ -36,7 +38,7 @@ def conform(frame: DataFrame, id_column: str = "event_id") -> DataFrame:
     given = {f.name: f for f in frame.schema.fields}
     done = {
         name for name, kind in EVENT_FIELDS
-        if name in given and given[name].metadata.get("conformed")
+        if name in given and given[name].metadata.get("conformed") == name
         and given[name].dataType.simpleString() == kind
     }
     out: dict[str, Column] = {}
@@ -61,7 +63,7 @@ def conform(frame: DataFrame, id_column: str = "event_id") -> DataFrame:
         if name not in done:
             out[name] = F.coalesce(out[name], default)
     return frame.select(
-        [out[c] if c in done else out[c].alias(c, metadata=CONFORMED) for c in EVENT_COLUMNS]
+        [out[c] if c in done else out[c].alias(c, metadata=_mark(c)) for c in EVENT_COLUMNS]
     )
 
 

@@ -31,19 +31,38 @@ def clean_body(text: Column) -> Column:
 
 
 def body_problem(text: Column) -> Column:
-    """Why a body is not a catalogue; NULL when it can be parsed or is empty."""
+    """Why a body is not a catalogue; NULL when it can be parsed or is empty.
+    One with a header line is a catalogue, whatever else stands in it."""
     body = F.lower(clean_body(text))
-    header = F.regexp_like(body, F.lit("(?m)^[^\\n]*eventid[^\\n]*$"))
+    header = F.regexp_like(body, F.lit("(?m)^[^\\n]*eventid[^\\n]*[|,][^\\n]*$|^[^\\n]*[|,][^\\n]*eventid[^\\n]*$"))
     return (
-        F.when(body == "", F.lit(None).cast("string"))
+        F.when((body == "") | header, F.lit(None).cast("string"))
         .when(body.startswith("<!doctype") | body.startswith("<html"), "html")
-        .when(body.startswith("<?xml") & ~F.substring(body, 1, 1000).contains("quakeml"), "xml")
-        .when(body.startswith("error") | F.substring(body, 1, 500).contains("bad request"), "error")
-        .when(header | body.contains("no data"), F.lit(None).cast("string"))
+        .when(body.startswith("<?xml") & ~body.contains("quakeml"), "xml")
+        .when(body.startswith("error") | body.contains("bad request"), "error")
+        .when(body.contains("no data"), F.lit(None).cast("string"))
         .otherwise("unrecognised")
     )
 
 
+def rejected_bodies(bodies: DataFrame, text: str = "response_text") -> DataFrame:
+    """The bodies that `parse_bodies` leaves out, with the reason."""
+    others = [c for c in bodies.columns if c != text]
+    return bodies.select(*others, body_problem(F.col(text)).alias("reason")).filter("reason is not null")
+
+
+def _fields(line: Column, separator: Column) -> Column:
+    """Values of a delimited line; a separator inside double quotes is text."""
+    outside = F.concat(separator, F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+
+    def value(v: Column) -> Column:
+        bare = F.trim(v)
+        quoted = bare.rlike('^"(?s:.*)"$') & (F.length(bare) > 1)
+        return F.when(quoted, F.trim(F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"')))).otherwise(bare)
+
+    return F.transform(F.split(line, outside), value)
+
+
 def _is_header(line: Column) -> Column:
     """A line with a delimiter that names the event id column."""
     return F.lower(line).contains("eventid") & (line.contains("|") | line.contains(","))
@@ -73,19 +92,20 @@ def parse_bodies(bodies: DataFrame, text: str = "response_text") -> DataFrame:
     )
     named = headed.select(
         *others, "_lines", "_at", "_sep",
-        F.transform(F.split("_header", F.col("_sep")), canonical_column).alias("_names"),
+        F.transform(_fields(F.col("_header"), F.col("_sep")), canonical_column).alias("_names"),
     )
     rows = named.select(
         *others, "_at", "_sep", "_names", F.posexplode("_lines").alias("_pos", "_line")
     ).filter((F.col("_pos") >= F.col("_at")) & ~F.col("_line").startswith("#"))
-    values = F.transform(
-        F.split("_line", F.col("_sep")),
-        lambda v: F.when(~F.trim(v).isin(*FDSN_NULLS), F.trim(v)),
-    )
-    count = F.least(F.size("_names"), F.size(values))
-    record = F.map_from_arrays(F.slice("_names", 1, count), F.slice(values, 1, count))
+    values = F.transform(_fields(F.col("_line"), F.col("_sep")), lambda v: F.when(~v.isin(*FDSN_NULLS), v))
+    # Of several headings with one meaning the first counts.
+    filled = rows.select(*others, "_pos", "_at", "_names", values.alias("_values"))
+    record = F.map_from_entries(F.expr("""
+        transform(filter(sequence(1, least(size(_names), size(_values))), i -> array_position(_names, element_at(_names, i)) = i),
+            i -> struct(element_at(_names, i) as k, element_at(_values, i) as v))
+    """))
     return (
-        rows.select(*others, (F.col("_pos") - F.col("_at")).alias("line"), record.alias("record"))
+        filled.select(*others, (F.col("_pos") - F.col("_at")).alias("line"), record.alias("record"))
         .filter(F.lower(F.coalesce(F.col("record")["event_id"], F.lit(""))) != "eventid")
     )
 
@@ -157,8 +177,8 @@ def combine_chunks(events: DataFrame) -> DataFrame:
     return keep_last(events, ["event_id"], ["source_file", "ingested_at_utc"])
 
 
-def diagnose(snapshots: DataFrame) -> DataFrame:
-    """Size, preview, parser verdict and parsed rows per snapshot."""
+def diagnose(snapshots: DataFrame, preview: int) -> DataFrame:
+    """Size, preview of so many characters, parser verdict and parsed rows per snapshot."""
     bodies = snapshot_bodies(snapshots)
     parsed = parse_bodies(bodies.select("source_file", "response_text")).groupBy("source_file").agg(
         F.count(F.lit(1)).alias("parsed_rows")
@@ -167,7 +187,7 @@ def diagnose(snapshots: DataFrame) -> DataFrame:
     return bodies.join(parsed, "source_file", "left").select(
         "source_file", "request", "status_code", "content_type",
         F.length(text).alias("characters"),
-        response_preview(text, 1000).alias("preview"),
+        response_preview(text, preview).alias("preview"),
         F.coalesce("parsed_rows", F.lit(0)).alias("parsed_rows"),
         body_problem(F.col("response_text")).alias("parser_error"),
     )
@@ -189,14 +209,21 @@ def month_chunks(spark: SparkSession, start: str, end: str, months: int) -> Data
 
 
 def split_ranges(ranges: DataFrame, months: int) -> DataFrame:
-    """Split each (start, end) row into half-open chunks of ``months`` months."""
+    """Split each (start, end) row into half-open chunks of ``months`` months.
+
+    Each chunk starts where the one before ends, so no day is lost when a
+    month is too short for the day of the start.
+    """
     others = [c for c in ranges.columns if c not in ("start", "end")]
-    step = F.expr(f"interval {int(months)} months")
-    starts = ranges.select(
-        *others, "end", F.explode(F.sequence("start", "end", step)).alias("chunk_start")
-    ).filter("chunk_start < end")
-    return starts.select(
-        *others, "chunk_start", F.least(F.col("chunk_start") + step, "end").alias("chunk_end")
+    step = f"interval {int(months)} months"
+    borders = F.expr(f"""
+        aggregate(sequence(0, cast(ceil(months_between(end, start) / {int(months)}) as int) + 1), array(start),
+            (found, i) -> if(element_at(found, -1) < end, concat(found, array(least(element_at(found, -1) + {step}, end))), found))
+    """)
+    cut = ranges.filter("start < end").select(*others, borders.alias("_b"))
+    chunks = cut.select(*others, "_b", F.explode(F.sequence(F.lit(1), F.size("_b") - 1)).alias("_i"))
+    return chunks.select(
+        *others, F.element_at("_b", F.col("_i")).alias("chunk_start"), F.element_at("_b", F.col("_i") + 1).alias("chunk_end")
     )
 
 

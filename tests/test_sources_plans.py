@@ -83,7 +83,7 @@ def test_zone_diagnostics(spark, raw_zone):
     assert counts == {"IPMA": 4, "ISC": 4, "AHEAD": 1}
     checks = [r.matches for r in bronze.verify_checksums(spark, raw_zone).collect()]
     assert checks.count(True) == 8 and checks.count(None) == 1
-    found = {r.source_file.split("/")[-1]: r for r in fdsn.diagnose(snapshots.filter("source_file like '%/isc/%'")).collect()}
+    found = {r.source_file.split("/")[-1]: r for r in fdsn.diagnose(snapshots.filter("source_file like '%/isc/%'"), 1000).collect()}
     assert found["html.json"].parser_error == "html" and found["empty.json"].parser_error is None
     assert found["events.json"].parsed_rows == 2
 
@@ -221,7 +221,7 @@ def test_display_nulls(spark):
     row = spark.range(1).select(
         display.format_number(F.lit(None).cast("double")).alias("a"), display.format_number(F.lit(2.345), 2, " km").alias("b"),
         display.format_boolean_pt(F.lit(None).cast("boolean")).alias("c"), display.format_date_pt(F.lit(None).cast("timestamp")).alias("d"),
-        display.response_preview(F.lit("  a \n b  ")).alias("e"),
+        display.response_preview(F.lit("  a \n b  "), 500).alias("e"),
     ).first()
     assert tuple(row) == ("—", "2.35 km", "—", "—", "a b")
 
