@@ -24,13 +24,16 @@ def parser() -> argparse.ArgumentParser:
     main.add_argument("--silver", default="data/silver/events")
     main.add_argument("--gold", default="data/gold/fingerprints")
     sub = main.add_subparsers(dest="command", required=True)
-    for name in ("bootstrap-demo", "build-silver", "data-status", "isc-diagnostics", "run-all", "clean-derived"):
+    for name in ("bootstrap-demo", "build-silver", "data-status", "isc-diagnostics", "clean-derived"):
         sub.add_parser(name)
     gold = sub.add_parser("build-gold")
     gold.add_argument("--catalogue-mode", choices=pipelines.MODES)
     gold.add_argument("--magnitude-policy", choices=pipelines.POLICIES)
-    text = sub.add_parser("report")
-    text.add_argument("--output", default="latest_report.md")
+    for name in ("report", "run-all"):
+        text = sub.add_parser(name)
+        text.add_argument("--output", default="latest_report.md")
+        text.add_argument("--tables", default="data/gold/report")
+        text.add_argument("--rows", type=int, default=100, help="rows of a table in the Markdown view")
     grid = sub.add_parser("validate-grid")
     grid.add_argument("--domain")
     grid.add_argument("--window-days", type=int, default=90)
@@ -58,12 +61,11 @@ def main(argv: list[str] | None = None) -> None:
             [args.catalogue_mode] if args.catalogue_mode else pipelines.MODES,
             [args.magnitude_policy] if args.magnitude_policy else pipelines.POLICIES,
         )
-    if args.command == "report":
-        text = report.markdown_report(
-            tables.load_silver(spark, args.silver), tables.load_gold(spark, args.gold)
-        )
+    if args.command in ("report", "run-all"):
+        events, states = tables.load_silver(spark, args.silver), tables.load_gold(spark, args.gold)
+        report.write_report(events, states, args.tables)
         with open(args.output, "w", encoding="utf-8") as handle:
-            handle.write(text)
+            handle.write(report.markdown_report(events, states, args.rows))
     if args.command == "data-status":
         events = tables.load_silver(spark, args.silver)
         source_pipeline_status(

@@ -1,15 +1,14 @@
-"""Markdown report and short narratives from small aggregates."""
+"""Report: its tables as datasets, a Markdown view of them, and short narratives."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.operators.magnitude import preferred_events
 from quakeloom.operators.summaries import completeness_by_domain, counts_by, latest_per_group
 
-# --- Fixed values: report headings and columns ------------------------------
-TITLE = "Relatório automático"
+# --- Fixed values: columns of the latest states ------------------------------
 LATEST_COLUMNS = (
     "catalogue_mode", "tectonic_domain", "window_days", "window_end", "event_count",
     "comparable_event_count", "comparison_epoch_label", "comparison_magnitude_threshold",
@@ -17,24 +16,35 @@ LATEST_COLUMNS = (
     "comparable_effective_sample_size", "comparable_percentile_ci_lower",
     "comparable_percentile_ci_upper",
 )
-BOUNDARY = (
-    "Este relatório descreve estados estatísticos e qualidade de dados. Não prevê data, local ou "
-    "magnitude de um futuro sismo e não substitui informação oficial."
-)
-# Rows a table may take on the driver; a report beyond it is a dataset.
-TABLE_LIMIT = 10_000
+TITLE = "Catálogo e estados actuais"
+BOUNDARY = "Descrição estatística de dados passados: sem previsão e sem valor de aviso oficial."
+
 
+def report_tables(events: DataFrame, fingerprints: DataFrame) -> dict[str, DataFrame]:
+    """All tables of a report, whole, each in its order."""
+    clean = preferred_events(events)
+    keys = [c for c in ("catalogue_mode", "tectonic_domain", "window_days") if c in fingerprints.columns]
+    return {
+        "overview": clean.agg(
+            F.count(F.lit(1)).alias("events"), F.min("origin_time_utc").alias("first"), F.max("origin_time_utc").alias("last")
+        ),
+        "sources": counts_by(clean, "source"),
+        "domains": counts_by(clean, "tectonic_domain"),
+        "completeness": completeness_by_domain(events).select("tectonic_domain", "event_count", "mc").orderBy("tectonic_domain"),
+        "latest": latest_per_group(fingerprints, keys).select(
+            [c for c in LATEST_COLUMNS if c in fingerprints.columns]
+        ).orderBy(*keys),
+    }
 
-def small_rows(frame: DataFrame) -> list:
-    """Rows of a small aggregate; refuses to bring a large one to the driver."""
-    rows = frame.limit(TABLE_LIMIT + 1).collect()
-    if len(rows) > TABLE_LIMIT:
-        raise ValueError("too many rows for a report table; write the aggregate as a dataset")
-    return rows
 
+def write_report(events: DataFrame, fingerprints: DataFrame, path: str) -> None:
+    """The tables as Parquet below ``path``."""
+    for name, frame in report_tables(events, fingerprints).items():
+        frame.write.mode("overwrite").parquet(f"{path}/{name}")
 
-def markdown_table(frame: DataFrame, headings: list[str] | None = None) -> str:
-    """NULL is an empty cell; a bar is escaped."""
+
+def markdown_table(frame: DataFrame, rows: int, headings: list[str] | None = None) -> str:
+    """The first ``rows`` rows; says so if there are more. NULL is an empty cell, a bar is escaped."""
 
     def line(values) -> str:
         return "| " + " | ".join(values) + " |"
@@ -43,91 +53,69 @@ def markdown_table(frame: DataFrame, headings: list[str] | None = None) -> str:
         return "" if value is None else str(value).replace("|", "\\|")
 
     head = headings or frame.columns
-    body = [line([text(v) for v in row]) for row in small_rows(frame)]
-    return "\n".join([line(head), line(["---"] * len(head)), *body])
+    found = frame.limit(rows + 1).collect()
+    body = [line([text(v) for v in row]) for row in found[:rows]]
+    more = [f"\nOnly the first {rows} rows are shown."] if len(found) > rows else []
+    return "\n".join([line(head), line(["---"] * len(head)), *body, *more])
 
 
-def markdown_report(events: DataFrame, fingerprints: DataFrame) -> str:
-    clean = preferred_events(events)
-    span = clean.agg(
-        F.count(F.lit(1)).alias("n"), F.min("origin_time_utc").alias("a"), F.max("origin_time_utc").alias("b")
-    ).first()
-    sources = counts_by(clean, "source")
-    completeness = completeness_by_domain(events).select(
-        "tectonic_domain", "event_count", F.coalesce(F.col("mc").cast("string"), F.lit("insuficiente"))
-    ).orderBy("tectonic_domain")
-    keys = [c for c in ("catalogue_mode", "tectonic_domain", "window_days") if c in fingerprints.columns]
-    latest = latest_per_group(fingerprints, keys).select(
-        [c for c in LATEST_COLUMNS if c in fingerprints.columns]
-    ).orderBy(*keys)
-    names = ", ".join(str(r["source"]) for r in small_rows(sources))
-    shown = markdown_table(latest) if not fingerprints.isEmpty() else "Sem fingerprints disponíveis."
-    parts = [
-        f"# {TITLE}",
-        "## Estado do catálogo",
-        f"- Eventos preferenciais: **{span['n']:,}**\n- Período: **{span['a']}** a **{span['b']}**\n"
-        f"- Fontes: **{names}**",
-        "### Eventos por fonte",
-        markdown_table(sources, ["Fonte", "Eventos"]),
-        "### Eventos por domínio",
-        markdown_table(counts_by(clean, "tectonic_domain"), ["Domínio", "Eventos"]),
-        "### Magnitude de completude",
-        markdown_table(completeness, ["Domínio", "Amostra", "Mc estimada"]),
-        "## Fingerprints mais recentes",
-        shown,
-        "## Limite de comunicação",
-        BOUNDARY,
-    ]
-    return "\n\n".join(parts)
+def markdown_report(events: DataFrame, fingerprints: DataFrame, rows: int) -> str:
+    """A view of the report's tables, ``rows`` rows of each."""
+    tables = report_tables(events, fingerprints)
+    titles = {
+        "overview": ("Catálogo", ["Eventos", "Primeiro", "Último"]),
+        "sources": ("Fontes", ["Fonte", "Eventos"]),
+        "domains": ("Regiões", ["Região", "Eventos"]),
+        "completeness": ("Completude", ["Região", "Amostra", "Mc"]),
+        "latest": ("Estados mais recentes", None),
+    }
+    parts = [f"# {TITLE}"]
+    for name, (title, headings) in titles.items():
+        parts += [f"## {title}", markdown_table(tables[name], rows, headings)]
+    return "\n\n".join([*parts, BOUNDARY])
+
+
+def _percent(value: Column, digits: int = 1) -> Column:
+    return F.when(value.isNull(), "n/d").otherwise(F.format_string(f"%.{digits}f%%", value * 100))
+
+
+def _limit(value: Column) -> Column:
+    return F.when(value.isNull(), "sem limiar").otherwise(F.format_string("M≥%.1f", value))
 
 
 def similarity_summaries(targets: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """One sentence per query about its nearest family."""
+    """One text per query: its own state, and the first of its families."""
     best = neighbours.filter("analogue_rank = 1").select(
         "query_id", F.col("window_end").alias("best_end"), "similarity", "comparability_score"
     )
-    percent = F.coalesce(
-        F.format_string("%.0f%%", F.col("comparable_percentile_event_rate") * 100), F.lit("indisponível")
-    )
-    limit = F.coalesce(
-        F.format_string("M≥%.1f", "comparison_magnitude_threshold"), F.lit("limiar indisponível")
+    own = F.concat(
+        F.lit("Janela até "), F.date_format("window_end", "yyyy-MM-dd"), F.lit(": taxa no percentil "),
+        _percent(F.col("comparable_percentile_event_rate"), 0), F.lit(" ("), _limit(F.col("comparison_magnitude_threshold")),
+        F.lit(", época "), F.coalesce("comparison_epoch_label", F.lit("n/d")), F.lit("). "),
     )
-    percent = F.when(F.col("comparable_percentile_event_rate").isNull(), "indisponível").otherwise(percent)
-    limit = F.when(F.col("comparison_magnitude_threshold").isNull(), "limiar indisponível").otherwise(limit)
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    text = F.concat(
-        F.lit("O estado termina em "), day("window_end"), F.lit(" e situa-se no percentil comparável "),
-        percent, F.lit(" da época «"), F.coalesce("comparison_epoch_label", F.lit("")),
-        F.lit("», usando "), limit,
-        F.lit(". A família temporal mais semelhante tem como representante a janela terminada em "),
-        day("best_end"), F.lit(", com semelhança "), F.format_string("%.1f%%", F.col("similarity") * 100),
-        F.lit(" e compatibilidade "), F.format_string("%.1f%%", F.col("comparability_score") * 100),
-        F.lit(". A semelhança descreve proximidade estatística, não causalidade nem previsão."),
+    found = F.concat(
+        F.lit("Família mais próxima: "), F.date_format("best_end", "yyyy-MM-dd"), F.lit("; semelhança "),
+        _percent(F.col("similarity")), F.lit(", comparabilidade "), _percent(F.col("comparability_score")), F.lit("."),
     )
     return targets.join(best, "query_id", "left").select(
         "query_id",
-        F.when(F.col("best_end").isNull(), "Não foram encontrados estados históricos comparáveis.")
-        .otherwise(text).alias("summary"),
+        F.concat(own, F.when(F.col("best_end").isNull(), "Nenhuma família comparável.").otherwise(found)).alias("summary"),
     )
 
 
 def replay_summaries(scores: DataFrame) -> DataFrame:
-    def percent(name: str):
-        return F.format_string("%.1f%%", F.col(name) * 100)
-
-    limit = F.format_string("M≥%.1f", "threshold_magnitude")
-    text = F.concat(
-        F.lit("No replay com corte em "), F.date_format("cutoff", "yyyy-MM-dd"),
-        F.lit(", a frequência ponderada entre famílias análogas foi "), percent("analogue_probability"),
-        F.lit("; a frequência empírica foi "), percent("historical_rate_probability"),
-        F.lit("; e o Poisson, calculado sobre a mesma exposição, foi "), percent("poisson_probability"),
-        F.lit(". As linhas de base usam a época «"), F.col("baseline_epoch"), F.lit("», "),
-        F.col("baseline_event_count").cast("string"), F.lit(" eventos "), limit, F.lit(" e "),
-        F.format_string("%.1f", F.col("baseline_exposure_days") / 365.25),
-        F.lit(" anos de exposição. No horizonte observado, "),
-        F.when(F.col("observed_outcome"), "ocorreu").otherwise("não ocorreu"), F.lit(" um evento "), limit,
-        F.lit(". O score das famílias não é uma probabilidade calibrada e não constitui um alerta."),
-    )
+    """One text per cutoff: the three chances, what they rest on, and what came."""
+    limit = _limit(F.col("threshold_magnitude"))
     return scores.select(
-        "cutoff", "threshold_magnitude", "horizon_days", text.alias("summary")
+        "cutoff", "threshold_magnitude", "horizon_days",
+        F.concat(
+            F.date_format("cutoff", "yyyy-MM-dd"), F.lit(" + "), F.col("horizon_days").cast("string"), F.lit(" dias, "), limit,
+            F.lit(": famílias "), _percent(F.col("analogue_probability")),
+            F.lit(", frequência histórica "), _percent(F.col("historical_rate_probability")),
+            F.lit(", Poisson "), _percent(F.col("poisson_probability")),
+            F.lit(" (época "), F.coalesce("baseline_epoch", F.lit("n/d")), F.lit(", "),
+            F.coalesce(F.col("baseline_event_count").cast("string"), F.lit("0")), F.lit(" eventos em "),
+            F.format_string("%.1f", F.col("baseline_exposure_days") / 365.25), F.lit(" anos). Observado: "),
+            F.when(F.col("observed_outcome"), "sim").otherwise("não"), F.lit("."),
+        ).alias("summary"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quakeloom.functions import display, text_guard
 from quakeloom.functions.scalar import parse_datetime
 from quakeloom.operators import summaries
+from quakeloom.operators.dedup import deduplicate_events
 from quakeloom.operators.geography import with_region
 from quakeloom.operators.magnitude import MagnitudeRule, homogenize_magnitudes, load_rules
 from quakeloom.plans import context, pipelines, report
@@ -162,36 +163,48 @@ def test_pipeline_tables_and_report(spark, raw_zone, tmp_path):
     assert events.count() == 7 and events.filter("cluster_role is null").isEmpty()
     assert spark.read.json(f"{silver}.metadata").first().row_count == 7
     demo = demo_events(spark)
-    assert demo.count() == 1527 and demo.select("event_id").distinct().count() == 1527
+    assert demo.count() == 1380 and demo.select("event_id").distinct().count() == 1380
     with pytest.raises(RuntimeError):
         tables.assert_not_stale_demo(demo, True)
     pipelines.build_gold(demo, gold, ("complete",), ("operational", "validated"), (90,), 30)
     states = tables.load_gold(spark, gold)
     assert states.filter("magnitude_policy = 'operational'").count() > 100
-    text = report.markdown_report(demo, states)
-    assert "| DEMO | 1527 |" in text and "## Fingerprints mais recentes" in text
-    facts = context.build_context(demo, states, "Vale Inferior do Tejo", 90)
-    assert facts["domain_catalogue_summary"]["sources"] == {"DEMO": 572}
-    assert "latitude" not in json.dumps(facts)
-
-
-def test_context_is_always_valid_json():
-    big = {"a": "x\"\n" * 9000}
-    for limit in (200, 5000, 14000):
-        text = context.context_text(big, limit)
-        assert len(text) <= limit and json.loads(text)["context_truncated"]
-    assert json.loads(context.context_text({"n": float("nan"), "t": datetime(2020, 1, 1)})) == {
-        "n": None, "t": "2020-01-01T00:00:00+00:00"
-    }
+    text = report.markdown_report(demo, states, 3)
+    assert "| DEMO | 1380 |" in text and "## Estados mais recentes" in text
+    report.write_report(demo, states, str(tmp_path / "report"))
+    assert spark.read.parquet(str(tmp_path / "report/sources")).first()["source"] == "DEMO"
+    row = context.build_context(demo, states, "Vale Inferior do Tejo", 90).first()
+    facts = json.loads(row["context"])
+    assert facts["catalogue"]["sources"] == {"DEMO": 580} and row["left_out"] == []
+    assert "latitude" not in row["context"]
 
 
-def test_markdown_escapes(spark):
+def test_context_leaves_out_whole_parts(spark):
+    demo = demo_events(spark)
+    states = spark.createDataFrame([("Vale Inferior do Tejo", 90, float("nan"), 0.123456, datetime(2020, 1, 1))],
+                                   "tectonic_domain string, window_days int, event_rate_per_30d double, maximum_magnitude double, window_end timestamp")
+    details = spark.createDataFrame([("x" * 9000,)], "note string")
+    whole = context.build_context(demo, states, "Vale Inferior do Tejo", 90, details).first()
+    facts = json.loads(whole["context"])
+    assert facts["state"] == {"window_end": "2020-01-01T00:00:00Z", "window_days": 90, "maximum_magnitude": 0.1235}
+    assert facts["details"]["note"] == "x" * 9000 and list(facts) == ["selection", "catalogue", "state", "details"]
+    for characters, left_out in ((5000, ["details"]), (200, ["details", "state", "catalogue"]), (10, ["details", "state", "catalogue", "selection"])):
+        row = context.build_context(demo, states, "Vale Inferior do Tejo", 90, details, characters).first()
+        assert len(row["context"]) <= characters and json.loads(row["context"]) is not None
+        assert row["left_out"][: len(left_out)] == left_out
+    nowhere = json.loads(context.build_context(demo, states, "nowhere", 90).first()["context"])
+    assert "state" not in nowhere
+
+
+def test_markdown_escapes_and_says_what_it_leaves_out(spark):
     frame = spark.createDataFrame([("a|b", None)], "x string, y string")
-    assert report.markdown_table(frame).splitlines()[-1] == "| a\\|b |  |"
+    assert report.markdown_table(frame, 5).splitlines()[-1] == "| a\\|b |  |"
+    assert report.markdown_table(spark.range(9), 5).splitlines()[-1] == "Only the first 5 rows are shown."
 
 
 def test_guard(spark):
     texts = {
+        "Um subprojeto do ipma e não é um projeto do IPMA.": False, "Ｐｒｏｊｅｔｏ do\u00a0IPMA": True,
         "Isto é um projeto do IPMA.": True, "Não é um projeto do IPMA.": False,
         "Foi criado pelo IPMA!": True, "Nunca foi mantido pelo IPMA; e a equipa do IPMA criou isto.": True,
         "O IPMA publica dados.": False, "": False,
@@ -280,3 +293,47 @@ def test_every_statement_has_a_query():
     import __spark_entry__ as entry
 
     assert set(statements()) <= set(entry.queries())
+
+
+def test_folding_is_complete(spark):
+    row = spark.range(1).select(text_guard.normalise_text(F.lit("Žluťoučký\u00a0 ﬁn Ａ\u2003é\n")).alias("t")).first()
+    assert row.t == "zlutoucky fin a e"
+
+
+def test_chunks_leave_no_day_out(spark):
+    spans = spark.createDataFrame([(datetime(2024, 1, 31), datetime(2024, 7, 15)), (datetime(2024, 5, 1), datetime(2024, 5, 1))], "start timestamp, end timestamp")
+    chunks = fdsn.split_ranges(spans, 1).orderBy("chunk_start").collect()
+    assert chunks[0].chunk_start == datetime(2024, 1, 31) and chunks[-1].chunk_end == datetime(2024, 7, 15)
+    assert all(a.chunk_end == b.chunk_start for a, b in zip(chunks, chunks[1:], strict=False))
+    assert chunks[0].chunk_end == datetime(2024, 2, 29)
+
+
+def test_quotes_and_repeated_headings(spark):
+    body = 'EventID,Time,Place,Region\n1,"2020-01-01T00:00:00","LISBON, ""PORTUGAL""",x\n2,2020-01-02,,y'
+    rows = fdsn.parse_bodies(spark.createDataFrame([(body,)], "response_text string")).collect()
+    assert rows[0].record == {"event_id": "1", "time": "2020-01-01T00:00:00", "location": 'LISBON, "PORTUGAL"'}
+    assert rows[1].record["location"] is None
+    bodies = spark.createDataFrame([("bad request",), ("x" * 2000 + "\neventid|time\n1|2020",)], "response_text string")
+    assert [r.reason for r in fdsn.rejected_bodies(bodies).collect()] == ["error"]
+
+
+def test_a_renamed_column_is_checked_again(spark):
+    events = demo_events(spark).limit(1)
+    renamed = events.drop("latitude").withColumn("depth_km", F.lit(500.0))
+    passed = conform(renamed).drop("latitude").withColumnRenamed("depth_km", "latitude")
+    assert conform(passed).first().latitude is None
+
+
+def test_large_duplicate_groups_follow_the_one_formula(spark):
+    import hashlib
+
+    count = 10_500
+    frame = spark.range(count).select(
+        F.format_string("id-%05d", "id").alias("event_id"), F.lit("ISC").alias("source"), F.lit(datetime(2020, 1, 1)).alias("origin_time_utc"),
+        F.lit(38.0).alias("latitude"), F.lit(-9.0).alias("longitude"), F.lit(3.0).alias("magnitude_value"),
+    )
+    ids = {r[0] for r in deduplicate_events(frame).select("duplicate_group_id").distinct().collect()}
+    names = [f"id-{i:05d}" for i in range(count)]
+    parts = [sum(int(hashlib.md5(n.encode()).hexdigest()[k : k + 15], 16) for n in names) for k in (0, 15)]
+    text = "|".join(map(str, [count, names[0], names[-1], *parts]))
+    assert ids == {"DUP-" + hashlib.sha1(text.encode()).hexdigest()[:12].upper()}
