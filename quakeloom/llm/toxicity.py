@@ -27,9 +27,9 @@ from quakeloom.llm.tables import documents, table
 
 SPACE_BITS = 19
 ORDERS = (3, 4, 5, 6)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Documents of each class that the fit may see.
-PER_CLASS = 4000
+PER_CLASS = 2500
 #: Share of the learnt weights in the blend with their mean size.
 BLEND = 0.75
 PENALTY = 0.1
@@ -66,7 +66,7 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
         found.append((rows[:count][inside] << np.uint64(32)) | code[inside])
     keys = np.sort(np.concatenate(found))
     keys = keys[np.diff(keys, prepend=np.uint64(1 << 63)) != 0]
-    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    return (keys >> np.uint64(32)).astype(np.int32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int32)
 
 
 def _ratios(counts: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +87,10 @@ def _weights(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray) -> np.nd
     rows, columns = rows[kept], columns[kept]
     place = np.cumsum(useful) - 1
     columns, ratio_used = place[columns], ratio[useful]
-    values = ratio_used[columns]
+    values = ratio_used.astype(np.float32)[columns]
     ends = np.searchsorted(rows, np.arange(count + 1))
     norm = np.sqrt(np.maximum(np.bincount(rows, values**2, count), 1e-9)).mean()
-    values = values / norm
+    values /= np.float32(norm)
     weights, bias = np.zeros(len(ratio_used)), float(np.log(labels.mean() / (1 - labels.mean())))
     first, second = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     for step in range(1, STEPS + 1):
@@ -163,8 +163,8 @@ def fit_texts(texts: pa.Array, labels: np.ndarray) -> Model:
             counts[k] += np.bincount(mine, minlength=1 << SPACE_BITS)
         start += piece.num_rows
     _, useful = _ratios(counts, labels)
-    found = [(first + r, c) for first, (r, c) in ((first, features(t, useful)) for first, t in pieces)]
-    empty = np.empty(0, np.int64)
+    found = [(np.int32(first) + r, c) for first, (r, c) in ((first, features(t, useful)) for first, t in pieces)]
+    empty = np.empty(0, np.int32)
     return fit(np.concatenate([empty, *[f[0] for f in found]]), np.concatenate([empty, *[f[1] for f in found]]), labels)
 
 
