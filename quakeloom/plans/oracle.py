@@ -6,6 +6,8 @@ not from the Spark plan, so that the two check each other.
 
 from __future__ import annotations
 
+from quakeloom.fixed_values import DECLUSTER_METHOD
+
 ORDERS = """
 cat AS (
   SELECT o_orderkey AS id, o_custkey AS cust, o_orderdate + INTERVAL 3653 DAY AS ts,
@@ -71,6 +73,35 @@ def mc(source: str, keys: str, minimum: int, name: str) -> str:
   FROM {name}_h GROUP BY {k} mn, n)"""
 
 
+SEQUENCE_ID = "CASE WHEN m.id IS NOT NULL THEN m.seq ELSE o.seq END"
+SEQUENCE_ROLE = (
+    "CASE WHEN eq.id IS NULL THEN 'ineligible' WHEN m.id IS NOT NULL THEN 'mainshock'"
+    " WHEN k.id IS NOT NULL THEN 'associated_event' ELSE 'background' END"
+)
+
+
+def sequences(catalogue: str, where: str) -> str:
+    """CTEs of the greedy declustering: eq (eligible), claim (id, owner) and main (id, seq).
+
+    In order of size and time, an unclaimed candidate claims the later, not
+    larger events in its window. Round by round, a candidate is settled when
+    each earlier one that covers it is: claimed by one that is not, or free.
+    """
+    return f"""
+eq AS (SELECT id, ts, lat, lon, mag, least(180e0, greatest(12e0, pow(10, mag*0.5e0 - 0.75e0))) AS radius,
+    least(365e0, greatest(1e0, pow(10, mag*0.8e0 - 1.2e0))) AS days FROM {catalogue} WHERE {where} AND mag IS NOT NULL),
+cand AS (SELECT *, row_number() OVER (ORDER BY mag DESC, ts, id::VARCHAR) AS p FROM eq WHERE mag >= 3),
+pairs AS MATERIALIZED (SELECT a.id AS c, a.p, b.id AS e FROM cand a JOIN eq b ON b.ts > a.ts AND b.mag <= a.mag
+    AND epoch_us(b.ts) - epoch_us(a.ts) <= a.days*86400000000 AND {hav('b.lat', 'b.lon', 'a.lat', 'a.lon')} <= a.radius),
+state(id, s, r) AS (SELECT id, 0, 0 FROM cand UNION ALL
+  SELECT st.id, CASE WHEN st.s <> 0 THEN st.s WHEN x.taken THEN 2 WHEN x.open THEN 0 ELSE 1 END, st.r + 1
+  FROM state st LEFT JOIN (SELECT e, bool_or(s = 1) AS taken, bool_or(s = 0) AS open FROM pairs JOIN state y ON y.id = c GROUP BY e) x ON x.e = st.id
+  WHERE EXISTS (SELECT 1 FROM state WHERE s = 0)),
+free AS (SELECT id FROM state WHERE s = 1 AND r = (SELECT max(r) FROM state)),
+claim AS (SELECT e AS id, arg_min(c, p) AS owner FROM pairs WHERE c IN (SELECT id FROM free) GROUP BY e),
+main AS (SELECT id, 'SEQ-' || lpad(row_number() OVER (ORDER BY p)::VARCHAR, 6, '0') AS seq FROM cand WHERE id IN (SELECT owner FROM claim))"""
+
+
 def features(where: str = "pref", windows: str = "30),(90),(365", catalogue: str = ORDERS) -> str:
     """CTEs ending in ``feat``: all window features of one population."""
     return f"""
@@ -245,8 +276,8 @@ WITH {ORDERS}, y AS (SELECT id, (800 + id % 1300)::INT AS y FROM cat)
 SELECT {EPOCH.format(y='y')} AS observation_epoch, {LABEL.format(e='(' + EPOCH.format(y='y') + ')')} AS observation_epoch_label,
   {FLOOR.format(e='(' + EPOCH.format(y='y') + ')')} AS floor, count(*)::BIGINT AS events, min(y) AS first_year, max(y) AS last_year
 FROM y GROUP BY 1, 2, 3"""
-    out["region_assignment"] = f"""
-WITH {ORDERS}, {REGION_EDGES},
+    placed = f"""
+{REGION_EDGES},
 pts AS (SELECT DISTINCT lat, lon FROM cat),
 test AS (
   SELECT p.lat, p.lon, e.reg, e.ord, e.area,
@@ -258,8 +289,11 @@ test AS (
 per AS (
   SELECT lat, lon, count(*) FILTER (border OR crossings % 2 = 1) AS hits, arg_min(reg, area) FILTER (border OR crossings % 2 = 1) AS inside,
     arg_min(reg, dist*1000000 + ord*1e-9) AS near, min(dist) AS dist
-  FROM test GROUP BY 1, 2)
-SELECT c.id::VARCHAR AS event_id, CASE WHEN hits > 0 THEN inside WHEN dist <= 0.25 THEN near ELSE 'Fora dos domínios piloto' END AS tectonic_domain,
+  FROM test GROUP BY 1, 2)"""
+    region = "CASE WHEN hits > 0 THEN inside WHEN dist <= 0.25 THEN near ELSE 'Fora dos domínios piloto' END"
+    out["region_assignment"] = f"""
+WITH {ORDERS}, {placed}
+SELECT c.id::VARCHAR AS event_id, {region} AS tectonic_domain,
   CASE WHEN hits = 1 THEN 0.9e0 WHEN hits > 1 THEN 0.85e0 WHEN dist <= 0.25 THEN 0.45e0 ELSE 0.2e0 END AS domain_confidence
 FROM cat c JOIN per USING (lat, lon)"""
     out["population_filters"] = f"""
@@ -339,6 +373,28 @@ ranked AS (SELECT m.id, n.gid, row_number() OVER (PARTITION BY m.c ORDER BY
     out["duplicate_groups"] = f"""
 WITH RECURSIVE {groups}
 SELECT c.id::VARCHAR AS event_id, r.gid AS duplicate_group_id, coalesce(r.r = 1, true) AS is_preferred_record FROM cat c LEFT JOIN ranked r USING (id)"""
+    out["declustered_catalogue"] = f"""
+WITH RECURSIVE {EVENTS}, {sequences("cat", "true")}
+SELECT c.id::VARCHAR AS event_id, {SEQUENCE_ID} AS cluster_id, {SEQUENCE_ROLE} AS cluster_role,
+  {SEQUENCE_ROLE} IN ('background', 'mainshock') AS is_background_event
+FROM cat c LEFT JOIN eq ON eq.id = c.id LEFT JOIN claim k ON k.id = c.id LEFT JOIN main m ON m.id = c.id LEFT JOIN main o ON o.id = k.owner"""
+    out["declustering_counts"] = f"""
+WITH RECURSIVE {EVENTS}, {sequences("cat", "true")}, roles AS (
+  SELECT {SEQUENCE_ROLE} AS r, {SEQUENCE_ID} AS s, eq.id IS NOT NULL AS ok
+  FROM cat c LEFT JOIN eq ON eq.id = c.id LEFT JOIN claim k ON k.id = c.id LEFT JOIN main m ON m.id = c.id LEFT JOIN main o ON o.id = k.owner),
+n AS (SELECT count(*) AS n, count(*) FILTER (ok) AS ok, count(*) FILTER (r IN ('background', 'mainshock')) AS bg, count(*) FILTER (r = 'associated_event') AS a,
+  count(*) FILTER (r = 'mainshock') AS m, count(*) FILTER (r = 'ineligible') AS i, count(DISTINCT s) AS q FROM roles)
+SELECT n AS preferred_events, ok AS eligible_events, bg AS background_events, a AS associated_events, m AS mainshocks, i AS ineligible_events, 0::BIGINT AS unclassified_events,
+  bg + a + i AS reconciled_events, n - bg - a - i AS reconciliation_gap, q AS sequences, round(bg/n::DOUBLE, 6) AS retained_fraction, round(bg/ok::DOUBLE, 6) AS retained_fraction_eligible,
+  '{DECLUSTER_METHOD}' AS method FROM n"""
+    out["harmonised_catalogue"] = f"""
+WITH RECURSIVE {groups}, kept AS (
+  SELECT c.*, r.gid, coalesce(r.r = 1, true) AS pref FROM cat c LEFT JOIN ranked r USING (id)),
+{sequences("kept", "pref")}, {placed}
+SELECT c.id::VARCHAR AS event_id, {region} AS tectonic_domain, c.gid AS duplicate_group_id, c.pref AS is_preferred_record,
+  CASE WHEN NOT c.pref THEN 'redundant_record' ELSE {SEQUENCE_ROLE} END AS cluster_role,
+  CASE WHEN c.mag IS NULL THEN 'missing' WHEN c.mtype = 'Mw' THEN 'reviewed_identity' WHEN c.mtype = 'ML' THEN 'review_required' ELSE 'unknown_scale' END AS magnitude_homogenization_status
+FROM kept c JOIN per USING (lat, lon) LEFT JOIN eq ON eq.id = c.id LEFT JOIN claim k ON k.id = c.id LEFT JOIN main m ON m.id = c.id LEFT JOIN main o ON o.id = k.owner"""
     out["consolidation"] = f"""
 WITH RECURSIVE {groups}, f AS (SELECT r.gid, coalesce(r.r = 1, true) AS pref FROM cat c LEFT JOIN ranked r USING (id))
 SELECT count(*)::BIGINT AS raw_records, count(*) FILTER (pref)::BIGINT AS consolidated_events, count(*) FILTER (NOT pref)::BIGINT AS redundant_records,
