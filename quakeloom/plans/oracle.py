@@ -73,6 +73,7 @@ def mc(source: str, keys: str, minimum: int, name: str) -> str:
   FROM {name}_h GROUP BY {k} mn, n)"""
 
 
+SCENARIOS = ", ".join(f"({m}e0, {h})" for m in ("3.5", "4", "4.5", "5") for h in (7, 30, 90))
 SEQUENCE_ID = "CASE WHEN m.id IS NOT NULL THEN m.seq ELSE o.seq END"
 SEQUENCE_ROLE = (
     "CASE WHEN eq.id IS NULL THEN 'ineligible' WHEN m.id IS NOT NULL THEN 'mainshock'"
@@ -454,15 +455,47 @@ WITH {scaling} SELECT dom AS tectonic_domain, we::VARCHAR AS window_end, f AS fe
 WITH {scaling}, wt AS (SELECT dom, f, CASE f {weights} END AS w FROM u), wn AS (SELECT dom, f, w/avg(w) OVER (PARTITION BY dom) AS w FROM wt)
 SELECT dom AS tectonic_domain, we::VARCHAR AS window_end, round(sqrt(sum((z - tz)*(z - tz)*w)), 5) AS raw_distance
 FROM z JOIN wn USING (dom, f) GROUP BY dom, we"""
+    comparable = f"""
+cs AS (SELECT h.dom, h.we, {exp.format(c='quality', s='0.18e0', d='0.6e0')} AS a, {exp.format(c='mc', s='0.65e0', d='0.55e0')} AS b,
+  {exp.format(c='thr', s='0.5e0', d='0.5e0')} AS c, ({cov})/3 AS d,
+  CASE WHEN sqrt({nt}) = 0 THEN 0.5e0 ELSE greatest(0.05e0, least(1e0, CASE WHEN sqrt({nh})*sqrt({nt}) > 0 THEN ({dot})/(sqrt({nh})*sqrt({nt})) ELSE 0 END)) END AS e
+  FROM feat h JOIN t ON t.dom = h.dom AND h.we <= t.we - 365 AND h.epoch = t.epoch),
+comp AS (SELECT dom, we, greatest(0.05e0, least(1e0, exp(0.2e0*ln(greatest(a,0.05e0)) + 0.2e0*ln(greatest(b,0.05e0)) + 0.15e0*ln(greatest(c,0.05e0))
+   + 0.2e0*ln(greatest(d,0.05e0)) + 0.25e0*ln(greatest(e,0.05e0))))) AS score FROM cs)"""
+    # Families are all windows that end within half the radius (720 / 2 days);
+    # five are picked by distance, whose intervals keep 90 days apart.
+    neighbours = f"""{scaling}, wt AS (SELECT dom, f, CASE f {weights} END AS w FROM u), wn AS (SELECT dom, f, w/avg(w) OVER (PARTITION BY dom) AS w FROM wt),
+raw AS (SELECT dom, we, sqrt(sum((z - tz)*(z - tz)*w)) AS raw FROM z JOIN wn USING (dom, f) GROUP BY dom, we), {comparable},
+enough AS (SELECT dom FROM raw GROUP BY dom HAVING count(*) >= 5 AND dom IN (SELECT dom FROM u GROUP BY dom HAVING count(*) >= 2)),
+m AS (SELECT raw.*, score, raw/greatest(0.2e0, least(1e0, score)) AS adj FROM raw JOIN comp USING (dom, we) SEMI JOIN enough USING (dom)),
+sim AS (SELECT m.*, exp(-adj/greatest(median(adj) OVER (PARTITION BY dom), 1e-6)) AS sim FROM m),
+fam AS (SELECT a.dom, a.we, min(b.we - 89) AS fs, max(b.we) AS fe, count(*) AS n FROM m a JOIN m b ON a.dom = b.dom AND abs(a.we - b.we) <= 360 GROUP BY 1, 2),
+ranked AS (SELECT sim.*, fs, fe, n, row_number() OVER (PARTITION BY dom ORDER BY adj, we) AS i FROM sim JOIN fam USING (dom, we)),
+pick(dom, i, ch) AS (SELECT DISTINCT dom, 0::BIGINT, []::STRUCT(fs DATE, fe DATE, i BIGINT)[] FROM ranked UNION ALL
+  SELECT p.dom, r.i, CASE WHEN len(ch) >= 5 OR len(list_filter(ch, lambda x: r.fs <= x.fe + 90 AND r.fe >= x.fs - 90)) > 0 THEN ch
+    ELSE list_append(ch, {{'fs': r.fs, 'fe': r.fe, 'i': r.i}}) END FROM pick p JOIN ranked r ON r.dom = p.dom AND r.i = p.i + 1),
+best AS (SELECT dom, arg_max(ch, i) AS ch FROM pick GROUP BY dom),
+near AS (SELECT r.*, x.k AS rank, 'FAM-' || strftime(fs, '%Y%m%d') || '-' || strftime(fe, '%Y%m%d') AS fid, 'EPI-' || strftime(we, '%Y%m%d') AS eid
+  FROM (SELECT dom, unnest(ch).i AS i, unnest(generate_series(1, len(ch))) AS k FROM best) x JOIN ranked r ON r.dom = x.dom AND r.i = x.i)"""
+    out["nearest_states_fixed"] = f"""
+WITH RECURSIVE {neighbours} SELECT dom AS tectonic_domain, rank::INT AS analogue_rank, we::VARCHAR AS window_end, fid AS family_id, eid AS episode_id, n::BIGINT AS family_window_count,
+  round(raw, 5) AS raw_distance, round(score, 5) AS comparability_score, round(adj, 5) AS adjusted_distance, round(sim, 5) AS similarity FROM near"""
+    out["similarity_explanations"] = f"""
+WITH RECURSIVE {neighbours}, d AS (SELECT n.dom, n.rank, n.we, n.eid, n.fid, z.f, abs(z - tz) AS a, abs(z - tz)*w AS b
+  FROM near n JOIN z ON z.dom = n.dom AND z.we = n.we JOIN wn ON wn.dom = n.dom AND wn.f = z.f)
+SELECT d.rank::INT AS analogue_rank, d.we::VARCHAR AS neighbour_window_end, d.eid AS episode_id, d.fid AS family_id, d.f AS feature, round(l.tx, 5) AS target_value, round(l.x, 5) AS neighbour_value,
+  round(a, 5) AS robust_absolute_difference, round(b, 5) AS weighted_difference,
+  round(CASE WHEN sum(b) OVER (PARTITION BY d.dom, d.we) > 0 THEN b/sum(b) OVER (PARTITION BY d.dom, d.we)*100 ELSE 0 END, 5) AS contribution_pct
+FROM d JOIN l ON l.dom = d.dom AND l.we = d.we AND l.f = d.f"""
     out["future_outcomes"] = f"""
-WITH {feat90}, ok AS (SELECT * FROM cat WHERE pref), s(thr0, h) AS (VALUES (4e0, 7), (4e0, 30), (4.9e0, 7), (4.9e0, 30))
+WITH {feat90}, ok AS (SELECT * FROM cat WHERE pref), s(thr0, h) AS (VALUES {SCENARIOS})
 SELECT f.dom AS tectonic_domain, f.we::VARCHAR AS window_end, s.thr0 AS threshold_magnitude, s.h AS horizon_days,
   EXISTS (SELECT 1 FROM ok e WHERE e.dom = f.dom AND e.mag >= s.thr0 AND e.ts > f.we::TIMESTAMP AND e.ts <= f.we::TIMESTAMP + to_days(s.h::INT)) AS outcome
 FROM feat f, s"""
     out["replay_baselines"] = f"""
 WITH {ORDERS}, ok AS (SELECT *, {EPOCH.format(y='year(ts)')} AS epoch FROM cat WHERE pref),
 c AS (SELECT DISTINCT dom, date_trunc('quarter', ts) + INTERVAL 1 DAY AS cut FROM ok),
-s(thr0, h) AS (VALUES (4e0, 7), (4e0, 30), (4.9e0, 7), (4.9e0, 30)),
+s(thr0, h) AS (VALUES {SCENARIOS}),
 x AS (SELECT c.dom, cut, {EPOCH.format(y='year(cut)')} AS epoch FROM c),
 f AS (SELECT x.*, (SELECT min(ts)::DATE::TIMESTAMP FROM ok WHERE ok.dom = x.dom AND ok.epoch = x.epoch AND ts <= cut) AS t0 FROM x),
 g AS (SELECT f.*, s.*, coalesce(greatest(0, epoch_us(cut) - epoch_us(t0))/86400e6, 0) AS expo FROM f, s),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeloom.fixed_values import FEATURE_WEIGHTS
+from quakeloom.fixed_values import FEATURE_WEIGHTS, GRID_HORIZONS, GRID_THRESHOLDS
 from quakeloom.functions import display, text_guard
 from quakeloom.functions.scalar import (
     brier_skill_score, effective_sample_size, first_present, haversine_km,
@@ -41,7 +41,7 @@ from quakeloom.sources import ahead, fdsn, ipma
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-QUARTER_SCENARIOS = ((4.0, 4.9), (7, 30))
+SCENARIOS = (GRID_THRESHOLDS, GRID_HORIZONS)
 
 
 def query(function: Query) -> Query:
@@ -494,31 +494,32 @@ def _nearest(spark, sf, **options) -> DataFrame:
         found.neighbours.select(
             "tectonic_domain", "analogue_rank", "window_end", "family_id", "episode_id",
             "family_window_count", "raw_distance", "comparability_score", "adjusted_distance", "similarity",
-        )
+        ),
+        5,
     )
 
 
 @query
 def nearest_states_fixed(spark, sf):
-    return _nearest(spark, sf, family_gap_days=180)
+    return _nearest(spark, sf)
 
 
 @query
 def nearest_states_adaptive_mahalanobis(spark, sf):
-    return _nearest(spark, sf, family_gap_days=180, metric="mahalanobis", family_method="adaptive")
+    return _nearest(spark, sf, metric="mahalanobis", family_method="adaptive")
 
 
 @query
 def similarity_explanations(spark, sf):
     states = staged(build_fingerprints(orders_catalogue(spark, sf), (90,)))
-    found = nearest_states(states, latest_queries(states), 90, family_gap_days=180)
+    found = nearest_states(states, latest_queries(states), 90)
     return rounded(found.feature_differences.drop("query_id"), 5)
 
 
 @query
 def future_outcomes(spark, sf):
     states = staged(one(spark, sf, (90,)))
-    asked = scenario_table(states.select("tectonic_domain", "window_end"), *QUARTER_SCENARIOS).select(
+    asked = scenario_table(states.select("tectonic_domain", "window_end"), *SCENARIOS).select(
         "*",
         F.concat_ws("/", "tectonic_domain", "window_end", "threshold_magnitude", "horizon_days").alias("ask_id"),
         F.unix_micros("window_end").alias("start_us"),
@@ -538,7 +539,7 @@ def replay_baselines(spark, sf):
         "tectonic_domain",
         (F.date_trunc("quarter", "origin_time_utc") + F.expr("interval 1 day")).alias("cutoff"),
     ).distinct()
-    asked = scenario_table(cutoffs, *QUARTER_SCENARIOS).select(
+    asked = scenario_table(cutoffs, *SCENARIOS).select(
         "*",
         F.concat_ws("/", "tectonic_domain", "cutoff", "threshold_magnitude", "horizon_days").alias("ask_id"),
     )
@@ -556,7 +557,7 @@ def replay_baselines(spark, sf):
 def _walk_forward(spark, sf) -> DataFrame:
     events = orders_catalogue(spark, sf)
     states = staged(build_fingerprints(events, (90,)))
-    return staged(walk_forward_grid(events, states, thresholds=(4.0, 4.9), horizons=(7, 30)))
+    return staged(walk_forward_grid(events, states))
 
 
 @query
