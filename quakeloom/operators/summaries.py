@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,47 +253,47 @@ def activity_label(percentile: Column) -> Column:
     )
 
 
-def _block_bootstrap(resamples: int, confidence: float, seed: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("window_end")
-        values = group["value"].to_numpy(float)
-        values = values[np.isfinite(values)]
-        target, n = float(group["target"].iloc[0]), len(values)
-        asked = group["block"].iloc[0]
-        head = group.iloc[:1].drop(columns=["window_end", "value", "target", "block"])
-        if n < 3 or not np.isfinite(target):
-            return head.assign(point=np.nan, boot_lower=np.nan, boot_upper=np.nan,
-                               block_length=max(1, int(asked or 1)))
-        length = int(np.clip(asked if asked == asked else round(n ** (1 / 3)), 2, n))
-        hits = (values <= target).astype(float)
-        rng, last = np.random.default_rng(seed), max(1, n - length + 1)
-        blocks = -(-n // length)
-        starts = rng.integers(0, last, size=(resamples, blocks))
-        index = (starts[:, :, None] + np.arange(length)).reshape(resamples, -1)[:, :n]
-        shares = hits[index].mean(axis=1)
-        tail = (1 - confidence) / 2
-        low, high = np.quantile(shares, [tail, 1 - tail])
-        return head.assign(point=hits.mean(), boot_lower=low, boot_upper=high, block_length=length)
-
-    return run
-
-
 def bootstrap_intervals(
     series: DataFrame, keys: Sequence[str], resamples: int = 800, confidence: float = 0.95, seed: int = 42
 ) -> DataFrame:
     """Moving-block bootstrap of a percentile, per key.
 
     ``series``: keys, window_end, value (a prior value), target, block
-    (NULL = cube root of n). A key is one region's windows: calendar-bounded.
+    (NULL = cube root of n). Block starts come from the MD5 of seed, resample
+    and block, so that they are the same everywhere. A key's row holds one
+    region's windows, calendar-bounded; resamples are spread over tasks. With
+    fewer than three prior values, or no target, the figures are NULL.
     """
-    kinds = dict(series.dtypes)
-    fields = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return series.select(
-        *keys, "window_end", F.col("value").cast("double").alias("value"),
-        F.col("target").cast("double").alias("target"), F.col("block").cast("double").alias("block"),
-    ).groupBy(*keys).applyInPandas(
-        _block_bootstrap(resamples, confidence, seed),
-        f"{fields}, point double, boot_lower double, boot_upper double, block_length int",
+    ordered = series.filter("value is not null and not isnan(value)").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("window_end", (F.col("value") <= F.col("target")).cast("int").alias("hit")))).alias("_s"),
+        F.count(F.lit(1)).alias("_n"),
+        F.first("block").cast("double").alias("_asked"),
+        F.first("target").cast("double").alias("_target"),
+    )
+    wanted = F.coalesce(F.col("_asked"), F.round(F.pow(F.col("_n"), F.lit(1 / 3))))
+    ready = ordered.select(
+        *keys, "_n", (F.col("_target").isNotNull() & ~F.isnan("_target") & (F.col("_n") >= 3)).alias("_ok"),
+        F.when(F.col("_n") >= 3, F.least(F.greatest(wanted, F.lit(2)), F.col("_n"))).otherwise(F.greatest(F.lit(1), wanted))
+        .cast("int").alias("block_length"),
+        # How many hits stand before each position.
+        F.expr("aggregate(_s, array(0), (x, y) -> concat(x, array(element_at(x, -1) + coalesce(y.hit, 0))))").alias("_before"),
+    )
+    drawn = ready.filter("_ok").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).select(
+        *keys,
+        F.expr(f"""
+            aggregate(sequence(0L, (_n - 1) div block_length), 0, (total, b) -> total + aggregate(array(
+                cast(conv(substr(md5(cast(concat_ws('|', {seed}, _r, b) as binary)), 1, 15), 16, 10) as bigint) % greatest(1, _n - block_length + 1)),
+                0, (x, at) -> _before[cast(at + least(block_length, _n - b * block_length) as int)] - _before[cast(at as int)])) / _n
+        """).alias("_share"),
+    )
+    tail = (1 - confidence) / 2
+    intervals = drawn.groupBy(*keys).agg(
+        F.expr(f"percentile(_share, array({tail}D, {1 - tail}D))").alias("_q")
+    ).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_q")[0].alias("boot_lower"), F.col("_q")[1].alias("boot_upper"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return ready.join(intervals, same, "left").select(
+        *keys, F.when(F.col("_ok"), F.element_at("_before", -1) / F.col("_n")).alias("point"),
+        "boot_lower", "boot_upper", "block_length",
     )
 
 
@@ -321,8 +319,8 @@ def conservative_states(fingerprints: DataFrame) -> DataFrame:
     )
     boot = bootstrap_intervals(prior, keys)
     joined = latest.join(boot, keys, "left")
-    lower = F.least("comparable_percentile_ci_lower", F.nanvl("boot_lower", F.lit(None)))
-    upper = F.greatest("comparable_percentile_ci_upper", F.nanvl("boot_upper", F.lit(None)))
+    lower = F.least("comparable_percentile_ci_lower", "boot_lower")
+    upper = F.greatest("comparable_percentile_ci_upper", "boot_upper")
     state = activity_state(
         F.col("comparable_percentile_event_rate"), F.col("ci_lower"), F.col("ci_upper"),
         F.col("comparable_effective_sample_size"),

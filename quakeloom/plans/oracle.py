@@ -6,7 +6,9 @@ not from the Spark plan, so that the two check each other.
 
 from __future__ import annotations
 
-from quakeloom.fixed_values import DECLUSTER_METHOD
+from quakeloom.fixed_values import (
+    DECLUSTER_METHOD, STATE_BASELINE, STATE_CROSSING, STATE_ELEVATED, STATE_EXCEPTIONAL, STATE_MISSING, STATE_SMALL,
+)
 
 ORDERS = """
 cat AS (
@@ -577,6 +579,25 @@ SELECT vec_id, CASE WHEN vec_id % 23 = 0 THEN 'Inconclusivo — referência insu
   WHEN hi < 0.8 THEN 'Sem evidência robusta de elevação' ELSE 'Inconclusivo — intervalo atravessa o limiar' END AS state,
   CASE WHEN p >= 0.95 THEN 'Atividade elevada' WHEN p >= 0.75 THEN 'Em observação' ELSE 'Dentro da linha de base' END AS label
 FROM (SELECT vec_id, (vec_id % 101)/100e0 AS p, greatest(0e0, (vec_id % 101)/100e0 - label/100e0) AS lo, least(1e0, (vec_id % 101)/100e0 + label/50e0) AS hi, (vec_id % 12)::DOUBLE AS eff FROM embeddings)"""
+    state = "\n  ".join((
+        "CASE WHEN p IS NULL OR lo IS NULL OR hi IS NULL OR eff IS NULL THEN ('Inconclusivo — referência insuficiente', '{m}')",
+        "WHEN eff < 5 THEN ('Inconclusivo — amostra efetiva reduzida', '{s}') WHEN lo >= 0.95 THEN ('Elevação excecional robusta', '{x}')",
+        "WHEN lo >= 0.8 THEN ('Atividade elevada com suporte estatístico', '{e}') WHEN hi < 0.8 THEN ('Sem evidência robusta de elevação', '{b}')",
+        "ELSE ('Inconclusivo — intervalo atravessa o limiar', '{c}') END",
+    )).format(m=STATE_MISSING[1], s=STATE_SMALL[1], x=STATE_EXCEPTIONAL[1], e=STATE_ELEVATED[1], b=STATE_BASELINE[1], c=STATE_CROSSING[1])
+    out["activity_of_latest_windows"] = f"""
+WITH {feat90}, {percentile('dom,w,epoch', 'cn', 'c')}, l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY dom ORDER BY we DESC) = 1),
+h AS (SELECT l.dom, list((f.crate <= l.crate)::INT ORDER BY f.we) AS h, count(*) AS n, greatest(2, least(count(*), any_value(l.ovl))) AS len
+  FROM l JOIN feat f ON f.dom = l.dom AND f.epoch = l.epoch AND f.we < l.we WHERE f.crate IS NOT NULL GROUP BY l.dom),
+r AS (SELECT dom, r, sum(list_sum(h[beg + 1 : beg + least(len, n - b*len)]))/any_value(n)::DOUBLE AS share FROM (
+  SELECT *, ('0x' || substr(md5('42|' || r || '|' || b), 1, 15))::BIGINT % greatest(1, n - len + 1) AS beg
+  FROM h, range(0, 800) t(r), LATERAL (SELECT unnest(range(0, (n - 1)//len + 1)) AS b) k WHERE n >= 3) GROUP BY dom, r),
+q AS (SELECT dom, quantile_cont(share, 0.025) AS lo, quantile_cont(share, 0.975) AS hi FROM r GROUP BY dom),
+v AS (SELECT l.dom, l.we, l.p, l.eff, coalesce(least(l.lo, q.lo), l.lo, q.lo) AS lo, coalesce(greatest(l.hi, q.hi), l.hi, q.hi) AS hi FROM l LEFT JOIN q USING (dom)),
+s AS (SELECT *, {state} AS st FROM v)
+SELECT 'complete' AS catalogue_mode, 'operational' AS magnitude_policy, dom AS tectonic_domain, 90 AS window_days, we::VARCHAR AS window_end,
+  round(p, 6) AS comparable_percentile_event_rate, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper, round(eff, 6) AS comparable_effective_sample_size,
+  st[1] AS state, st[2] AS level FROM s"""
     out["map_points"] = f"""
 WITH {EVENTS} SELECT id::VARCHAR AS event_id, round(least(46e0, greatest(7e0, pow(mag, 2.15e0)*2.5e0)), 6) AS marker_size,
   '<b>' || dom || '</b><br>Data: ' || strftime(ts, '%Y-%m-%d %H:%M:%S UTC') || '<br>Magnitude: ' || format('{{:.1f}}', round(mag, 1)) || '<br>Profundidade: ' ||

@@ -248,23 +248,28 @@ def test_long_span_counts_years_and_fraction(spark):
     assert summaries.fractional_date(frame, 0.5).first()[0].year == 1755
 
 
-def test_bootstrap_matches_numpy(spark):
+def test_bootstrap_by_brute_force(spark):
     import numpy as np
 
-    values = [float(np.sin(i / 7)) for i in range(60)]
+    values = [float(np.sin(i / 7)) for i in range(57)]
     frame = spark.createDataFrame(
-        [("a", i, v, 0.3, 10) for i, v in enumerate(values)], "k string, window_end int, value double, target double, block int"
+        [("a", i, v, 0.3, 10) for i, v in enumerate(values)] + [("b", i, 1.0, 0.5, None) for i in range(2)] + [(None, i, float(i), 5.0, None) for i in range(30)],
+        "k string, window_end int, value double, target double, block int",
     )
-    got = summaries.bootstrap_intervals(frame, ["k"], resamples=200).first()
-    rng, shares = np.random.default_rng(42), []
-    for _ in range(200):
+    rows = {r.k: r for r in summaries.bootstrap_intervals(frame, ["k"], resamples=200).collect()}
+    shares = []
+    for r in range(200):
         sample = []
-        while len(sample) < 60:
-            start = int(rng.integers(0, 51))
+        for b in range(6):
+            start = int(hashlib.md5(f"42|{r}|{b}".encode()).hexdigest()[:15], 16) % 48
             sample += values[start:start + 10]
-        shares.append(np.mean(np.array(sample[:60]) <= 0.3))
+        shares.append(np.mean(np.array(sample[:57]) <= 0.3))
     low, high = np.quantile(shares, [0.025, 0.975])
+    got = rows["a"]
     assert (got.boot_lower, got.boot_upper, got.block_length) == (pytest.approx(low), pytest.approx(high), 10)
+    assert got.point == pytest.approx(np.mean(np.array(values) <= 0.3))
+    assert rows["b"].boot_lower is None and rows["b"].point is None
+    assert rows[None].block_length == 3 and rows[None].point == pytest.approx(0.2)
 
 
 QUICK = [
