@@ -168,57 +168,59 @@ def scaled_features(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _inverse_covariance(group: pd.DataFrame) -> pd.DataFrame:
-    """Pseudo-inverse of one query's covariance (at most 11 x 11)."""
-    names = sorted(group["f1"].unique())
-    matrix = group.pivot(index="f1", columns="f2", values="cov").loc[names, names].to_numpy()
-    inverse = np.linalg.pinv(matrix + np.eye(len(names)) * 1e-6)
-    grid = [(a, b, inverse[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)]
-    out = pd.DataFrame(grid, columns=["f1", "f2", "inv"])
-    out.insert(0, "query_id", group["query_id"].iloc[0])
-    return out
-
-
-def raw_distances(scaled: DataFrame, metric: str) -> DataFrame:
-    """(query_id, row, raw_distance) from scaled rows with normalised weights."""
+def _inverse_covariance(size: int):
+    """Pseudo-inverse of a query's covariance; features it lacks get zeros."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        matrix = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)], float)
+        known = np.flatnonzero(~np.isnan(matrix.diagonal()))
+        inside = np.ix_(known, known)
+        inverse = np.zeros((size, size))
+        inverse[inside] = np.linalg.pinv(matrix[inside] + np.eye(len(known)) * 1e-6)
+        return pd.DataFrame({"query_id": group["query_id"], "inverse": [inverse.tolist()]})
+
+    return run
+
+
+def raw_distances(scaled: DataFrame, metric: str, names: Sequence[str] = tuple(FEATURE_WEIGHTS)) -> DataFrame:
+    """(query_id, row, raw_distance) from scaled rows with normalised weights.
+
+    Rows are kept wide, one entry a feature: the covariance is one aggregate,
+    and its quadratic form an expression over the row's arrays.
+    """
     difference = F.col("z") - F.col("target_z")
-    euclid = scaled.groupBy("query_id", "row").agg(
-        F.sqrt(F.sum(difference * difference * F.col("weight"))).alias("raw_distance"),
-        F.count(F.lit(1)).alias("_p"),
-    )
+    euclid = F.sqrt(F.sum(difference * difference * F.col("weight"))).alias("raw_distance")
     if metric != "mahalanobis":
-        return euclid.drop("_p")
-    rooted = scaled.select(
-        "query_id", "row", "feature",
-        (F.col("z") * F.sqrt("weight")).alias("u"),
-        (difference * F.sqrt("weight")).alias("d"),
-    )
-    # pairs of features inside one row: at most 11 x 11
-    pairs = rooted.alias("a").join(
-        rooted.alias("b"),
-        (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.row") == F.col("b.row")),
-    ).select(
-        "a.query_id", "a.row", F.col("a.feature").alias("f1"), F.col("b.feature").alias("f2"),
-        F.col("a.u").alias("u1"), F.col("b.u").alias("u2"), (F.col("a.d") * F.col("b.d")).alias("dd"),
-    )
+        return scaled.groupBy("query_id", "row").agg(euclid)
+
+    def entry(value: Column, name: str) -> Column:
+        return F.max(F.when(F.col("feature") == name, value * F.sqrt("weight")))
+
+    wide = staged(scaled.groupBy("query_id", "row").agg(
+        euclid,
+        F.count(F.lit(1)).alias("_p"),
+        F.array(*[entry(F.col("z"), n) for n in names]).alias("_u"),
+        F.array(*[F.coalesce(entry(difference, n), F.lit(0.0)) for n in names]).alias("_d"),
+    ))
+    size = len(names)
     inverse = (
-        pairs.groupBy("query_id", "f1", "f2")
-        .agg(F.covar_samp("u1", "u2").alias("cov"))
+        wide.groupBy("query_id")
+        .agg(*[
+            F.covar_samp(F.col("_u")[i], F.col("_u")[j]).alias(f"c{i}_{j}") for i in range(size) for j in range(i, size)
+        ])
         .groupBy("query_id")
-        .applyInPandas(_inverse_covariance, "query_id long, f1 string, f2 string, inv double")
-    )
-    quadratic = (
-        pairs.join(inverse, ["query_id", "f1", "f2"])
-        .groupBy("query_id", "row")
-        .agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("dd") * F.col("inv")))).alias("_mahalanobis"))
+        .applyInPandas(_inverse_covariance(size), "query_id long, inverse array<array<double>>")
     )
-    sizes = euclid.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = wide.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    quadratic = F.expr("""
+        aggregate(zip_with(inverse, _d, (r, x) -> x * aggregate(zip_with(r, _d, (a, b) -> a * b), 0.0D, (s, v) -> s + v)),
+            0.0D, (s, v) -> s + v)
+    """)
     return (
-        euclid.join(sizes, "query_id")
-        .join(quadratic, ["query_id", "row"], "left")
-        .select(
+        wide.join(inverse, "query_id").join(sizes, "query_id").select(
             "query_id", "row",
-            F.when(F.col("_n") > F.col("_p") + 2, F.col("_mahalanobis"))
+            F.when(F.col("_n") > F.col("_p") + 2, F.sqrt(F.greatest(F.lit(0.0), quadratic)))
             .otherwise(F.col("raw_distance")).alias("raw_distance"),
         )
     )
@@ -462,7 +464,7 @@ def nearest_states(
     weighted = scaled.join(ready, "query_id").withColumn(
         "weight", F.col("_weight") / F.col("_mean_weight")
     )
-    distances = raw_distances(weighted, metric)
+    distances = raw_distances(weighted, metric, names)
     measured = history.drop("_target").join(distances, ["query_id", "row"]).withColumn(
         "adjusted_distance", F.col("raw_distance") / clip(F.col("comparability_score"), 0.20, 1.0)
     )

@@ -466,26 +466,65 @@ comp AS (SELECT dom, we, greatest(0.05e0, least(1e0, exp(0.2e0*ln(greatest(a,0.0
    + 0.2e0*ln(greatest(d,0.05e0)) + 0.25e0*ln(greatest(e,0.05e0))))) AS score FROM cs)"""
     # Families are all windows that end within half the radius (720 / 2 days);
     # five are picked by distance, whose intervals keep 90 days apart.
-    neighbours = f"""{scaling}, wt AS (SELECT dom, f, CASE f {weights} END AS w FROM u), wn AS (SELECT dom, f, w/avg(w) OVER (PARTITION BY dom) AS w FROM wt),
-raw AS (SELECT dom, we, sqrt(sum((z - tz)*(z - tz)*w)) AS raw FROM z JOIN wn USING (dom, f) GROUP BY dom, we), {comparable},
+    weighted = f"""{scaling}, wt AS (SELECT dom, f, CASE f {weights} END AS w FROM u), wn AS (SELECT dom, f, w/avg(w) OVER (PARTITION BY dom) AS w FROM wt),
+euclid AS (SELECT dom, we, sqrt(sum((z - tz)*(z - tz)*w)) AS raw FROM z JOIN wn USING (dom, f) GROUP BY dom, we)"""
+    measured = f"""{comparable},
 enough AS (SELECT dom FROM raw GROUP BY dom HAVING count(*) >= 5 AND dom IN (SELECT dom FROM u GROUP BY dom HAVING count(*) >= 2)),
 m AS (SELECT raw.*, score, raw/greatest(0.2e0, least(1e0, score)) AS adj FROM raw JOIN comp USING (dom, we) SEMI JOIN enough USING (dom)),
-sim AS (SELECT m.*, exp(-adj/greatest(median(adj) OVER (PARTITION BY dom), 1e-6)) AS sim FROM m),
-fam AS (SELECT a.dom, a.we, min(b.we - 89) AS fs, max(b.we) AS fe, count(*) AS n FROM m a JOIN m b ON a.dom = b.dom AND abs(a.we - b.we) <= 360 GROUP BY 1, 2),
+sim AS (SELECT m.*, exp(-adj/greatest(median(adj) OVER (PARTITION BY dom), 1e-6)) AS sim FROM m)"""
+    fixed = "fam AS (SELECT a.dom, a.we, min(b.we - 89) AS fs, max(b.we) AS fe, count(*) AS n FROM m a JOIN m b ON a.dom = b.dom AND abs(a.we - b.we) <= 360 GROUP BY 1, 2)"
+    picked = """
 ranked AS (SELECT sim.*, fs, fe, n, row_number() OVER (PARTITION BY dom ORDER BY adj, we) AS i FROM sim JOIN fam USING (dom, we)),
 pick(dom, i, ch) AS (SELECT DISTINCT dom, 0::BIGINT, []::STRUCT(fs DATE, fe DATE, i BIGINT)[] FROM ranked UNION ALL
   SELECT p.dom, r.i, CASE WHEN len(ch) >= 5 OR len(list_filter(ch, lambda x: r.fs <= x.fe + 90 AND r.fe >= x.fs - 90)) > 0 THEN ch
-    ELSE list_append(ch, {{'fs': r.fs, 'fe': r.fe, 'i': r.i}}) END FROM pick p JOIN ranked r ON r.dom = p.dom AND r.i = p.i + 1),
+    ELSE list_append(ch, {'fs': r.fs, 'fe': r.fe, 'i': r.i}) END FROM pick p JOIN ranked r ON r.dom = p.dom AND r.i = p.i + 1),
 best AS (SELECT dom, arg_max(ch, i) AS ch FROM pick GROUP BY dom),
-near AS (SELECT r.*, x.k AS rank, 'FAM-' || strftime(fs, '%Y%m%d') || '-' || strftime(fe, '%Y%m%d') AS fid, 'EPI-' || strftime(we, '%Y%m%d') AS eid
+near AS (SELECT r.*, x.k AS rank, strftime(fs, '%Y%m%d') || '-' || strftime(fe, '%Y%m%d') AS fid, 'EPI-' || strftime(we, '%Y%m%d') AS eid
   FROM (SELECT dom, unnest(ch).i AS i, unnest(generate_series(1, len(ch))) AS k FROM best) x JOIN ranked r ON r.dom = x.dom AND r.i = x.i)"""
+    neighbours = f"{weighted}, raw AS (SELECT * FROM euclid), {measured}, {fixed}, {picked}"
+    # The covariance is inverted by Gauss-Jordan elimination, one pivot a step.
+    inverted = """
+uw AS (SELECT dom, we, f, z*sqrt(w) AS uu, (z - tz)*sqrt(w) AS d, dense_rank() OVER (PARTITION BY dom ORDER BY f) AS i FROM z JOIN wn USING (dom, f)),
+co AS (SELECT a.dom, a.i, b.i AS j, covar_samp(a.uu, b.uu) + CASE WHEN a.i = b.i THEN 1e-6 ELSE 0 END AS c FROM uw a JOIN uw b ON a.dom = b.dom AND a.we = b.we GROUP BY a.dom, a.i, b.i),
+mr AS (SELECT dom, i, list(c ORDER BY j) AS r, count(*) AS p FROM co GROUP BY dom, i),
+mq AS (SELECT dom, i, p, list_concat(r, list_transform(range(1, p + 1), lambda q: CASE WHEN q = i THEN 1e0 ELSE 0e0 END)) AS r FROM mr),
+gj(dom, k, p, mat) AS (
+  SELECT dom, 1::BIGINT, any_value(p), list(r ORDER BY i) FROM mq GROUP BY dom
+  UNION ALL SELECT dom, k + 1, p, list_transform(range(1, p + 1), lambda x: list_transform(range(1, 2*p + 1), lambda y:
+    CASE WHEN x = k THEN mat[k][y]/mat[k][k] ELSE mat[x][y] - mat[x][k]*mat[k][y]/mat[k][k] END)) FROM gj WHERE k <= p),
+inv AS (SELECT dom, p, mat FROM gj WHERE k = p + 1),
+sq AS (SELECT a.dom, a.we, sum(a.d*b.d*mat[a.i][p + b.i]) AS q, any_value(p) AS n_f FROM uw a JOIN uw b USING (dom, we) JOIN inv USING (dom) GROUP BY 1, 2),
+raw AS (SELECT dom, we, CASE WHEN count(*) OVER (PARTITION BY dom) > n_f + 2 THEN sqrt(greatest(0e0, q)) ELSE e.raw END AS raw FROM sq JOIN euclid e USING (dom, we))"""
+    # Regimes end at a gap over 240 days, a jump of 3.5 robust deviations, or a span over 720 days.
+    adaptive = """
+rl AS (SELECT m.dom, m.we, row_number() OVER (PARTITION BY m.dom, v.f ORDER BY m.we) AS pos, v.* FROM m JOIN feat x USING (dom, we),
+  LATERAL (VALUES ('a', x.crate::DOUBLE), ('b', x.mx::DOUBLE), ('c', x.energy::DOUBLE), ('d', x.disp::DOUBLE)) v(f, y)),
+re AS (SELECT *, last_value(y IGNORE NULLS) OVER bw AS b_y, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER bw AS bp,
+    first_value(y IGNORE NULLS) OVER fw AS ay, first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER fw AS ap FROM rl
+  WINDOW bw AS (PARTITION BY dom, f ORDER BY we ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), fw AS (PARTITION BY dom, f ORDER BY we ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+rf AS (SELECT dom, we, f, pos, coalesce(y, b_y + (ay - b_y)/nullif(ap - bp, 0)*(pos - bp), ay, b_y, 0) AS y FROM re),
+rd AS (SELECT *, y - lag(y) OVER (PARTITION BY dom, f ORDER BY we) AS dy FROM rf),
+rc AS (SELECT dom, f, median(dy) AS c, stddev_pop(dy) AS sd FROM rd GROUP BY dom, f),
+rm AS (SELECT dom, f, median(abs(dy - c)) AS mad FROM rd JOIN rc USING (dom, f) GROUP BY dom, f),
+rs AS (SELECT dom, we, pos, max(abs((dy - c)/CASE WHEN mad > 1e-9 THEN mad*1.4826e0 WHEN sd > 1e-9 THEN sd ELSE 1 END)) AS jump FROM rd JOIN rc USING (dom, f) JOIN rm USING (dom, f) GROUP BY 1, 2, 3),
+rb AS (SELECT *, coalesce(we - lag(we) OVER (PARTITION BY dom ORDER BY we) > 240 OR jump >= 3.5, true) AS new FROM rs),
+rn(dom, pos, g, begun) AS (SELECT dom, 1::BIGINT, 0, we FROM rb WHERE pos = 1 UNION ALL
+  SELECT n.dom, b.pos, CASE WHEN b.new OR b.we - begun > 720 THEN g + 1 ELSE g END, CASE WHEN b.new OR b.we - begun > 720 THEN b.we ELSE begun END
+  FROM rn n JOIN rb b ON b.dom = n.dom AND b.pos = n.pos + 1),
+rg AS (SELECT rb.dom, rb.we, g FROM rn JOIN rb USING (dom, pos)),
+fam AS (SELECT * EXCLUDE (o) FROM (SELECT m.dom, m.we, min(m.we - 89) OVER w AS fs, max(m.we) OVER w AS fe, count(*) OVER w AS n, row_number() OVER (PARTITION BY m.dom, g ORDER BY adj, m.we) AS o
+  FROM m JOIN rg USING (dom, we) WINDOW w AS (PARTITION BY m.dom, g)) WHERE o = 1)"""
+    out["nearest_states_adaptive_mahalanobis"] = f"""
+WITH RECURSIVE {weighted}, {inverted}, {measured}, {adaptive}, {picked}
+SELECT dom AS tectonic_domain, rank::INT AS analogue_rank, we::VARCHAR AS window_end, 'REG-' || fid AS family_id, eid AS episode_id, n::BIGINT AS family_window_count,
+  round(raw, 5) AS raw_distance, round(score, 5) AS comparability_score, round(adj, 5) AS adjusted_distance, round(sim, 5) AS similarity FROM near"""
     out["nearest_states_fixed"] = f"""
-WITH RECURSIVE {neighbours} SELECT dom AS tectonic_domain, rank::INT AS analogue_rank, we::VARCHAR AS window_end, fid AS family_id, eid AS episode_id, n::BIGINT AS family_window_count,
+WITH RECURSIVE {neighbours} SELECT dom AS tectonic_domain, rank::INT AS analogue_rank, we::VARCHAR AS window_end, 'FAM-' || fid AS family_id, eid AS episode_id, n::BIGINT AS family_window_count,
   round(raw, 5) AS raw_distance, round(score, 5) AS comparability_score, round(adj, 5) AS adjusted_distance, round(sim, 5) AS similarity FROM near"""
     out["similarity_explanations"] = f"""
 WITH RECURSIVE {neighbours}, d AS (SELECT n.dom, n.rank, n.we, n.eid, n.fid, z.f, abs(z - tz) AS a, abs(z - tz)*w AS b
   FROM near n JOIN z ON z.dom = n.dom AND z.we = n.we JOIN wn ON wn.dom = n.dom AND wn.f = z.f)
-SELECT d.rank::INT AS analogue_rank, d.we::VARCHAR AS neighbour_window_end, d.eid AS episode_id, d.fid AS family_id, d.f AS feature, round(l.tx, 5) AS target_value, round(l.x, 5) AS neighbour_value,
+SELECT d.rank::INT AS analogue_rank, d.we::VARCHAR AS neighbour_window_end, d.eid AS episode_id, 'FAM-' || d.fid AS family_id, d.f AS feature, round(l.tx, 5) AS target_value, round(l.x, 5) AS neighbour_value,
   round(a, 5) AS robust_absolute_difference, round(b, 5) AS weighted_difference,
   round(CASE WHEN sum(b) OVER (PARTITION BY d.dom, d.we) > 0 THEN b/sum(b) OVER (PARTITION BY d.dom, d.we)*100 ELSE 0 END, 5) AS contribution_pct
 FROM d JOIN l ON l.dom = d.dom AND l.we = d.we AND l.f = d.f"""
