@@ -7,7 +7,7 @@ not from the Spark plan, so that the two check each other.
 from __future__ import annotations
 
 from quakeloom.fixed_values import (
-    DECLUSTER_METHOD, STATE_BASELINE, STATE_CROSSING, STATE_ELEVATED, STATE_EXCEPTIONAL, STATE_MISSING, STATE_SMALL,
+    DECLUSTER_METHOD, MODELS, STATE_BASELINE, STATE_CROSSING, STATE_ELEVATED, STATE_EXCEPTIONAL, STATE_MISSING, STATE_SMALL,
 )
 
 ORDERS = """
@@ -581,6 +581,55 @@ SELECT s.model, count(*)::BIGINT AS valid_cutoffs, round(avg(s.p), 6) AS mean_pr
   round(1 - avg(s.brier)/avg(s.be), 6) AS bss_vs_empirical, round(1 - avg(s.brier)/avg(s.bp), 6) AS bss_vs_poisson,
   round(any_value(e.ece), 6) AS expected_calibration_error, round(any_value(ap.ap), 6) AS average_precision
 FROM scores s JOIN e USING (model) LEFT JOIN ap USING (model) GROUP BY s.model"""
+    # Walk-forward: the same chain per question, a region at a cutoff, in place of a region.
+    ask = f"""{feat90}, ends AS (SELECT dom, we, row_number() OVER (PARTITION BY dom ORDER BY we) - 1 AS i, count(*) OVER (PARTITION BY dom) AS n FROM feat),
+cuts AS (SELECT dom AS region, last, cut::TIMESTAMP AS cut, dom || '|' || cut::DATE AS dom FROM (
+  SELECT dom, max(we) AS last, unnest(generate_series(max(we) FILTER (i = floor((n - 1)*0.4e0))::TIMESTAMP, max(we) - INTERVAL 7 DAY, INTERVAL 20 DAY)) AS cut FROM ends GROUP BY dom)),
+featq AS (SELECT f.* REPLACE (q.dom AS dom) FROM feat f JOIN cuts q ON q.region = f.dom AND f.we <= q.cut)"""
+
+    def per_question(text: str) -> str:
+        return text.replace("FROM feat h", "FROM featq h").replace("FROM feat)", "FROM featq)").replace("JOIN feat x", "JOIN featq x")
+
+    replayed = f"""{ask}{per_question(weighted[len(feat90):])}, raw AS (SELECT * FROM euclid), {per_question(measured)}, {per_question(adaptive)}, {picked},
+ok AS (SELECT *, {EPOCH.format(y='year(ts)')} AS epoch FROM cat WHERE pref), s(thr0, h) AS (VALUES {SCENARIOS}),
+an AS (SELECT n.dom, thr0, h, sum(sim*score*hit)/sum(sim*score) AS p FROM (
+  SELECT n.*, thr0, h, EXISTS (SELECT 1 FROM ok e WHERE e.dom = q.region AND e.mag >= s.thr0 AND e.ts > n.we::TIMESTAMP AND e.ts <= least(n.we::TIMESTAMP + to_days(s.h::INT), q.cut))::INT AS hit
+  FROM near n JOIN cuts q ON q.dom = n.dom, s) n GROUP BY 1, 2, 3),
+x AS (SELECT q.*, s.*, {EPOCH.format(y='year(cut)')} AS epoch FROM cuts q, s WHERE q.dom IN (SELECT dom FROM near)),
+x0 AS (SELECT x.*, (SELECT min(ts)::DATE::TIMESTAMP FROM ok WHERE ok.dom = x.region AND ok.epoch = x.epoch AND ts <= cut) AS t0 FROM x),
+x1 AS (SELECT *, coalesce(greatest(0, epoch_us(cut) - epoch_us(t0))/86400e6, 0) AS expo FROM x0), x2 AS (SELECT *, floor(expo/h)::BIGINT AS wn FROM x1),
+x3 AS (SELECT k.dom, k.thr0, k.h, count(*) AS n, count(DISTINCT CASE WHEN wn > 0 AND off > 0 AND off <= wn*h THEN least(wn - 1, floor(off/h)) END) AS pos
+  FROM x2 k JOIN ok e ON e.dom = k.region AND e.epoch = k.epoch AND e.ts <= k.cut AND e.mag >= k.thr0,
+  LATERAL (SELECT (epoch_us(e.ts) - (epoch_us(k.cut) - wn*h*86400000000))/86400e6 AS off) o GROUP BY 1, 2, 3),
+rw AS (SELECT k.region, k.dom, k.cut, k.thr0, k.h, k.epoch, expo, coalesce(j.n, 0) AS n, an.p,
+  CASE WHEN wn > 0 THEN coalesce(j.pos, 0)/wn::DOUBLE ELSE 0 END AS pe, CASE WHEN expo > 0 THEN 1 - exp(-coalesce(j.n, 0)/expo*k.h) ELSE 0 END AS pp,
+  EXISTS (SELECT 1 FROM ok e WHERE e.dom = k.region AND e.mag >= k.thr0 AND e.ts > k.cut AND e.ts <= k.cut + to_days(k.h::INT))::INT AS o
+  FROM x2 k JOIN an USING (dom, thr0, h) LEFT JOIN x3 j USING (dom, thr0, h) WHERE k.cut <= k.last - to_days(k.h::INT)),
+lv AS (SELECT a.dom, a.thr0, a.h, b.p AS x, count(*) AS w, sum(b.o) AS y FROM rw a JOIN rw b ON b.region = a.region AND b.thr0 = a.thr0 AND b.h = a.h AND b.cut < a.cut GROUP BY ALL),
+en AS (SELECT dom, thr0, h FROM lv GROUP BY ALL HAVING sum(w) >= 30 AND sum(y) > 0 AND sum(y) < sum(w) AND count(*) >= 3),
+pf AS (SELECT *, row_number() OVER v AS k, sum(w) OVER v AS cw, sum(y) OVER v AS cy FROM lv SEMI JOIN en USING (dom, thr0, h) WINDOW v AS (PARTITION BY dom, thr0, h ORDER BY x)),
+bl AS (SELECT a.dom, a.thr0, a.h, a.k AS a, b.k AS b, b.x, (b.cy - a.cy + a.y)/(b.cw - a.cw + a.w)::DOUBLE AS mean FROM pf a JOIN pf b ON a.dom = b.dom AND a.thr0 = b.thr0 AND a.h = b.h AND b.k >= a.k),
+iso AS (SELECT dom, thr0, h, x, max(lowest) AS fit FROM (SELECT *, min(mean) OVER (PARTITION BY dom, thr0, h, a ORDER BY b DESC) AS lowest FROM bl) GROUP BY 1, 2, 3, 4),
+kn AS (SELECT rw.dom, rw.thr0, rw.h, rw.p, max(i.x) FILTER (i.x <= p) AS x0, arg_max(fit, i.x) FILTER (i.x <= p) AS f0, min(i.x) FILTER (i.x >= p) AS x1, arg_min(fit, i.x) FILTER (i.x >= p) AS f1
+  FROM rw JOIN iso i USING (dom, thr0, h) GROUP BY ALL),
+cal AS (SELECT dom, thr0, h, CASE WHEN x0 IS NULL THEN f1 WHEN x1 IS NULL OR x1 = x0 THEN f0 ELSE f0 + (f1 - f0)*(p - x0)/(x1 - x0) END AS pc FROM kn),
+done AS (SELECT rw.*, pc FROM rw LEFT JOIN cal USING (dom, thr0, h))"""
+    out["walk_forward_scores"] = f"""
+WITH RECURSIVE {replayed} SELECT region AS tectonic_domain, cut::DATE::VARCHAR AS cutoff, round(p, 5) AS analogue_probability, round(pe, 5) AS historical_rate_probability, round(pp, 5) AS poisson_probability,
+  o = 1 AS observed_outcome, round(pow(p - o, 2), 5) AS brier_analogue, round(pow(pe - o, 2), 5) AS brier_historical, round(pow(pp - o, 2), 5) AS brier_poisson, {LABEL.format(e='epoch')} AS baseline_epoch,
+  n::BIGINT AS baseline_event_count, round(expo, 5) AS baseline_exposure_days, thr0::DOUBLE AS threshold_magnitude, h AS horizon_days, 'complete' AS catalogue_mode, 'operational' AS magnitude_policy,
+  'adaptive' AS family_method, round(pc, 5) AS analogue_calibrated_probability, round(pow(pc - o, 2), 5) AS brier_analogue_calibrated FROM done"""
+    rolled = f"""scores AS (SELECT region || '|' || thr0::DOUBLE || '|' || h || '|' || v.model AS model, o, v.p, pow(v.p - o, 2) AS brier, pow(pe - o, 2) AS be, pow(pp - o, 2) AS bp
+  FROM done, LATERAL (VALUES ('{MODELS[0][0]}', done.p), ('{MODELS[1][0]}', pc), ('{MODELS[2][0]}', pe), ('{MODELS[3][0]}', pp)) v(model, p) WHERE v.p IS NOT NULL)"""
+    metrics = out["model_metrics"].strip().removeprefix("WITH ").replace(SCORES.strip(), rolled, 1)
+    cut_at = metrics.rindex("SELECT s.model, count(*)")
+    out["walk_forward_summary"] = f"""
+WITH RECURSIVE {replayed}, {metrics[:cut_at].rstrip()}, mm AS ({metrics[cut_at:]}),
+st AS (SELECT region, thr0, h, count(*) AS total, sum(o) AS pos, count(pc) AS cc, sum(CASE WHEN pc IS NOT NULL THEN o ELSE 0 END) AS cp FROM done GROUP BY 1, 2, 3)
+SELECT region AS tectonic_domain, 'complete' AS catalogue_mode, 'operational' AS magnitude_policy, thr0::DOUBLE AS threshold_magnitude, h AS horizon_days, split_part(mm.model, '|', 4) AS model,
+  mm.* EXCLUDE (model), total::BIGINT AS total_cutoffs, pos::BIGINT AS positives, cc::BIGINT AS calibrated_cutoffs, cp::BIGINT AS calibrated_positives,
+  CASE WHEN cc = 0 THEN 'unavailable' WHEN cc < 30 OR cp < 5 THEN 'experimental' ELSE 'adequate' END AS calibration_status
+FROM mm JOIN st ON split_part(mm.model, '|', 1) = st.region AND split_part(mm.model, '|', 2)::DOUBLE = st.thr0 AND split_part(mm.model, '|', 3)::INT = st.h"""
     out["skill_pivot"] = """
 SELECT th AS threshold_magnitude, round(avg(v) FILTER (h = 7), 6) AS h7, round(avg(v) FILTER (h = 30), 6) AS h30, round(avg(v) FILTER (h = 90), 6) AS h90
 FROM (SELECT 3.5 + (l_linenumber % 4)*0.5e0 AS th, CASE l_suppkey % 3 WHEN 0 THEN 7 WHEN 1 THEN 30 ELSE 90 END AS h, l_discount - l_tax AS v FROM lineitem) GROUP BY 1"""

@@ -557,12 +557,12 @@ def replay_baselines(spark, sf):
 def _walk_forward(spark, sf) -> DataFrame:
     events = orders_catalogue(spark, sf)
     states = staged(build_fingerprints(events, (90,)))
-    return staged(walk_forward_grid(events, states))
+    return staged(walk_forward_grid(events, states, frequency_days=20))
 
 
 @query
 def walk_forward_scores(spark, sf):
-    return rounded(_walk_forward(spark, sf))
+    return rounded(_walk_forward(spark, sf), 5)
 
 
 @query
