@@ -627,7 +627,7 @@ WITH RECURSIVE {replayed} SELECT region AS tectonic_domain, cut::DATE::VARCHAR A
 WITH RECURSIVE {replayed}, {metrics[:cut_at].rstrip()}, mm AS ({metrics[cut_at:]}),
 st AS (SELECT region, thr0, h, count(*) AS total, sum(o) AS pos, count(pc) AS cc, sum(CASE WHEN pc IS NOT NULL THEN o ELSE 0 END) AS cp FROM done GROUP BY 1, 2, 3)
 SELECT region AS tectonic_domain, 'complete' AS catalogue_mode, 'operational' AS magnitude_policy, thr0::DOUBLE AS threshold_magnitude, h AS horizon_days, split_part(mm.model, '|', 4) AS model,
-  mm.* EXCLUDE (model), total::BIGINT AS total_cutoffs, pos::BIGINT AS positives, cc::BIGINT AS calibrated_cutoffs, cp::BIGINT AS calibrated_positives,
+  mm.* EXCLUDE (model) REPLACE (CASE WHEN bss_vs_empirical < -1000 THEN -1000 ELSE bss_vs_empirical END AS bss_vs_empirical, CASE WHEN bss_vs_poisson < -1000 THEN -1000 ELSE bss_vs_poisson END AS bss_vs_poisson), total::BIGINT AS total_cutoffs, pos::BIGINT AS positives, cc::BIGINT AS calibrated_cutoffs, cp::BIGINT AS calibrated_positives,
   CASE WHEN cc = 0 THEN 'unavailable' WHEN cc < 30 OR cp < 5 THEN 'experimental' ELSE 'adequate' END AS calibration_status
 FROM mm JOIN st ON split_part(mm.model, '|', 1) = st.region AND split_part(mm.model, '|', 2)::DOUBLE = st.thr0 AND split_part(mm.model, '|', 3)::INT = st.h"""
     out["skill_pivot"] = """

@@ -567,7 +567,10 @@ def walk_forward_scores(spark, sf):
 
 @query
 def walk_forward_summary(spark, sf):
-    return rounded(validation.summarise_backtest_grid(_walk_forward(spark, sf)))
+    # Skill against a reference that is hardly ever wrong has no lower limit; it is shown down to -1000.
+    summary = validation.summarise_backtest_grid(_walk_forward(spark, sf))
+    floored = {c: F.when(F.col(c) < -1000, -1000.0).otherwise(F.col(c)) for c in ("bss_vs_empirical", "bss_vs_poisson")}
+    return rounded(summary.withColumns(floored))
 
 
 # --- validation --------------------------------------------------------------
