@@ -619,7 +619,7 @@ WITH RECURSIVE {replayed} SELECT region AS tectonic_domain, cut::DATE::VARCHAR A
   o = 1 AS observed_outcome, round(pow(p - o, 2), 5) AS brier_analogue, round(pow(pe - o, 2), 5) AS brier_historical, round(pow(pp - o, 2), 5) AS brier_poisson, {LABEL.format(e='epoch')} AS baseline_epoch,
   n::BIGINT AS baseline_event_count, round(expo, 5) AS baseline_exposure_days, thr0::DOUBLE AS threshold_magnitude, h AS horizon_days, 'complete' AS catalogue_mode, 'operational' AS magnitude_policy,
   'adaptive' AS family_method, round(pc, 5) AS analogue_calibrated_probability, round(pow(pc - o, 2), 5) AS brier_analogue_calibrated FROM done"""
-    rolled = f"""scores AS (SELECT region || '|' || thr0::DOUBLE || '|' || h || '|' || v.model AS model, o, v.p, pow(v.p - o, 2) AS brier, pow(pe - o, 2) AS be, pow(pp - o, 2) AS bp
+    rolled = f"""scores AS (SELECT region || '|' || thr0::DOUBLE || '|' || h || '|' || v.model AS model, o, round(v.p, 9) AS p, pow(v.p - o, 2) AS brier, pow(pe - o, 2) AS be, pow(pp - o, 2) AS bp
   FROM done, LATERAL (VALUES ('{MODELS[0][0]}', done.p), ('{MODELS[1][0]}', pc), ('{MODELS[2][0]}', pe), ('{MODELS[3][0]}', pp)) v(model, p) WHERE v.p IS NOT NULL)"""
     metrics = out["model_metrics"].strip().removeprefix("WITH ").replace(SCORES.strip(), rolled, 1)
     cut_at = metrics.rindex("SELECT s.model, count(*)")
