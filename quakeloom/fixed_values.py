@@ -10,7 +10,6 @@ Z_95 = 1.959963984540054  # standard normal quantile at 0.975
 ROBUST_SPAN = 2.5631031310892007  # normal q90 - q10, unit-variance scaling
 
 # --- Fixed values: event schema --------------------------------------------
-EVENT_TIME_COLUMNS = ("origin_time_utc", "ingested_at_utc")
 
 # Column order of a harmonised catalogue row and its Spark type.
 EVENT_FIELDS = (

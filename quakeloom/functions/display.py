@@ -43,10 +43,6 @@ def format_month(column: Column) -> Column:
     return F.date_format(column, "yyyy-MM")
 
 
-def format_magnitude(column: Column) -> Column:
-    return format_number(column, 1)
-
-
 def format_depth(column: Column) -> Column:
     return format_number(column, 1, " km")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -134,10 +133,6 @@ def round_half_even_1(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None or v != v else round(float(v), 1))
 
 
-def time_bucket(column: Column, days: float) -> Column:
-    return F.floor(F.unix_micros(column) / F.lit(days * 86_400_000_000.0))
-
-
 def cube_xyz(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     """Cartesian position in km. A chord never exceeds its arc, so points
     within r km on the sphere lie within r km on every axis; no pole or
@@ -150,18 +145,9 @@ def cube_xyz(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     )
 
 
-def chord_slack(radius_km: float) -> float:
-    """Margin that absorbs floating-point error when testing cell overlap."""
-    return max(1e-6, radius_km * 1e-9)
-
-
 def weighted_geometric_mean(parts: Sequence[tuple[Column, float]], floor: float = 0.05) -> Column:
     total = None
     for column, weight in parts:
         term = F.ln(clip(column, floor, 1.0)) * weight
         total = term if total is None else total + term
     return F.exp(total)
-
-
-def degrees_to_km(degrees: float) -> float:
-    return math.radians(degrees) * EARTH_RADIUS_KM

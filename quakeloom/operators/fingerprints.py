@@ -519,7 +519,3 @@ def build_fingerprints(
         frame, window_days, step_days, minimum_window_events, modes, policies
     )
     return add_percentiles(staged(features), step_days, minimum_reference_windows)
-
-
-def canonical_order(fingerprints: DataFrame) -> DataFrame:
-    return fingerprints.orderBy(*POPULATION, "tectonic_domain", "window_days", "window_end")

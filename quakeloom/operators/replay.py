@@ -376,14 +376,3 @@ def _time_of_day_us(start_date: str | None) -> int:
     clock = start_date[11:].replace("Z", "").split("+")[0]
     hours, minutes, seconds = (clock.split(":") + ["0", "0"])[:3]
     return int((int(hours) * 3600 + int(minutes) * 60 + float(seconds)) * 1_000_000)
-
-
-def walk_forward_backtest(
-    events: DataFrame, fingerprints: DataFrame, domain: str, window_days: int = 90,
-    threshold_magnitude: float = 4.0, horizon_days: int = 30, start_date: str | None = None,
-    frequency_days: int = 90, **options,
-) -> DataFrame:
-    return walk_forward_grid(
-        events, fingerprints, window_days, (threshold_magnitude,), (horizon_days,), frequency_days,
-        start_date=start_date, domain=domain, **options,
-    )

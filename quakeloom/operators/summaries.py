@@ -27,7 +27,6 @@ from quakeloom.functions.display import (
     format_date_pt,
     format_datetime,
     format_month,
-    format_percentage,
 )
 from quakeloom.functions.scalar import clip, extract_year
 from quakeloom.operators.distributed import running_totals, weighted_quantiles
@@ -150,16 +149,6 @@ def source_table(frame: DataFrame) -> DataFrame:
     )
 
 
-def source_table_display(frame: DataFrame) -> DataFrame:
-    return source_table(frame).select(
-        F.col("source").alias("Fonte"),
-        F.col("events").alias("Eventos consolidados"),
-        format_date_pt(F.col("first_event")).alias("Primeiro evento"),
-        format_date_pt(F.col("last_event")).alias("Último evento"),
-        format_percentage(F.col("mean_quality")).alias("Qualidade média"),
-    )
-
-
 def epoch_table(fingerprints: DataFrame) -> DataFrame:
     """Window span, count and median Mc per epoch and threshold."""
     keys = ["comparison_epoch", "comparison_epoch_label", "comparison_magnitude_threshold"]

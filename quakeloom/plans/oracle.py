@@ -340,12 +340,23 @@ FROM h JOIN c USING (dom, w, we)"""
     for mode, m in (("complete", "pref"), ("declustered", "pref AND bg")):
         for policy, p in (("operational", ""), ("validated", " AND mstatus = 'reviewed_identity' AND mag IS NOT NULL")):
             parts.append(
-                f"SELECT * FROM (WITH {features(m + p)} SELECT '{mode}' AS catalogue_mode, '{policy}' AS magnitude_policy, "
-                "dom AS tectonic_domain, w AS window_days, we::VARCHAR AS window_end, thr AS comparison_magnitude_threshold, "
-                "n::BIGINT AS event_count, cn::BIGINT AS comparable_event_count, mx AS maximum_magnitude, med_depth AS median_depth_km, "
-                "round(disp,6) AS spatial_dispersion_km FROM feat)"
+                f"SELECT * FROM (WITH {features(m + p)}, {percentile('dom,w', 'n', 'h')}, {percentile('dom,w,epoch', 'cn', 'c')} "
+                f"SELECT '{mode}' AS catalogue_mode, '{policy}' AS magnitude_policy, "
+                "h.dom AS tectonic_domain, h.w AS window_days, h.we::VARCHAR AS window_end, h.thr AS comparison_magnitude_threshold, "
+                "h.n::BIGINT AS event_count, h.cn::BIGINT AS comparable_event_count, h.mx AS maximum_magnitude, h.med_depth AS median_depth_km, "
+                f"round(h.disp,6) AS spatial_dispersion_km, {percentile_list('h', 'historical')}, {percentile_list('c', 'comparable')} "
+                "FROM h JOIN c USING (dom, w, we))"
             )
     out["fingerprints_all_populations"] = " UNION ALL ".join(parts)
+    sides = [
+        f"SELECT * FROM (WITH {features(m, windows='90')}, {percentile('dom,w,epoch', 'cn', 'c')} "
+        f"SELECT 'operational' AS magnitude_policy, dom AS tectonic_domain, w AS window_days, '{mode}' AS catalogue_mode, we::VARCHAR AS window_end, "
+        "n::BIGINT AS event_count, round(crate, 6) AS comparable_event_rate_per_30d, round(p, 6) AS comparable_percentile_event_rate, "
+        "round(lo, 6) AS comparable_percentile_ci_lower, round(hi, 6) AS comparable_percentile_ci_upper "
+        "FROM c QUALIFY row_number() OVER (PARTITION BY dom ORDER BY we DESC) = 1)"
+        for mode, m in (("complete", "pref"), ("declustered", "pref AND bg"))
+    ]
+    out["mode_sensitivity"] = " UNION ALL ".join(sides)
     out["domain_epoch_thresholds"] = f"""
 WITH {features()} SELECT t.dom AS tectonic_domain, t.epoch AS observation_epoch, {LABEL.format(e='t.epoch')} AS epoch_label,
   {FLOOR.format(e='t.epoch')} AS policy_floor, t.epoch_mc AS estimated_mc, t.thr AS comparison_threshold, t.epoch_n::BIGINT AS epoch_event_count,
@@ -390,6 +401,8 @@ n AS (SELECT count(*) AS n, count(*) FILTER (ok) AS ok, count(*) FILTER (r IN ('
 SELECT n AS preferred_events, ok AS eligible_events, bg AS background_events, a AS associated_events, m AS mainshocks, i AS ineligible_events, 0::BIGINT AS unclassified_events,
   bg + a + i AS reconciled_events, n - bg - a - i AS reconciliation_gap, q AS sequences, round(bg/n::DOUBLE, 6) AS retained_fraction, round(bg/ok::DOUBLE, 6) AS retained_fraction_eligible,
   '{DECLUSTER_METHOD}' AS method FROM n"""
+    out["declustering_exclusions"] = f"""
+WITH {EVENTS} SELECT 'missing_magnitude' AS reason, count(*)::BIGINT AS records FROM cat WHERE mag IS NULL HAVING count(*) > 0"""
     out["harmonised_catalogue"] = f"""
 WITH RECURSIVE {groups}, kept AS (
   SELECT c.*, r.gid, coalesce(r.r = 1, true) AS pref FROM cat c LEFT JOIN ranked r USING (id)),
@@ -514,6 +527,13 @@ rn(dom, pos, g, begun) AS (SELECT dom, 1::BIGINT, 0, we FROM rb WHERE pos = 1 UN
 rg AS (SELECT rb.dom, rb.we, g FROM rn JOIN rb USING (dom, pos)),
 fam AS (SELECT * EXCLUDE (o) FROM (SELECT m.dom, m.we, min(m.we - 89) OVER w AS fs, max(m.we) OVER w AS fe, count(*) OVER w AS n, row_number() OVER (PARTITION BY m.dom, g ORDER BY adj, m.we) AS o
   FROM m JOIN rg USING (dom, we) WINDOW w AS (PARTITION BY m.dom, g)) WHERE o = 1)"""
+    out["main_contributions"] = f"""
+WITH RECURSIVE {neighbours}, d AS (SELECT n.dom, n.rank, n.we, n.eid, n.fid, z.f, abs(z - tz) AS a, abs(z - tz)*w AS b
+  FROM near n JOIN z ON z.dom = n.dom AND z.we = n.we JOIN wn ON wn.dom = n.dom AND wn.f = z.f),
+o AS (SELECT d.*, CASE WHEN sum(b) OVER v > 0 THEN b/sum(b) OVER v*100 ELSE 0 END AS pct FROM d WINDOW v AS (PARTITION BY dom, we))
+SELECT o.rank::INT AS analogue_rank, o.we::VARCHAR AS neighbour_window_end, o.eid AS episode_id, 'FAM-' || o.fid AS family_id, o.f AS feature, round(l.tx, 5) AS target_value, round(l.x, 5) AS neighbour_value,
+  round(a, 5) AS robust_absolute_difference, round(b, 5) AS weighted_difference, round(pct, 5) AS contribution_pct
+FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY dom, we ORDER BY pct DESC, f) <= 3) o JOIN l ON l.dom = o.dom AND l.we = o.we AND l.f = o.f"""
     out["nearest_states_adaptive_mahalanobis"] = f"""
 WITH RECURSIVE {weighted}, {inverted}, {measured}, {adaptive}, {picked}
 SELECT dom AS tectonic_domain, rank::INT AS analogue_rank, we::VARCHAR AS window_end, 'REG-' || fid AS family_id, eid AS episode_id, n::BIGINT AS family_window_count,

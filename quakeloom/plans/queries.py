@@ -16,7 +16,7 @@ from quakeloom.functions.scalar import (
 )
 from quakeloom.operators import epochs, summaries, validation
 from quakeloom.operators.decluster import (
-    annotate_declustering, declustering_summary, exclusion_reason,
+    annotate_declustering, declustering_exclusion_summary, declustering_summary, exclusion_reason,
 )
 from quakeloom.operators.dedup import deduplicate_events
 from quakeloom.operators.fingerprints import (
@@ -31,7 +31,7 @@ from quakeloom.operators.replay import (
     baselines, clean_events, daily_activity, future_outcome, scenario_table, walk_forward_grid,
 )
 from quakeloom.operators.similarity import (
-    comparability, nearest_states, raw_distances, scaled_features, targets_asof,
+    comparability, nearest_states, raw_distances, scaled_features, targets_asof, top_contributions,
 )
 from quakeloom.plans.pipelines import harmonise
 from quakeloom.plans.proxy import orders_catalogue, stream_catalogue, table
@@ -316,6 +316,11 @@ def declustering_counts(spark, sf):
     return rounded(declustering_summary(annotate_declustering(stream_catalogue(spark, sf))))
 
 
+@query
+def declustering_exclusions(spark, sf):
+    return declustering_exclusion_summary(annotate_declustering(stream_catalogue(spark, sf)))
+
+
 @query
 def harmonised_catalogue(spark, sf):
     return harmonise(stream_catalogue(spark, sf)).select(
@@ -382,10 +387,22 @@ def fingerprints_all_populations(spark, sf):
             "catalogue_mode", "magnitude_policy", "tectonic_domain", "window_days", "window_end",
             "comparison_magnitude_threshold", "event_count", "comparable_event_count",
             "maximum_magnitude", "median_depth_km", "spatial_dispersion_km",
+            *[
+                f"{series}_{column}" for series in ("historical", "comparable") for column in (
+                    "percentile_event_rate", "reference_windows", "effective_sample_size", "percentile_ci_lower",
+                    "percentile_ci_upper", "overlap_factor", "lag1_autocorrelation",
+                )
+            ],
         )
     )
 
 
+@query
+def mode_sensitivity(spark, sf):
+    states = build_fingerprints(orders_catalogue(spark, sf), (90,), modes=MODES)
+    return rounded(summaries.declustering_sensitivity(states))
+
+
 @query
 def latest_fingerprints(spark, sf):
     latest = summaries.latest_per_group(one(spark, sf), ["tectonic_domain", "window_days"])
@@ -516,6 +533,13 @@ def similarity_explanations(spark, sf):
     return rounded(found.feature_differences.drop("query_id"), 5)
 
 
+@query
+def main_contributions(spark, sf):
+    states = staged(build_fingerprints(orders_catalogue(spark, sf), (90,)))
+    found = nearest_states(states, latest_queries(states), 90)
+    return rounded(top_contributions(found.feature_differences, 3).drop("query_id"), 5)
+
+
 @query
 def future_outcomes(spark, sf):
     states = staged(one(spark, sf, (90,)))

@@ -45,8 +45,8 @@ def normalise_snapshots(snapshots: DataFrame) -> DataFrame:
 
 
 def load_bronze(spark: SparkSession, path: str, csv_paths: list[str] | None = None) -> DataFrame:
-    """Everything under a bronze folder, plus historical CSVs if named."""
-    frames = [normalise_snapshots(read_snapshots(spark, path))]
+    """Everything under a bronze folder, its harmonised CSVs too, plus historical CSVs if named."""
+    frames = [normalise_snapshots(read_snapshots(spark, path)), csv_catalogue.read_harmonised(spark, path)]
     frames += [csv_catalogue.read_historical(spark, p) for p in csv_paths or []]
     return union_events(frames, spark)
 

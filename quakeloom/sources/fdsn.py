@@ -51,7 +51,7 @@ def rejected_bodies(bodies: DataFrame, text: str = "response_text") -> DataFrame
     return bodies.select(*others, body_problem(F.col(text)).alias("reason")).filter("reason is not null")
 
 
-def _fields(line: Column, separator: Column) -> Column:
+def fields(line: Column, separator: Column) -> Column:
     """Values of a delimited line; a separator inside double quotes is text."""
     outside = F.concat(separator, F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
 
@@ -92,12 +92,12 @@ def parse_bodies(bodies: DataFrame, text: str = "response_text") -> DataFrame:
     )
     named = headed.select(
         *others, "_lines", "_at", "_sep",
-        F.transform(_fields(F.col("_header"), F.col("_sep")), canonical_column).alias("_names"),
+        F.transform(fields(F.col("_header"), F.col("_sep")), canonical_column).alias("_names"),
     )
     rows = named.select(
         *others, "_at", "_sep", "_names", F.posexplode("_lines").alias("_pos", "_line")
     ).filter((F.col("_pos") >= F.col("_at")) & ~F.col("_line").startswith("#"))
-    values = F.transform(_fields(F.col("_line"), F.col("_sep")), lambda v: F.when(~v.isin(*FDSN_NULLS), v))
+    values = F.transform(fields(F.col("_line"), F.col("_sep")), lambda v: F.when(~v.isin(*FDSN_NULLS), v))
     # Of several headings with one meaning the first counts.
     filled = rows.select(*others, "_pos", "_at", "_names", values.alias("_values"))
     record = F.map_from_entries(F.expr("""

@@ -14,7 +14,7 @@ from quakeloom.operators.magnitude import MagnitudeRule, homogenize_magnitudes,
 from quakeloom.plans import context, pipelines, report
 from quakeloom.plans.oracle import statements
 from quakeloom.schema import EVENT_COLUMNS, conform, union_events
-from quakeloom.sources import bronze, csv_catalogue, fdsn, ipma, tables
+from quakeloom.sources import bronze, csv_catalogue, fdsn, tables
 from quakeloom.sources.synthetic import demo_events
 from quakeloom.streaming import ingest
 
@@ -342,3 +342,51 @@ def test_large_duplicate_groups_follow_the_one_formula(spark):
     parts = [sum(int(hashlib.md5(n.encode()).hexdigest()[k : k + 15], 16) for n in names) for k in (0, 15)]
     text = "|".join(map(str, [count, names[0], names[-1], *parts]))
     assert ids == {"DUP-" + hashlib.sha1(text.encode()).hexdigest()[:12].upper()}
+
+
+def test_harmonised_csvs_of_the_raw_zone(spark, tmp_path):
+    folder = tmp_path / "zone" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text('event_id,origin_time_utc,latitude,longitude,location_text,source\nx1,2020-01-02T03:04:05Z,38.5,-9.5,"Lisbon, ""west""",ISC\nx2,bad,1,2,,\n')
+    (folder / "b.csv").write_text("origin_time_utc,event_id_local,depth_km\n2021-01-01,y1,7\n")
+    (folder / "c.csv").write_text("id,time\n1,2020\n")
+    (folder / "normalised_d.csv").write_text("event_id,origin_time_utc\nz,2020-01-01\n")
+    rows = {r.event_id: r for r in csv_catalogue.read_harmonised(spark, str(tmp_path / "zone")).collect()}
+    assert set(rows) == {"x1", "x2", "y1"}
+    assert rows["x1"].location_text == 'Lisbon, "west"' and rows["x1"].origin_time_utc == datetime(2020, 1, 2, 3, 4, 5) and rows["x1"].latitude == 38.5
+    assert rows["x2"].origin_time_utc is None and rows["y1"].depth_km == 7.0 and rows["y1"].source_file.endswith("b.csv")
+    assert {r.event_id for r in bronze.load_bronze(spark, str(tmp_path / "zone")).collect()} >= {"x1", "y1"}
+
+
+def test_chunk_bookkeeping(spark):
+    day = lambda n: datetime(2024, n, 1)
+    chunks = fdsn.month_chunks(spark, "2024-01-01", "2024-04-01", 1)
+    done = spark.createDataFrame([(day(2), day(3))], "chunk_start timestamp, chunk_end timestamp")
+    marked = fdsn.chunk_progress(chunks, done).orderBy("chunk_start").collect()
+    assert [(r.chunk_start, r.done) for r in marked] == [(day(1), False), (day(2), True), (day(3), False)]
+    keys = chunks.select(fdsn.request_key(F.col("chunk_start").cast("string"), F.col("chunk_end").cast("string"), F.lit("b"))).distinct()
+    assert keys.count() == 3
+    events = conform(spark.createDataFrame(
+        [("e", "old", day(1)), ("e", "new", day(1)), ("f", "old", day(1))], "event_id string, source_file string, ingested_at_utc timestamp"
+    ))
+    assert {(r.event_id, r.source_file) for r in fdsn.combine_chunks(events).collect()} == {("e", "old"), ("f", "old")}
+
+
+def test_narratives(spark):
+    targets = spark.createDataFrame(
+        [(1, datetime(2020, 1, 31), 0.42, "época x", 3.5), (2, datetime(2020, 2, 1), None, None, None)],
+        "query_id long, window_end timestamp, comparable_percentile_event_rate double, comparison_epoch_label string, comparison_magnitude_threshold double",
+    )
+    neighbours = spark.createDataFrame(
+        [(1, 1, datetime(2015, 5, 5), 0.9, 0.8)], "query_id long, analogue_rank int, window_end timestamp, similarity double, comparability_score double"
+    )
+    texts = {r.query_id: r.summary for r in report.similarity_summaries(targets, neighbours).collect()}
+    assert "42%" in texts[1] and "2015-05-05" in texts[1] and "90.0%" in texts[1] and "M≥3.5" in texts[1]
+    assert "n/d" in texts[2] and "Nenhuma" in texts[2]
+    scores = spark.createDataFrame(
+        [(datetime(2020, 1, 1), 4.0, 30, 0.5, 0.25, None, None, None, 365.25, True)],
+        "cutoff timestamp, threshold_magnitude double, horizon_days int, analogue_probability double, historical_rate_probability double,"
+        " poisson_probability double, baseline_epoch string, baseline_event_count long, baseline_exposure_days double, observed_outcome boolean",
+    )
+    text = report.replay_summaries(scores).first().summary
+    assert "50.0%" in text and "25.0%" in text and "n/d" in text and "1.0 anos" in text and text.endswith("sim.")
