@@ -12,9 +12,20 @@ from pyspark.sql.types import StructType
 from quakeloom.session import ship_package
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT, SMALLER = "67108864b", "8388608b"
+
+
 def map_arrow(frame: DataFrame, function, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package."""
-    ship_package(frame.sparkSession)
+    """``mapInArrow`` whose workers can import this package.
+
+    Unless the session says otherwise, a batch has at most 8 MB in place of
+    64: texts are large, and a batch exists in the executor and its worker.
+    """
+    spark = frame.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH_BYTES, DEFAULT) == DEFAULT:
+        spark.conf.set(BATCH_BYTES, SMALLER)
     return frame.mapInArrow(function, schema)
 
 
