@@ -16,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quakeloom.llm.license_rules import GATE, rules
-from quakeloom.llm.tables import documents
+from quakeloom.llm.license_rules import GATE, Rule, rules
+from quakeloom.llm.tables import documents, literal_table
 from quakeloom.llm.text import ascii_lower, word_list
 
 # The base phrases and their labels.
@@ -32,7 +32,7 @@ def _spaces(text: str) -> str:
 def detections(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Surviving matches: keys, label, rule, priority, confidence, start and end (words, end exclusive)."""
     spark = docs.sparkSession
-    table = spark.createDataFrame(rules())
+    table = literal_table(spark, Rule._fields, rules())
     keywords = sorted({r.keyword for r in rules()})
     words = F.array_join(word_list(F.col("text")), " ")
     gated = docs.filter(ascii_lower(F.col("text")).rlike(GATE)).select(

@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeloom.llm.tables import table
+from quakeloom.llm.tables import literal_table, table
 from quakeloom.operators.distributed import running_totals
 from quakeloom.session import staged
 
@@ -44,9 +44,8 @@ def shares(sizes: DataFrame, weights: Mapping[str | None, float] | None, period:
     if weights is None:
         weighed = sizes.withColumn("_w", F.pow(F.col("total").cast("double"), F.lit(TEMPER)))
     else:
-        spark = sizes.sparkSession
         named = [("-" if k is None else f"+{k}", float(v)) for k, v in weights.items() if v > 0]
-        weighed = sizes.join(F.broadcast(spark.createDataFrame(named, "_source string, _w double")), "_source")
+        weighed = sizes.join(F.broadcast(literal_table(sizes.sparkSession, ("_source", "_w"), named)), "_source")
     # One row; the sources that exist share the whole between them.
     whole = weighed.agg(F.sum("_w").alias("_all"))
     return weighed.crossJoin(F.broadcast(whole)).select(
