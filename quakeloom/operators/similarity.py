@@ -46,17 +46,27 @@ class SimilarityResult:
 
 def targets_asof(fingerprints: DataFrame, queries: DataFrame) -> DataFrame:
     """Backward as-of: last window of the region that ends by ``target_end``
-    (or the last window at all when it is NULL)."""
-    state = F.struct(*[F.col(f"f.{c}").alias(c) for c in fingerprints.columns])
-    return (
+    (or the last window at all when it is NULL).
+
+    The date is found on two columns; only the chosen windows bring the rest.
+    """
+    ends = fingerprints.select("tectonic_domain", "window_end")
+    dated = (
         queries.alias("q")
         .join(
-            fingerprints.alias("f"),
+            ends.alias("f"),
             (F.col("q.tectonic_domain") == F.col("f.tectonic_domain"))
             & (F.col("q.target_end").isNull() | (F.col("f.window_end") <= F.col("q.target_end"))),
         )
-        .groupBy("q.query_id")
-        .agg(F.max_by(state, F.col("f.window_end")).alias("target"))
+        .groupBy("q.query_id", "q.tectonic_domain")
+        .agg(F.max("f.window_end").alias("window_end"))
+    )
+    state = F.struct(*[F.col(f"f.{c}").alias(c) for c in fingerprints.columns])
+    return (
+        dated.alias("d")
+        .join(fingerprints.alias("f"), ["tectonic_domain", "window_end"])
+        .groupBy("query_id")
+        .agg(F.first(state).alias("target"))
     )
 
 
