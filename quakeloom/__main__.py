@@ -14,7 +14,7 @@ from quakeloom.operators.replay import walk_forward_grid
 from quakeloom.operators.summaries import counts_by, source_pipeline_status
 from quakeloom.operators.validation import summarise_backtest_grid
 from quakeloom.plans import pipelines, report
-from quakeloom.session import use_utc
+from quakeloom.session import staging, use_utc
 from quakeloom.sources import bronze, fdsn, tables
 
 
@@ -45,6 +45,11 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = use_utc(SparkSession.builder.appName("quakeloom").getOrCreate())
+    with staging(spark):  # every command writes or shows its result
+        run(spark, args)
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "bootstrap-demo":
         pipelines.bootstrap_demo(spark, args.silver, args.gold)
     if args.command in ("build-silver", "run-all"):

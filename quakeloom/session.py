@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +71,26 @@ def ship_package(spark: SparkSession) -> None:
     context._quakeloom_shipped = True
 
 
+_runs: list[str] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside go to one folder, which is deleted at the end.
+
+    For callers that write their result before they leave: a lazy result that
+    is read later still needs its staged tables.
+    """
+    folder = f"{checkpoint_dir(spark)}/quakeloom/run-{uuid.uuid4().hex}"
+    _runs.append(folder)
+    try:
+        yield folder
+    finally:
+        _runs.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(frame: DataFrame) -> DataFrame:
     """Materialise as a table in the shared checkpoint folder.
 
@@ -76,7 +98,8 @@ def staged(frame: DataFrame) -> DataFrame:
     and the planner sees the real size of the table when it picks a join.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark)}/quakeloom/{uuid.uuid4().hex}"
+    parent = _runs[-1] if _runs else f"{checkpoint_dir(spark)}/quakeloom"
+    path = f"{parent}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

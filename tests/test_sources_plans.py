@@ -390,3 +390,15 @@ def test_narratives(spark):
     )
     text = report.replay_summaries(scores).first().summary
     assert "50.0%" in text and "25.0%" in text and "n/d" in text and "1.0 anos" in text and text.endswith("sim.")
+
+
+def test_staged_tables_of_a_run_are_deleted(spark):
+    from pathlib import Path
+
+    from quakeloom.session import staged, staging
+
+    with staging(spark) as folder:
+        assert staged(spark.range(3)).count() == 3
+        local = Path(folder.removeprefix("file:"))
+        assert any(local.iterdir())
+    assert not local.exists()
