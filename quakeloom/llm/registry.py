@@ -34,7 +34,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_repeats": repeats.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
-    "op8_licenses": op8_licenses,
-    "op9_secrets": op9_secrets,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
