@@ -1,7 +1,8 @@
 """Secret scan: candidates judged by a random forest.
 
-A candidate is a run of 12 characters and more, without spaces, that holds a
-digit. Its features are its length, the mix of its characters, how likely its
+A candidate is a run of 12 characters and more that holds a digit, anywhere in
+a word; and, of any length and characters, what is assigned to a name or
+follows a word that announces a secret. Its features are its length, the mix of its characters, how likely its
 character transitions are in ordinary words, how much of it dictionary words
 cover, whether it looks like a path, address or number, and the words before
 and after it. A forest trained on labelled findings gives the probability that
@@ -36,29 +37,73 @@ SIZE = len(ALPHABET) + 1  # and one for any other character
 # Words that announce a secret, and endings of file names.
 CUES = ["password", "passwd", "pwd", "pass", "token", "secret", "key", "apikey", "api_key", "api-key", "auth", "bearer", "credential", "credentials", "access"]
 CUE = rf"(?i)^\W*(?:[a-z]+[_-])*({'|'.join(CUES)})\W*$"
+#: Words that stand for a sign of assignment.
+SIGNS = ["=", ":", ":=", "=>", "is"]
+#: A run of characters that keys and tokens are made of, with any text around it.
+RUN = rf"[A-Za-z0-9+/_=.@:%~-]{{{MIN_LENGTH},}}"
+NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
+QUOTE = r"\\?[\"'`]"
+#: name=value, name: in quotes or not; the value in double (2) or single quotes (3), or up to the word's end (4).
+ASSIGNED = rf"({NAME})(?:{QUOTE})?[=:]+>?(?:\"([^\"]+)\"|'([^']+)'|[\\\"'`(\[{{<]*([^\"'`]+))"
+#: Where a value without quotes ends: before the next name= of an address or list, or a closing tag.
+NEXT = rf"[?&;,]+(?=(?:{QUOTE})?{NAME}(?:{QUOTE})?[=:])|</"
+#: A run that begins with a name.
+NAMED = rf"^({NAME})[=:]+([^=:].*)$"
+OPENING, CLOSING = r"^[\"'`(\[{<]+", r"[\"'`)\]}>.,;:\\]+$"
+QUOTED = r"^[(\[{<]*[\"'`]([^\"'`]+)[\"'`]"
 FEATURES = [
     "length", "digits", "uppers", "lowers", "others", "changes", "distinct", "hexadecimal", "transition",
     "coverage", "separators", "address", "numeric", "named", "cue_before", "cue_after", "quoted",
 ]
 
 
+def _parts(word: Column, cued: Column) -> Column:
+    """What a word holds that may be a secret: an array of (name, value), each once."""
+    none = F.array().cast("array<struct<name: string, value: string>>")
+    pair = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+
+    def given(x: Column) -> Column:
+        quoted = F.concat(F.regexp_extract(x, ASSIGNED, 2), F.regexp_extract(x, ASSIGNED, 3))
+        plain = F.regexp_replace(F.regexp_extract(x, ASSIGNED, 4), CLOSING, "")
+        return pair(F.regexp_extract(x, ASSIGNED, 1), F.when(quoted != "", quoted).otherwise(plain))
+
+    # Quotes keep a value whole; without them it ends where the next name= begins.
+    found = F.regexp_extract_all(word, F.lit(ASSIGNED), F.lit(0))
+    pieces = F.flatten(F.transform(found, lambda x: F.when(F.regexp_extract(x, ASSIGNED, 4) == "", F.array(x)).otherwise(F.split(x, NEXT))))
+    assigned = F.filter(F.transform(pieces, given), lambda x: x["value"] != "")
+
+    def run(x: Column) -> Column:
+        value = F.regexp_extract(x, NAMED, 2)
+        return F.when(value != "", F.array(pair(F.regexp_extract(x, NAMED, 1), value), pair(F.lit(""), F.regexp_extract(x, NAMED, 1)))).otherwise(
+            F.array(pair(F.lit(""), x))
+        )
+
+    runs = F.flatten(F.transform(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), lambda x: run(F.regexp_replace(x, "[.:]+$", ""))))
+    runs = F.filter(runs, lambda x: (F.length(x["value"]) >= MIN_LENGTH) & x["value"].rlike("[0-9]"))
+    opened = F.regexp_extract(word, QUOTED, 1)
+    whole = F.when(opened != "", opened).otherwise(F.regexp_replace(F.regexp_replace(word, OPENING, ""), CLOSING, ""))
+    follows = F.when(cued & (whole != ""), F.array(pair(F.lit(""), whole))).otherwise(none)
+    known = F.array_union(assigned, F.filter(follows, lambda x: ~F.exists(assigned, lambda y: y["value"] == x["value"])))
+    return F.array_union(known, F.filter(runs, lambda x: ~F.exists(known, lambda y: y["value"] == x["value"])))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Per candidate: doc_id, place (word), value, name (what is assigned), before and after (neighbouring words)."""
     words = docs.select("doc_id", F.split("text", r"[ \t-\r]+").alias("words"))
     placed = words.select("doc_id", "words", F.posexplode_outer("words").alias("place", "word"))
-    found = placed.filter((F.length("word") >= MIN_LENGTH) & F.col("word").rlike("[0-9]"))
-    # A name with = or : before the value, quotes and brackets around it.
-    parts = r"^[\"'(\[{<]*(?:([A-Za-z_][A-Za-z0-9_.-]*)[=:]+)?[\"'(\[{<]*([A-Za-z0-9+/_=.@:%~-]{12,}?)[\"')\]}>.,;:!?]*$"
     near = lambda k: F.coalesce(F.get("words", F.col("place") + k), F.lit(""))
     # The word before, skipping a lone sign of assignment.
-    before = F.when(near(-1).isin("=", ":", ":=", "=>", "is"), near(-2)).otherwise(near(-1))
+    before = F.when(near(-1).isin(SIGNS), near(-2)).otherwise(near(-1))
+    cued = before.rlike(CUE) & ~F.col("word").isin(SIGNS)
+    long = (F.length("word") >= MIN_LENGTH) & F.col("word").rlike("[0-9]")
+    found = placed.filter(long | F.col("word").rlike(ASSIGNED) | cued)
     return found.select(
-        "doc_id", "place",
-        F.regexp_extract("word", parts, 2).alias("value"),
-        F.regexp_extract("word", parts, 1).alias("name"),
-        before.alias("before"), near(1).alias("after"),
+        "doc_id", "place", "word", before.alias("before"), near(1).alias("after"),
+        F.explode(_parts(F.col("word"), cued)).alias("part"),
+    ).select(
+        "doc_id", "place", "part.value", "part.name", "before", "after",
         F.col("word").rlike("[\"'`]").cast("double").alias("quoted"),
-    ).filter((F.length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]"))
+    )
 
 
 def dictionary(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -85,7 +130,7 @@ def transitions(words: DataFrame) -> DataFrame:
 
 def coverage(values: DataFrame, words: DataFrame) -> DataFrame:
     """Per different value: the share of its characters that lie in dictionary words of 4 to 10 letters."""
-    cut = values.select("value", F.length("value").alias("size"), F.explode(F.expr("sequence(1, length(value) - 3)")).alias("at")).select(
+    cut = values.filter(F.length("value") >= 4).select("value", F.length("value").alias("size"), F.explode(F.expr("sequence(1, length(value) - 3)")).alias("at")).select(
         "value", "size", "at", F.explode(F.expr("sequence(4, least(10, size - at + 1))")).alias("n")
     ).select("value", "size", "at", "n", F.lower(F.expr("substr(value, at, n)")).alias("word")).filter(F.col("word").rlike("^[a-z]+$"))
     # Some value may hold a hot word, but words are unique on the other side, so a skewed join can be split.
@@ -109,10 +154,11 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     covers = coverage(found.select("value").distinct(), words)
     index = lambda i: f"instr('{ALPHABET}', substr(lower(value), {i}, 1))"
     likely = F.expr(
-        f"aggregate(sequence(1, length(value) - 1), 0.0D, (s, i) -> s + element_at(logs, {index('i')} * {SIZE} + {index('i + 1')} + 1)) / (length(value) - 1)"
+        # A single character has no transition; it counts as any of SIZE.
+        f"if(length(value) < 2, -ln({SIZE}.0D), aggregate(sequence(1, length(value) - 1), 0.0D, (s, i) -> s + element_at(logs, {index('i')} * {SIZE} + {index('i + 1')} + 1)) / (length(value) - 1))"
     )
     kinds = reduce(lambda x, p: F.regexp_replace(x, *p), [("[0-9]", "0"), ("[A-Z]", "A"), ("[a-z]", "a"), ("[^0Aa]", "-")], F.col("value"))
-    changes = F.expr("aggregate(sequence(1, length(kinds) - 1), 0, (s, i) -> s + if(substr(kinds, i, 1) <> substr(kinds, i + 1, 1), 1, 0)) / (length(kinds) - 1)")
+    changes = F.expr("if(length(kinds) < 2, 0.0D, aggregate(sequence(1, length(kinds) - 1), 0, (s, i) -> s + if(substr(kinds, i, 1) <> substr(kinds, i + 1, 1), 1, 0)) / (length(kinds) - 1))")
     flag = lambda c: c.cast("double")
     return (
         found.join(covers, "value", "left").crossJoin(F.broadcast(logs))  # one row

@@ -236,3 +236,29 @@ def test_secret_candidates_and_features(spark, tmp_path):
 
 def test_secrets_of_an_empty_table(spark, empty):
     assert secrets.op9_secrets(spark, empty).count() == 0
+
+
+def test_secrets_inside_words_and_after_names(spark, tmp_path):
+    key, hexed = "Zq81xPk20Lm47Rt9", "ab8c" * 8
+    texts = [
+        (1, f'token = "{hexed}"###'), (2, f'{{"user":"bob","key":"{key}","n":7}}'), (3, f"see https://a.example/x?token={key}&page=2 there"),
+        (4, "password=hun#t$r&2! and pwd: short"), (5, f"<<{hexed}>>{key}**{hexed}1"), (6, "secret is swordfish."), (7, 'pass="a,b:c" key x'),
+        (8, f"my {key}#{key[::-1]}!"), (9, "plain words, nothing else"), (10, "token=é1"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = secrets.candidates(docs).collect()
+    found = {(r["doc_id"], r["name"], r["value"]) for r in rows}
+    assert found >= {
+        (1, "", hexed), (2, "key", key), (2, "user", "bob"), (3, "token", key), (4, "password", "hun#t$r&2!"), (4, "", "short"), (5, "", hexed),
+        (5, "", key), (5, "", hexed + "1"), (6, "", "swordfish"), (7, "pass", "a,b:c"), (7, "", "x"), (8, "", key), (8, "", key[::-1]), (10, "token", "é1"),
+    }
+    assert 9 not in {r["doc_id"] for r in rows} and len(found) == len(rows)
+    folder = fx.write(spark, tmp_path, texts)
+    assert secrets.op9_secrets(spark, folder).filter("probability is not null").count() == len(rows)
+
+
+def test_no_hexadecimal_run_is_lost(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {(r["doc_id"], r["value"]) for r in secrets.candidates(docs).collect()}
+    want = {(r["doc_id"], x) for r in docs.collect() for x in re.findall(r"(?<![A-Za-z0-9+/_=.@:%~-])[0-9a-f]{32,}(?![A-Za-z0-9+/_=.@:%~-])", r["text"] or "")}
+    assert want and want <= got
