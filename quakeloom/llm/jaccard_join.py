@@ -313,14 +313,14 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     return signed.select("doc_id", "node"), staged(counts), edges
 
 
-def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of (doc_id, text): doc_id, node, class_id, copy_of, n_links.
-
-    ``class_id`` is the least doc_id that the row is connected to by equal texts
-    and links; ``copy_of`` the least one with an equal text; ``n_links`` how
-    many other texts reach the threshold with its own. Texts without words are
-    linked to none. A null text is alone, its node is null and its doc_id stands
-    for both ids. A null doc_id counts as the least.
+def classes_of_nodes(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with a text (doc_id, node, _id), and one row a text: node, copy_of,
+    class_id, n_links, leader (the node of its class that stands for it).
+
+    A null doc_id is ``NO_ID``. Of the texts of a class that share its least
+    doc_id, the one of the least node leads.
     """
     rows, counts, edges = similar(docs, threshold, tolerance)
     component = staged(connected_components(edges).toDF("node", "component"))
@@ -328,13 +328,27 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     # One row a text.
     copies = own.groupBy("node").agg(F.min("_id").alias("copy_of"))
     known = copies.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("copy_of").alias("class_id"))
+    least = known.groupBy("component").agg(F.min(F.struct("copy_of", "node")).alias("_least")).select(
+        "component", F.col("_least.copy_of").alias("class_id"), F.col("_least.node").alias("leader")
+    )
     # Staged, so that the join with a text's many copies has a plain exchange on either side and can be split.
-    by_node = staged(known.join(least, "component").join(counts, "node", "left").select(
-        "node", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return own, staged(known.join(least, "component").join(counts, "node", "left").select(
+        "node", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "leader"
     ))
+
+
+def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per row of (doc_id, text): doc_id, node, class_id, copy_of, n_links.
+
+    ``class_id`` is the least doc_id that the row is connected to by equal texts
+    and links; ``copy_of`` the least one with an equal text; ``n_links`` how
+    many other texts reach the threshold with its own. Texts without words are
+    linked to none. A null text is alone, its node is null and its doc_id stands
+    for both ids. A null doc_id counts as the least.
+    """
+    own, by_node = classes_of_nodes(docs, threshold, tolerance)
     back = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) for c in ("class_id", "copy_of")]
-    grouped = own.join(by_node.hint("merge"), "node").select("doc_id", "node", *back, "n_links")
+    grouped = own.join(by_node.drop("leader").hint("merge"), "node").select("doc_id", "node", *back, "n_links")
     alone = docs.filter("text is null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("node"),
         F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("copy_of"), F.lit(0).cast("long").alias("n_links"),
@@ -343,11 +357,14 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """The document of the least doc_id of every class, with all columns, and all null texts."""
+    """The document of the least doc_id of every class, with all columns, and all null texts.
+
+    Classes are told apart by their texts, so those of rows that share a doc_id,
+    or have none, keep a document each.
+    """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = similarity_classes(narrow, threshold, tolerance).filter(
-        "node is not null and doc_id <=> class_id and class_id <=> copy_of"
-    ).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("node").alias("_node")).groupBy("_id").agg(F.min("_node").alias("_node"))
+    _, by_node = classes_of_nodes(narrow, threshold, tolerance)
+    kept = by_node.filter("node = leader").select(F.col("copy_of").alias("_id"), F.col("node").alias("_node"))
     held = docs.filter("text is not null").select(
         F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), node_of(F.col("text")).alias("_node")
     )

@@ -170,3 +170,23 @@ def test_pruning_keeps_what_may_reach_the_threshold():
         b = np.where(same, 0, 1).astype(np.uint8)
         rows = np.arange(4000)
         assert low <= len(jaccard_join._survivors(a, b, rows, rows, steps)) / 4000 <= high
+
+
+def test_every_class_keeps_one_document(spark, awkward, tmp_path):
+    def classes(rows):
+        texts = sorted({t for _, t in rows if t is not None})
+        sets, names = {t: fx.shingles(t) for t in texts}, {t: t for t in texts}
+        for t in texts:
+            for u in texts:
+                if sets[t] and sets[u] and 5 * len(sets[t] & sets[u]) >= 4 * len(sets[t] | sets[u]):
+                    old, new = names[u], names[t]
+                    names = {k: new if v == old else v for k, v in names.items()}
+        return names
+
+    alpha, beta, gamma = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    # Unrelated texts of one doc_id or none, each at the head of copies of its own.
+    rows = [(None, alpha), (None, beta), (None, gamma), (7, alpha + " x"), (8, beta + " x"), (9, gamma), (3, "one two"), (3, "three four"), (4, "three four")]
+    for folder, table in ((awkward, fx.awkward_texts()), (fx.write(spark, tmp_path, rows), rows)):
+        names = classes(table)
+        kept = Counter(names[r["text"]] for r in jaccard_join.one_of_each(spark.read.parquet(f"{folder}/documents.parquet")).collect() if r["text"] is not None)
+        assert kept == Counter(set(names.values()))
