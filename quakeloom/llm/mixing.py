@@ -7,17 +7,23 @@ released block with the earliest deadline meets all deadlines, since the
 weights sum to one; so after any number of slots a source is less than one
 block away from its share.
 
-The schedule repeats after Q slots, and Q depends on the number of sources and
-the precision of the weights, not on the data. So one period is folded in SQL,
-in one row, and every block of every source looks its slot up there. A block's
-number comes from running totals per source that are exact for a source of any
-size: a hot source is spread over many tasks.
+Q is so large that q / Q is the weight to one part in ``FINE``: over a mix of a
+thousand million slots the rounding adds less than a thousandth of a block.
+Such a schedule does not repeat within a mix, so every block of the mix is dealt
+its slot, in integers, on the driver: two numbers a block of 64 KB, half a
+million blocks for 30 GB. A block's number comes from running totals per source
+that are exact for a source of any size: a hot source is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +32,8 @@ from quakeloom.operators.distributed import running_totals
 from quakeloom.session import staged
 
 BLOCK_BYTES = 64 << 10
+#: Parts of the whole that weights are counted in.
+FINE = 1 << 50
 PERIOD = 1000
 TEMPER = 0.7
 
@@ -38,7 +46,7 @@ def source_key(name: str = "source") -> Column:
 def shares(sizes: DataFrame, weights: Mapping[str | None, float] | None, period: int) -> DataFrame:
     """Slots of a period per source (_source, total, q), one at least.
 
-    Without ``weights`` a source weighs its bytes to the power ``TEMPER``. With
+    The period has ``FINE`` slots, or ``period`` if that is more. Without ``weights`` a source weighs its bytes to the power ``TEMPER``. With
     them, sources that they do not name, or give nothing, are left out.
     """
     if weights is None:
@@ -49,39 +57,45 @@ def shares(sizes: DataFrame, weights: Mapping[str | None, float] | None, period:
     # One row; the sources that exist share the whole between them.
     whole = weighed.agg(F.sum("_w").alias("_all"))
     return weighed.crossJoin(F.broadcast(whole)).select(
-        "_source", "total", F.greatest(F.lit(1), F.round(F.col("_w") / F.col("_all") * period)).cast("long").alias("q")
+        "_source", "total", F.greatest(F.lit(1), F.round(F.col("_w") / F.col("_all") * max(period, FINE))).cast("long").alias("q")
     )
 
 
-def schedule(shared: DataFrame) -> DataFrame:
-    """One period of the schedule: _source, q, period, turn (the source's block in it), turn_slot.
+def schedule(shared: DataFrame, block_bytes: int | None = None, repeat: bool = False) -> DataFrame:
+    """The slots of all blocks: _source, turn (the source's block), turn_slot.
 
-    One row holds all sources, with as many steps as the period has slots.
+    Of sources (_source, total, q), each has the blocks of its ``total`` bytes;
+    with ``repeat``, as many as the mix has room for until every source has been
+    read once. Without ``block_bytes`` it is one period, q blocks a source. A
+    slot that no block is ready for stays empty.
     """
-    listed = shared.agg(F.array_sort(F.collect_list(F.struct("_source", "q"))).alias("s")).withColumn(
-        "period", F.expr("aggregate(s, 0L, (n, x) -> n + x.q)")
-    )
-    # The fold's state: blocks given to each source, and the slots dealt so far.
-    # The inner transform over one element names the chosen source.
-    dealt = listed.filter("size(s) > 0").withColumn(
-        "slots",
-        F.expr("""
-            aggregate(sequence(0L, period - 1),
-                struct(transform(s, x -> 0L) as done, cast(array() as array<struct<i: int, turn: bigint>>) as slots),
-                (state, t) -> transform(
-                    array(array_min(transform(s, (x, i) ->
-                        if(state.done[i] < x.q and (state.done[i] * period) div x.q <= t,
-                           struct(((state.done[i] + 1) * period + x.q - 1) div x.q as deadline, i as i), null)))),
-                    p -> struct(
-                        transform(state.done, (n, i) -> if(i = p.i, n + 1, n)) as done,
-                        concat(state.slots, array(struct(p.i as i, state.done[p.i] as turn))) as slots))[0],
-                state -> state.slots)
-        """),
-    )
-    return dealt.select("s", "period", F.posexplode("slots").alias("turn_slot", "x")).select(
-        F.expr("s[x.i]._source").alias("_source"), F.expr("s[x.i].q").alias("q"), "period",
-        F.col("x.turn").alias("turn"), F.col("turn_slot").cast("long"),
-    )
+    sources = sorted((r["_source"], r["q"], r["total"]) for r in shared.select("_source", "q", "total").collect())
+    period = sum(q for _, q, _ in sources)
+    rooms = [q if block_bytes is None else -(-total // block_bytes) for _, q, total in sources]
+    if repeat and sources:
+        rounds = max(Fraction(n, q) for n, (_, q, _) in zip(rooms, sources, strict=True))
+        rooms = [-(-rounds.numerator * q // rounds.denominator) for _, q, _ in sources]
+    # Per source: blocks dealt so far. Blocks wait for their release, then for the earliest deadline.
+    done, waiting, ready = [0] * len(sources), [(0, i) for i, n in enumerate(rooms) if n], []
+    heapify(waiting)
+    of, turns, slots, now = array("i"), array("q"), array("q"), 0
+    while waiting or ready:
+        if not ready:
+            now = max(now, waiting[0][0])
+        while waiting and waiting[0][0] <= now:
+            i = heappop(waiting)[1]
+            heappush(ready, (-(-(done[i] + 1) * period // sources[i][1]), i))
+        i = heappop(ready)[1]
+        of.append(i)
+        turns.append(done[i])
+        slots.append(now)
+        done[i] += 1
+        now += 1
+        if done[i] < rooms[i]:
+            heappush(waiting, (done[i] * period // sources[i][1], i))
+    names = pa.DictionaryArray.from_arrays(pa.array(np.frombuffer(of, np.int32)), pa.array([x for x, _, _ in sources], pa.string()))
+    dealt = pa.table({"_source": names.cast(pa.string()), "turn": np.frombuffer(turns, np.int64), "turn_slot": np.frombuffer(slots, np.int64)})
+    return shared.sparkSession.createDataFrame(dealt)
 
 
 def mix(
@@ -105,15 +119,11 @@ def mix(
     placed = running_totals(
         sized, ["_source"], [F.col("_order"), F.col("doc_id"), F.col("_text"), F.col("size")], {"_upto": F.col("size")}
     )
-    # Two small tables, one row a source and one a slot of the period, kept for their several uses.
+    # Kept for their several uses: one row a source, and one row a block of the mix.
     sizes = staged(sized.groupBy("_source").agg(F.sum("size").alias("total")))
-    slots = staged(schedule(shares(sizes, weights, period)))
-    blocks = F.ceil(F.col("total") / block_bytes)
-    # One row a source: blocks, and how many the mix has room for.
-    rooms = sizes.join(slots.groupBy("_source").agg(F.first("q").alias("q"), F.first("period").alias("period")), "_source")
-    longest = rooms.agg(F.max(blocks / F.col("q")).alias("_rounds"))
-    rooms = rooms.crossJoin(F.broadcast(longest)).select(
-        "_source", "q", "period", blocks.alias("blocks"), F.ceil(F.col("_rounds") * F.col("q")).alias("room")
+    slots = staged(schedule(shares(sizes, weights, period), block_bytes, repeat))
+    rooms = slots.groupBy("_source").agg(F.count(F.lit(1)).alias("room")).join(sizes, "_source").select(
+        "_source", "room", F.ceil(F.col("total") / block_bytes).alias("blocks")
     )
     numbered = placed.withColumn("offset", F.col("_upto") - F.col("size")).withColumn(
         "block", F.floor(F.col("offset") / block_bytes)
@@ -124,15 +134,8 @@ def mix(
         ).filter("block < room")
     else:
         numbered = numbered.withColumn("epoch", F.lit(0).cast("long"))
-    turns = slots.select("_source", "turn", "turn_slot")  # a period's slots: about ``period`` rows
-    return (
-        numbered.withColumn("turn", F.col("block") % F.col("q"))
-        .join(F.broadcast(turns), ["_source", "turn"])
-        .select(
-            *docs.columns, "block", F.col("epoch").cast("int").alias("epoch"),
-            (F.expr("block div q") * F.col("period") + F.col("turn_slot")).alias("slot"), "offset",
-        )
-    )
+    turns = slots.select("_source", F.col("turn").alias("block"), F.col("turn_slot").alias("slot"))
+    return numbered.join(turns, ["_source", "block"]).select(*docs.columns, "block", F.col("epoch").cast("int").alias("epoch"), "slot", "offset")
 
 
 def sized(docs: DataFrame) -> DataFrame:

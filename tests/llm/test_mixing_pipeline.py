@@ -143,3 +143,18 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).orderBy("start").collect()
     mixed = mixing.mix(mixing.sized(frames["decontamination"])).orderBy("slot", "offset").collect()
     assert [r["doc_id"] for r in last] == [r["doc_id"] for r in mixed]
+
+
+@pytest.mark.parametrize("totals", [{"hot": 10_000_000} | {f"s{i:02d}": 1_000_000 for i in range(19)}, {"hot": 3_000_000} | {f"s{i:04d}": 3000 + i for i in range(2000)}])
+def test_no_source_is_a_block_away_from_its_weight(spark, totals):
+    sizes = spark.createDataFrame(list(totals.items()), "_source string, total long")
+    rows = mixing.schedule(mixing.shares(sizes, None, mixing.PERIOD), 1000, repeat=True).orderBy("turn_slot").collect()
+    weight = {s: n**mixing.TEMPER for s, n in totals.items()}
+    whole, done = sum(weight.values()), Counter()
+    last = max(-(-n // 1000) * whole / weight[s] for s, n in totals.items())
+    for t, r in enumerate(rows[: int(last)], 1):
+        assert r["turn_slot"] == t - 1 and r["turn"] == done[r["_source"]]
+        done[r["_source"]] += 1
+        for s in ("hot", r["_source"]) if t % 500 else weight:
+            assert abs(done[s] - t * weight[s] / whole) < 1 + 1e-6
+    assert len(rows) >= int(last) and all(done[s] >= -(-n // 1000) - 1 for s, n in totals.items())
