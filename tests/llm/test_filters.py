@@ -262,3 +262,39 @@ def test_no_hexadecimal_run_is_lost(spark):
     got = {(r["doc_id"], r["value"]) for r in secrets.candidates(docs).collect()}
     want = {(r["doc_id"], x) for r in docs.collect() for x in re.findall(r"(?<![A-Za-z0-9+/_=.@:%~-])[0-9a-f]{32,}(?![A-Za-z0-9+/_=.@:%~-])", r["text"] or "")}
     assert want and want <= got
+
+
+def _shortest_and_longest(pattern):
+    """Two texts that a rule's pattern matches: first alternatives without, last ones with what is optional."""
+    def spell(tokens, full):
+        out = ""
+        for kind, value in tokens:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "IN":
+                out += chr(value[-1 if full else 0][1])
+            elif kind == "BRANCH":
+                out += spell(value[1][-1 if full else 0], full)
+            elif kind == "SUBPATTERN":
+                out += spell(value[-1], full)
+            elif kind == "MAX_REPEAT":
+                out += spell(value[2], full) * (value[1] if full else value[0])
+            else:
+                assert kind in ("ASSERT",)
+        return out
+
+    return {spell(re._parser.parse(pattern), full).strip() for full in (False, True)}
+
+
+def test_matches_of_every_rule_pass_the_gate_however_spaced(spark):
+    wanted = []
+    for r in license_rules.rules():
+        for text in _shortest_and_longest(r.pattern):
+            assert re.search(r.pattern, f" {text} ")
+            wanted += [(r.rule, r.label, text.upper().replace(" ", gap)) for gap in ("  ", "\n", "/", ' *"\n')]
+    assert not [w for w in wanted if not re.search(license_rules.GATE, w[2].lower())]
+    texts = [(1, "All rights\nreserved"), (2, "all rights  reserved"), (3, "released into the public\ndomain"), (4, "creative\ncommons zero"), (5, "https://mozilla.org/MPL"),
+             (6, "eclipse.org/legal/epl"), (7, "may not\nbe copied without"), (8, "Permission is hereby\ngranted, free of charge, to any person obtaining a copy")]
+    rows = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {1: "proprietary", 2: "proprietary", 3: "public-domain", 4: "cc0", 5: "mpl", 6: "epl", 7: "proprietary", 8: "mit"}
