@@ -184,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Fit on at most ``per_class`` labelled documents of each class.
 
     ``labels`` has (doc_id, label 0 or 1); of several labels of a document the
-    largest counts, and null ones do not.
+    largest counts, and null ones do not. Where the bound cuts the classes
+    unequally, the bias is moved back to their shares among all labels.
     """
     known = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -199,7 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     if fitted is None:
         none = np.empty(0, np.int64)
         return fit(none, none, none)
-    return Model(fitted["bias"], np.frombuffer(fitted["weights"], "<f4"))
+    # Two rows.
+    counts = {r["label"]: r["n"] for r in known.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    clean, toxic = (max(1.0, counts.get(k, 0) / per_class) for k in (0, 1))
+    return Model(fitted["bias"] + float(np.log(toxic / clean)), np.frombuffer(fitted["weights"], "<f4"))
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:

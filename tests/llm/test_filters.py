@@ -298,3 +298,14 @@ def test_matches_of_every_rule_pass_the_gate_however_spaced(spark):
              (6, "eclipse.org/legal/epl"), (7, "may not\nbe copied without"), (8, "Permission is hereby\ngranted, free of charge, to any person obtaining a copy")]
     rows = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["labels"] for r in rows} == {1: "proprietary", 2: "proprietary", 3: "public-domain", 4: "cc0", 5: "mpl", 6: "epl", 7: "proprietary", 8: "mit"}
+
+
+def test_toxicity_scores_keep_their_scale_when_a_class_is_cut(spark):
+    rng = np.random.default_rng(1)
+    other = [f"word{k}" for k in range(40)]
+    rows = [(i, int(i < 200), " ".join([*rng.choice(other, 6), *(["horrid"] if rng.random() < (0.7 if i < 200 else 0.3) else [])])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    for per_class in (2000, 200):
+        model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "label"), per_class)
+        chances = toxicity.score(pa.array([t for _, _, t in rows]), model)
+        assert abs(chances.mean() - 0.1) < 0.04
