@@ -156,31 +156,48 @@ def edge_table(words: DataFrame) -> DataFrame:
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
     """One level: states joined with the edges of their nodes. ``found`` is the word at the
     end of a walk; states without it go on."""
-    e, rest = F.col("e"), F.col("rest")
-    first, second = F.substring(rest, 1, 1), F.substring(rest, 2, 1)
+    e, rest, fresh = F.col("e"), F.col("rest"), F.col("edits") == 0
+    letter, alone = e["letter"], e["only"].isNotNull()
+    code = [F.col(f"c{i}") for i in range(3)]
 
-    def to(use: Column, taken: int, edits: Column) -> Column:
-        left = F.substring(rest, F.lit(taken + 1), F.length(rest)) if taken else rest
-        return F.when(use, F.struct(left.alias("rest"), (F.col("pos") + taken).alias("pos"), edits.alias("edits")))
+    def left(taken: int) -> Column:
+        return F.substring(rest, F.lit(taken + 1), F.length(rest)) if taken else rest
 
-    other = (F.col("edits") == 0) & (e["letter"] != first)
-    moves = F.array(
-        to(e["letter"] == first, 1, F.col("edits")),
-        to(other & (e["letter"] != END) & (first != END), 1, F.lit(1)),
-        to(other & (e["letter"] != END), 0, F.lit(1)),
-        to(other & (first != END) & (e["letter"] == second), 2, F.lit(1)),
-    )
-    taken = (
+    def fits(taken: int) -> Column:
+        """Can the walk go on, or does it end at the edge's only word?"""
+        same = F.when(e["rest"].isNull(), F.length(rest) - taken > REST).otherwise(e["rest"] == left(taken))
+        next_bit = F.bit_get(e["follows"], F.ascii(code[taken]).bitwiseAND(F.lit(63)))
+        return F.when(alone, (e["only"] != F.col("id")) & same).otherwise((code[taken] != "") & (next_bit == 1))
+
+    def move(name: str, taken: int, edits: Column) -> Column:
+        return F.when(F.col(name), F.struct(left(taken).alias("rest"), (F.col("pos") + taken).alias("pos"), edits.alias("edits")))
+
+    # All edges of a node are weighed, so what cannot fit goes before anything is made of it.
+    other = fresh & (letter != code[0])
+    weighed = (
         states.join(edges, ["side", "node"])
-        .select("side", "id", "pos", "rest", "edits", F.explode("edges").alias("e"))
-        .select("side", "id", "e", F.explode(F.filter(moves, lambda m: m.isNotNull())).alias("m"))
+        .select("side", "id", "pos", "rest", "edits", *[F.substring("rest", i + 1, 1).alias(f"c{i}") for i in range(3)], "edges")
+        .select("*", F.explode("edges").alias("e"))
+        .drop("edges")
+        .filter(fresh | (letter == code[0]))
+        .withColumns(
+            {
+                "same": (letter == code[0]) & ~(alone & fresh) & fits(1),
+                "replaced": other & (letter != END) & (code[0] != END) & fits(1),
+                "inserted": other & (letter != END) & fits(0),
+                "deleted": other & (code[0] != END) & (letter == code[1]) & fits(2),
+            }
+        )
+        .filter("same or replaced or inserted or deleted")
+    )
+    moves = F.array(
+        move("same", 1, F.col("edits")),
+        move("replaced", 1, F.lit(1)),
+        move("inserted", 0, F.lit(1)),
+        move("deleted", 2, F.lit(1)),
     )
     m = F.col("m")
-    alone = e["only"].isNotNull()
-    same = F.when(e["rest"].isNull(), F.length(m["rest"]) > REST).otherwise(e["rest"] == m["rest"])
-    letter = F.ascii(m["rest"]).bitwiseAND(F.lit(63))
-    goes_on = (F.length(m["rest"]) > 0) & (F.bit_get(e["follows"], letter) == 1)
-    return taken.filter(F.when(alone, (m["edits"] == 1) & (e["only"] != F.col("id")) & same).otherwise(goes_on)).select(
+    return weighed.select("side", "id", "e", F.explode(F.filter(moves, lambda x: x.isNotNull())).alias("m")).select(
         "side",
         "id",
         m["rest"].alias("rest"),
