@@ -780,4 +780,21 @@ WITH RECURSIVE spans AS (
   SELECT dom, part, lo AS a, least(lo + INTERVAL 1 MONTH, hi) AS b, hi FROM spans WHERE lo < hi
   UNION ALL SELECT dom, part, b, least(b + INTERVAL 1 MONTH, hi), hi FROM chunks WHERE b < hi)
 SELECT dom AS tectonic_domain, part::BIGINT AS part, a::DATE::VARCHAR AS chunk_start, b::DATE::VARCHAR AS chunk_end FROM chunks"""
+    out["snapshot_pushdown"] = f"""
+WITH {ORDERS} SELECT id::VARCHAR AS event_id, strftime(ts, '%Y-%m-%d') AS day, lat AS latitude, lon AS longitude, mag AS magnitude_value, source
+FROM cat WHERE ts >= '2006-01-01' AND ts < '2009-07-01' AND lat BETWEEN 36.5e0 AND 39.25e0 AND lon >= -11 AND mag >= 2"""
+    asked_held = """
+asked AS (SELECT DISTINCT o_custkey AS feed, o_orderdate::DATE AS s, o_orderdate::DATE + (20 + o_orderkey % 90)::INT AS e FROM orders),
+held AS (SELECT DISTINCT o_custkey AS feed, unnest(generate_series(l_shipdate::DATE, l_shipdate::DATE + l_quantity::INT - 1, INTERVAL 1 DAY))::DATE AS d
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+    out["range_gaps"] = f"""
+WITH {asked_held},
+days AS (SELECT DISTINCT feed, unnest(generate_series(s, e - 1, INTERVAL 1 DAY))::DATE AS d FROM asked),
+missing AS (SELECT feed, d, d - row_number() OVER (PARTITION BY feed ORDER BY d)::INT AS island FROM days ANTI JOIN held USING (feed, d))
+SELECT feed, strftime(min(d), '%Y-%m-%d') AS gap_start, strftime(max(d) + 1, '%Y-%m-%d') AS gap_end FROM missing GROUP BY feed, island"""
+    out["range_manifest"] = f"""
+WITH {asked_held}
+SELECT feed, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day,
+  CASE WHEN n = e - s THEN 'complete' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS status, n::BIGINT AS held_days
+FROM (SELECT a.feed, s, e, count(d) AS n FROM asked a LEFT JOIN held h ON h.feed = a.feed AND d >= s AND d < e GROUP BY a.feed, s, e)"""
     return out

@@ -36,8 +36,8 @@ from quakeloom.operators.similarity import (
 from quakeloom.plans.pipelines import harmonise
 from quakeloom.plans.proxy import orders_catalogue, stream_catalogue, table
 from quakeloom.schema import conform, keep_last, stable_event_id, union_events
-from quakeloom.session import staged
-from quakeloom.sources import ahead, fdsn, ipma
+from quakeloom.session import staged, staging_path
+from quakeloom.sources import ahead, fdsn, ipma, ranges, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -943,3 +943,50 @@ def month_chunks(spark, sf):
     return fdsn.split_ranges(spans, 1).select(
         "tectonic_domain", "part", day("chunk_start").alias("chunk_start"), day("chunk_end").alias("chunk_end")
     )
+
+
+# --- sources with pushdown, ranges ------------------------------------------
+
+
+@query
+def snapshot_pushdown(spark, sf):
+    """A range of time, a box and a least magnitude, asked of text snapshots of all orders."""
+    path = staging_path(spark)
+    snapshots.write_snapshots(orders_catalogue(spark, sf), path, rows_per_file=20_000)
+    found = snapshots.load_snapshots(
+        spark, path,
+        "origin_time_utc >= timestamp'2006-01-01' and origin_time_utc < timestamp'2009-07-01' "
+        "and latitude between 36.5 and 39.25 and longitude >= -11 and magnitude_value >= 2",
+    )
+    return found.select("event_id", day("origin_time_utc").alias("day"), "latitude", "longitude", "magnitude_value", "source")
+
+
+def _asked_and_held(spark, sf):
+    """Ranges asked of each customer's feed by its orders, and those that its lines brought."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("feed"), "o_orderdate")
+    start = F.col("o_orderdate").cast("timestamp")
+    days = F.make_dt_interval((F.lit(20) + F.col("o_orderkey") % 90).cast("int"))
+    asked = orders.select("feed", start.alias(ranges.START), (start + days).alias(ranges.END))
+    shipped = F.col("l_shipdate").cast("timestamp")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity")
+    held = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "feed", shipped.alias(ranges.START), (shipped + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias(ranges.END)
+    )
+    return asked, held
+
+
+@query
+def range_gaps(spark, sf):
+    asked, held = _asked_and_held(spark, sf)
+    return ranges.difference(asked, held, ["feed"]).select(
+        "feed", day(ranges.START).alias("gap_start"), day(ranges.END).alias("gap_end")
+    )
+
+
+@query
+def range_manifest(spark, sf):
+    asked, held = _asked_and_held(spark, sf)
+    return ranges.manifest_entries(asked, held, ["feed"]).select(
+        "feed", day(ranges.START).alias("start_day"), day(ranges.END).alias("end_day"), "status",
+        (F.col("held_seconds") / 86400).cast("long").alias("held_days"),
+    )

@@ -91,6 +91,12 @@ def staging(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def staging_path(spark: SparkSession) -> str:
+    """A new path in the staging area."""
+    parent = _runs[-1] if _runs else f"{checkpoint_dir(spark)}/quakeloom"
+    return f"{parent}/{uuid.uuid4().hex}"
+
+
 def staged(frame: DataFrame) -> DataFrame:
     """Materialise as a table in the shared checkpoint folder.
 
@@ -98,8 +104,7 @@ def staged(frame: DataFrame) -> DataFrame:
     and the planner sees the real size of the table when it picks a join.
     """
     spark = frame.sparkSession
-    parent = _runs[-1] if _runs else f"{checkpoint_dir(spark)}/quakeloom"
-    path = f"{parent}/{uuid.uuid4().hex}"
+    path = staging_path(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
