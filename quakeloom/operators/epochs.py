@@ -177,6 +177,12 @@ def epoch_thresholds(
     policy floor and Mc, rounded to one decimal as Python rounds."""
     keys = [*extra_keys, "tectonic_domain", "observation_epoch"]
     counts = magnitude_counts(frame.filter("tectonic_domain is not null"), keys)
+    return thresholds_of_counts(counts, keys, minimum_events)
+
+
+def thresholds_of_counts(counts: DataFrame, keys: Sequence[str], minimum_events: int = 30) -> DataFrame:
+    """The same from counted magnitudes: keys, magnitude_comparable (or NULL) and n."""
+    keys = list(keys)
     sizes = counts.groupBy(*keys).agg(
         F.sum("n").alias("epoch_event_count"),
         F.sum(F.when(F.col("magnitude_comparable").isNotNull(), F.col("n")).otherwise(0)).alias(

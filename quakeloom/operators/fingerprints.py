@@ -117,7 +117,7 @@ def spread_days(daily: DataFrame, window_days: Sequence[int], step_days: int) ->
     )
 
 
-def _daily_sums(events: DataFrame) -> DataFrame:
+def daily_sums(events: DataFrame) -> DataFrame:
     """Counts and sums per (group, day, source)."""
     m, comparable = F.col("magnitude_comparable"), F.col("comparable")
 
@@ -144,7 +144,7 @@ def _daily_sums(events: DataFrame) -> DataFrame:
     )
 
 
-def _daily_histograms(events: DataFrame) -> DataFrame:
+def daily_histograms(events: DataFrame) -> DataFrame:
     """Weighted distinct values per (group, day), for three kinds of value."""
     comparable = F.col("comparable")
 
@@ -303,7 +303,7 @@ def _distribution_features(histograms: DataFrame, sums: DataFrame) -> DataFrame:
     )
 
 
-def _last_strong(daily: DataFrame, windows: DataFrame) -> DataFrame:
+def last_strong(daily: DataFrame, windows: DataFrame) -> DataFrame:
     """Latest strong event strictly before midnight of each window end."""
     strong = (
         daily.filter("strong_ts is not null")
@@ -347,6 +347,53 @@ def diversity(shares: Iterable[Column]) -> Column:
     return clip(total / math.log(4.0), 0.0, 1.0)
 
 
+def with_comparable(events: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Members of populations with their group's number and whether they are comparable."""
+    limits = thresholds.select(GID, *GROUP, F.col("comparison_threshold").alias("threshold"))
+    return events.join(limits, GROUP).withColumn(
+        "comparable", F.coalesce(F.col("magnitude_comparable") >= F.col("threshold"), F.lit(False))
+    )
+
+
+def day_limits(daily: DataFrame) -> DataFrame:
+    """First day and span of every group."""
+    return daily.groupBy(GID).agg(F.min("day").alias("d0"), (F.max("day") - F.min("day")).alias("span"))
+
+
+def windows_of_days(
+    daily: DataFrame,
+    histograms: DataFrame,
+    anchors: DataFrame,
+    window_days: Sequence[int],
+    step_days: int,
+    minimum_window_events: int,
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """Sums and distributions of windows (of ``only``, keys of windows, if given) from daily partials."""
+
+    def spread(frame: DataFrame, *keys: str) -> DataFrame:
+        found = spread_days(spread_evenly(frame, GID, "day", *keys).join(anchors, GID), window_days, step_days)
+        return found if only is None else found.join(only, WINDOW, "left_semi")
+
+    sums = staged(_window_sums(spread(daily)).filter(F.col("n") >= minimum_window_events))
+    shapes = _distribution_features(spread(histograms, "a", "b"), sums)
+    start_day = F.col("d0") + F.col("window_index") * step_days
+    return (
+        sums.withColumn("start_day", start_day)
+        .withColumn("end_day", start_day + F.col("window_days") - 1)
+        .join(shapes, WINDOW, "left")
+    )
+
+
+def midnight(day: str) -> Column:
+    return F.timestamp_seconds(F.col(day).cast("long") * 86400)
+
+
+def days_since(end_day: str, last_strong: str) -> Column:
+    since = (F.unix_micros(midnight(end_day)) - F.col(last_strong)) / F.lit(86_400_000_000.0)
+    return F.when(F.col(last_strong).isNotNull(), F.greatest(F.lit(0.0), since))
+
+
 def window_features(
     frame: DataFrame,
     window_days: Sequence[int] = (30, 90, 365),
@@ -358,46 +405,25 @@ def window_features(
     """All window features, without the expanding percentiles."""
     events = populations(frame, modes, policies)
     thresholds = with_row_key(epoch_thresholds(events, POPULATION), GID)
-    limits = thresholds.select(GID, *GROUP, F.col("comparison_threshold").alias("threshold"))
-    events = events.join(limits, GROUP).withColumn(
-        "comparable", F.coalesce(F.col("magnitude_comparable") >= F.col("threshold"), F.lit(False))
-    )
+    events = with_comparable(events, thresholds)
     # The raw events are read for the last time here; what follows works on
     # daily partials, staged once and reused.
-    daily = staged(_daily_sums(events))
-    histograms = staged(_daily_histograms(events))
-    anchors = staged(
-        daily.groupBy(GID).agg(
-            F.min("day").alias("d0"), (F.max("day") - F.min("day")).alias("span")
-        )
-    )
-    sums = staged(
-        _window_sums(
-            spread_days(
-                spread_evenly(daily, GID, "day").join(anchors, GID), window_days, step_days
-            )
-        )
-        .filter(F.col("n") >= minimum_window_events)
-    )
-    spread = spread_days(
-        spread_evenly(histograms, GID, "day", "a", "b").join(anchors, GID), window_days, step_days
-    )
-    shapes = _distribution_features(spread, sums)
-    start_day = F.col("d0") + F.col("window_index") * step_days
-    sums = sums.withColumn("end_day", start_day + F.col("window_days") - 1)
-    full = (
-        sums.join(shapes, WINDOW, "left")
-        .join(_last_strong(daily, sums), WINDOW, "left")
-        .join(thresholds, GID)
-    )
-    midnight = F.timestamp_seconds(F.col("end_day").cast("long") * 86400)
+    daily = staged(daily_sums(events))
+    histograms = staged(daily_histograms(events))
+    anchors = staged(day_limits(daily))
+    windows = windows_of_days(daily, histograms, anchors, window_days, step_days, minimum_window_events)
+    return feature_columns(windows.join(last_strong(daily, windows), WINDOW, "left").join(thresholds, GID))
+
+
+def feature_columns(full: DataFrame) -> DataFrame:
+    """The columns of a fingerprint from window totals, thresholds and the last strong event."""
     shares = _shares()
     return full.select(
         "tectonic_domain",
         *POPULATION,
         "window_days",
-        F.timestamp_seconds(start_day.cast("long") * 86400).alias("window_start"),
-        midnight.alias("window_end"),
+        midnight("start_day").alias("window_start"),
+        midnight("end_day").alias("window_end"),
         F.col("observation_epoch").alias("comparison_epoch"),
         F.col("epoch_label").alias("comparison_epoch_label"),
         F.col("comparison_threshold").alias("comparison_magnitude_threshold"),
@@ -413,10 +439,6 @@ def window_features(
         F.coalesce("_depth_std", F.lit(0.0)).alias("depth_std_km"),
         F.when(F.col("loc_n") >= 2, F.col("_dispersion")).otherwise(0.0).alias("spatial_dispersion_km"),
         F.when(F.col("energy") > 0, F.log10("energy")).alias("log10_total_energy_j"),
-        F.greatest(
-            F.lit(0.0), (F.unix_micros(midnight) - F.col("last_strong")) / F.lit(86_400_000_000.0)
-        ).alias("_since"),
-        "last_strong",
         "catalogue_completeness_mc",
         _ratio("q_sum", "q_n").alias("data_quality_score"),
         _ratio("n_mag", "n").alias("magnitude_coverage_ratio"),
@@ -425,9 +447,8 @@ def window_features(
         *[share.alias(name) for name, share in shares.items()],
         diversity(shares.values()).alias("source_diversity_score"),
         "dominant_source",
-    ).withColumn(
-        "days_since_previous_m3", F.when(F.col("last_strong").isNotNull(), F.col("_since"))
-    ).drop("_since", "last_strong")
+        days_since("end_day", "last_strong").alias("days_since_previous_m3"),
+    )
 
 
 def running_percentiles(

@@ -780,6 +780,7 @@ WITH RECURSIVE spans AS (
   SELECT dom, part, lo AS a, least(lo + INTERVAL 1 MONTH, hi) AS b, hi FROM spans WHERE lo < hi
   UNION ALL SELECT dom, part, b, least(b + INTERVAL 1 MONTH, hi), hi FROM chunks WHERE b < hi)
 SELECT dom AS tectonic_domain, part::BIGINT AS part, a::DATE::VARCHAR AS chunk_start, b::DATE::VARCHAR AS chunk_end FROM chunks"""
+    out["incremental_fingerprints"] = out["fingerprints"]
     out["snapshot_pushdown"] = f"""
 WITH {ORDERS} SELECT id::VARCHAR AS event_id, strftime(ts, '%Y-%m-%d') AS day, lat AS latitude, lon AS longitude, mag AS magnitude_value, source
 FROM cat WHERE ts >= '2006-01-01' AND ts < '2009-07-01' AND lat BETWEEN 36.5e0 AND 39.25e0 AND lon >= -11 AND mag >= 2"""

@@ -33,6 +33,7 @@ from quakeloom.operators.replay import (
 from quakeloom.operators.similarity import (
     comparability, nearest_states, raw_distances, scaled_features, targets_asof, top_contributions,
 )
+from quakeloom.plans import incremental
 from quakeloom.plans.pipelines import harmonise
 from quakeloom.plans.proxy import orders_catalogue, stream_catalogue, table
 from quakeloom.schema import conform, keep_last, stable_event_id, union_events
@@ -372,7 +373,10 @@ def window_features_full(spark, sf):
 
 @query
 def fingerprints(spark, sf):
-    made = build_fingerprints(orders_catalogue(spark, sf))
+    return _percentiles(build_fingerprints(orders_catalogue(spark, sf)))
+
+
+def _percentiles(made: DataFrame) -> DataFrame:
     columns = [c for c in made.columns if c.startswith(("historical_", "comparable_"))]
     return rounded(
         made.select("tectonic_domain", "window_days", "window_end", "event_count",
@@ -380,6 +384,28 @@ def fingerprints(spark, sf):
     )
 
 
+@query
+def incremental_fingerprints(spark, sf):
+    """Built from an earlier state of the orders, then brought up to date with what changed since.
+
+    The earlier state lacks the last hundred days; has other magnitudes, or rows
+    that are gone now, in one spring.
+    """
+    now = orders_catalogue(spark, sf)
+    when = F.col("origin_time_utc")
+    spring = (when >= "2009-04-01") & (when < "2009-06-01")
+    last = now.agg(F.max("origin_time_utc").alias("last")).withColumn("last", F.col("last") - F.expr("interval 100 days"))
+    known = now.join(F.broadcast(last), when < F.col("last")).drop("last")
+    revised = known.filter(spring).withColumn("magnitude_comparable", F.col("magnitude_comparable") + 1)
+    gone = known.filter(spring & (F.col("latitude") > 38)).withColumn("event_id", F.concat(F.lit("x"), "event_id"))
+    before = known.filter(~spring).unionByName(revised).unionByName(gone)
+    added = now.join(F.broadcast(last), when >= F.col("last")).drop("last")
+    root = staging_path(spark)
+    incremental.build(before, root)
+    incremental.update(now, root, incremental.changed_days(added, revised, gone))
+    return _percentiles(incremental.load(spark, root))
+
+
 @query
 def fingerprints_all_populations(spark, sf):
     return rounded(

@@ -52,15 +52,20 @@ def rejected_bodies(bodies: DataFrame, text: str = "response_text") -> DataFrame
 
 
 def fields(line: Column, separator: Column) -> Column:
-    """Values of a delimited line; a separator inside double quotes is text."""
-    outside = F.concat(separator, F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    """Values of a delimited line; a separator (a bar or a comma) inside double quotes is text."""
+    bar = separator == "\\|"
+
+    def pieces(after: str) -> Column:
+        # Patterns are literals: one of a column would be compiled for every line.
+        return F.when(bar, F.split(line, "\\|" + after)).otherwise(F.split(line, "," + after))
 
     def value(v: Column) -> Column:
         bare = F.trim(v)
         quoted = bare.rlike('^"(?s:.*)"$') & (F.length(bare) > 1)
         return F.when(quoted, F.trim(F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"')))).otherwise(bare)
 
-    return F.transform(F.split(line, outside), value)
+    quoted = F.transform(pieces('(?=(?:[^"]*"[^"]*")*[^"]*$)'), value)
+    return F.when(line.contains('"'), quoted).otherwise(F.transform(pieces(""), lambda v: F.trim(v)))
 
 
 def _is_header(line: Column) -> Column:
@@ -94,19 +99,17 @@ def parse_bodies(bodies: DataFrame, text: str = "response_text") -> DataFrame:
         *others, "_lines", "_at", "_sep",
         F.transform(fields(F.col("_header"), F.col("_sep")), canonical_column).alias("_names"),
     )
-    rows = named.select(
-        *others, "_at", "_sep", "_names", F.posexplode("_lines").alias("_pos", "_line")
+    # Of several headings with one meaning the first counts; told once for a body.
+    first = "filter(sequence(1, size(_names)), i -> array_position(_names, element_at(_names, i)) = i)"
+    rows = named.withColumn("_keep", F.expr(first)).withColumn("_keys", F.expr("transform(_keep, i -> element_at(_names, i))")).select(
+        *others, "_at", "_sep", "_keep", "_keys", F.posexplode("_lines").alias("_pos", "_line")
     ).filter((F.col("_pos") >= F.col("_at")) & ~F.col("_line").startswith("#"))
     values = F.transform(fields(F.col("_line"), F.col("_sep")), lambda v: F.when(~v.isin(*FDSN_NULLS), v))
-    # Of several headings with one meaning the first counts.
-    filled = rows.select(*others, "_pos", "_at", "_names", values.alias("_values"))
-    record = F.map_from_entries(F.expr("""
-        transform(filter(sequence(1, least(size(_names), size(_values))), i -> array_position(_names, element_at(_names, i)) = i),
-            i -> struct(element_at(_names, i) as k, element_at(_values, i) as v))
-    """))
-    return (
-        filled.select(*others, (F.col("_pos") - F.col("_at")).alias("line"), record.alias("record"))
-        .filter(F.lower(F.coalesce(F.col("record")["event_id"], F.lit(""))) != "eventid")
+    split = rows.select(*others, "_pos", "_at", "_keep", "_keys", F.explode(F.array(values)).alias("_values"))
+    record = F.map_from_arrays("_keys", F.expr("transform(_keep, i -> get(_values, i - 1))"))
+    # Exploding a list of one keeps the planner from making the map again for every use of it.
+    return split.select(*others, (F.col("_pos") - F.col("_at")).alias("line"), F.explode(F.array(record)).alias("record")).filter(
+        F.lower(F.coalesce(F.col("record")["event_id"], F.lit(""))) != "eventid"
     )
 
 
