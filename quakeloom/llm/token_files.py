@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -107,9 +108,19 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _added_pattern(path: str) -> str | None:
+    """Finds the names of added tokens, which the library takes for these tokens in any text."""
+    names = [re.escape(t.content) for t in _tokenizer(path).get_added_tokens_decoder().values()]
+    return "|".join(names) or None
+
+
+def _has_added(texts: pa.Array, path: str) -> pa.Array:
+    pattern = _added_pattern(path)
+    return pc.match_substring_regex(texts, pattern) if pattern else pa.array(np.zeros(len(texts), bool))
 
 
 @cache
@@ -138,7 +149,7 @@ def _encode_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]
     many are encoded as one string, and the bytes behind the ids tell them apart.
     """
     tokenizer = _tokenizer(path)
-    spaced = pc.starts_with(pieces, " ").to_numpy(zero_copy_only=False)
+    spaced = pc.and_not(pc.starts_with(pieces, " "), _has_added(pieces, path)).to_numpy(zero_copy_only=False)
     alone, alone_lengths = _flat(
         tokenizer.encode_batch_fast(pieces.filter(pa.array(~spaced)).to_pylist(), add_special_tokens=False)
     )
@@ -158,9 +169,9 @@ def _encode_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]
 
 
 class _Known:
-    """Pieces that this worker has encoded: at most about ``limit``, then it starts anew."""
+    """Pieces that this worker has encoded: at most about ``limit``, or ``limit_bytes`` of text, then it starts anew."""
 
-    limit = 1 << 19
+    limit, limit_bytes = 1 << 19, 1 << 25
 
     def __init__(self, path: str) -> None:
         self.path = path
@@ -172,7 +183,7 @@ class _Known:
 
     def places(self, pieces: pa.Array) -> np.ndarray:
         """Where each piece is among the known ones, after adding those that are new."""
-        if len(self.pieces) > self.limit:
+        if len(self.pieces) > self.limit or self.pieces.nbytes > self.limit_bytes:
             self.clear()
         place = pc.index_in(pieces, value_set=self.pieces)
         fresh = pc.is_null(place)
@@ -193,13 +204,15 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and how many each has.
 
     A text is cut before each space that a visible character follows, where a
-    byte-level pre-token always begins; each different piece is encoded once.
+    byte-level pre-token always begins; each different piece is encoded once. One
+    with the name of an added token (an end of text, say) stays whole, as the
+    library splits it there first.
     """
     texts = texts.fill_null("").cast(pa.string())
-    marked = pc.match_substring(texts, CUT)
+    marked = pc.or_(pc.match_substring(texts, CUT), _has_added(texts, path))
     cut = pc.if_else(marked, texts, pc.replace_substring_regex(texts, f" ([^{WHITE}])", CUT + r" \1"))
     pieces = pc.split_pattern(cut, CUT)
-    if pc.any(marked).as_py():  # a text with the mark itself stays whole
+    if pc.any(marked).as_py():  # such a text stays whole, like one with the mark itself
         whole = marked.to_pylist()
         kept = zip(texts.to_pylist(), whole, pieces.to_pylist(), strict=True)
         pieces = pa.array([[t] if w else p for t, w, p in kept], pa.list_(pa.string()))

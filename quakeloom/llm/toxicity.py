@@ -192,11 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     sample = known.filter("label = 1").orderBy(*order).limit(per_class).union(
         known.filter("label = 0").orderBy(*order).limit(per_class)
     )
-    # At most 2 * per_class rows, so the documents need no shuffle.
+    # At most 2 * per_class rows, so the documents need no shuffle. Their order decides the
+    # folds and the order of sums, so it is made by what the rows hold.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(
-        "text", F.col("label").cast("double").alias("label")
+        "text", F.col("label").cast("double").alias("label"), F.xxhash64("doc_id", "text").alias("_hash"), "doc_id"
     )
-    fitted = map_arrow(rows.repartition(1), _fit_task, "bias double, weights binary").first()
+    ordered = rows.repartition(1).sortWithinPartitions("_hash", "doc_id", "text").select("text", "label")
+    fitted = map_arrow(ordered, _fit_task, "bias double, weights binary").first()
     if fitted is None:
         none = np.empty(0, np.int64)
         return fit(none, none, none)
@@ -207,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1). A null text scores like an empty one."""
+    """Add ``score`` (0 to 1), in place of a column of that name. A null text scores like an empty one."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

@@ -60,6 +60,16 @@ def test_toxicity_of_awkward_rows(spark, awkward, empty):
     assert toxicity.op4_toxicity(spark, empty).count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet(f"/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = toxicity.toxic_labels(spark, "/root/testdata/sf0.01")
+    few, many = docs.coalesce(1).orderBy("doc_id"), docs.repartition(7, F.xxhash64("text")).sortWithinPartitions(F.desc("doc_id"))
+    a, b = toxicity.train(few, labels), toxicity.train(many, labels)
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+    scored = toxicity.with_score(docs.withColumn("score", F.lit("other")), a)
+    assert scored.columns == ["doc_id", "text", "score"]
+
+
 @pytest.mark.parametrize(("labels", "predicted"), [([], 0), ([(1, 1, 1), (2, 1, 1)], 1), ([(1, 1, 0)], 0)])
 def test_toxicity_without_both_classes(spark, tmp_path, labels, predicted):
     folder = fx.write(spark, tmp_path, [(1, "some text"), (2, "other text")], [r for r in labels if r[0] != 5])

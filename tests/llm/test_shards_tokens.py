@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -117,6 +118,16 @@ def expected_tokens(ordered):
     return out
 
 
+def test_names_of_added_tokens_encode_as_the_library_does():
+    name = "<|endoftext|>"
+    texts = ["a %s b", "%s", " %s %s", "a  %s  b c", "x%sy z", "one two\n%s\n three", "%s%s", "<|endof text|> a b", "end %s"] * 3
+    texts = [t.replace("%s", name) for t in texts] + ["plain words here", None, " a b " + name, "again b c", "   ", name + " a b"]
+    ids, counts = tokens.encode_texts(pa.array(texts), PATH)
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert 50256 in ids
+
+
 def test_token_files_of_awkward_rows(spark, awkward, empty):
     rows = [tuple(r) for r in tokens.op2_token_files(spark, awkward).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
     hashes = dict(spark.createDataFrame([(t,) for _, t in fx.awkward_texts()], "t string").select("t", F.xxhash64("t")).collect())
