@@ -7,7 +7,7 @@ not from the Spark plan, so that the two check each other.
 from __future__ import annotations
 
 from quakeloom.fixed_values import (
-    DECLUSTER_METHOD, MODELS, STATE_BASELINE, STATE_CROSSING, STATE_ELEVATED, STATE_EXCEPTIONAL, STATE_MISSING, STATE_SMALL,
+    DECLUSTER_METHOD, MODELS, OUTSIDE_REGION, STATE_BASELINE, STATE_CROSSING, STATE_ELEVATED, STATE_EXCEPTIONAL, STATE_MISSING, STATE_SMALL,
 )
 
 ORDERS = """
@@ -798,4 +798,33 @@ WITH {asked_held}
 SELECT feed, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day,
   CASE WHEN n = e - s THEN 'complete' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS status, n::BIGINT AS held_days
 FROM (SELECT a.feed, s, e, count(d) AS n FROM asked a LEFT JOIN held h ON h.feed = a.feed AND d >= s AND d < e GROUP BY a.feed, s, e)"""
+    rings = [("x", "y", "r"), ("x", "y", "r / 2"), ("x + r * 2", "y", "r / 4")]
+    turns = []
+    for cx, cy, size in rings:
+        corners = [(f"({cx}) + {size}", cy), (cx, f"{cy} + {size}"), (f"({cx}) - {size}", cy), (cx, f"{cy} - {size}")]
+        turns += [(*a, *b) for a, b in zip(corners, corners[1:] + corners[:1])]
+    sides = " UNION ALL ".join(
+        f"SELECT k, name, {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2 FROM shape" for x1, y1, x2, y2 in turns
+    )
+    out["polygon_layer"] = f"""
+WITH {ORDERS},
+shape AS (SELECT c_custkey AS k, c_name AS name, -12 + (c_custkey * 104729 % 50000)/10000e0 AS x, 36 + (c_custkey * 7919 % 40000)/10000e0 AS y,
+  0.03e0 + (c_custkey % 7)/50e0 + c_custkey/1e7 AS r FROM customer),
+sides AS ({sides}),
+points AS (SELECT DISTINCT lat, lon FROM cat),
+tested AS (
+  SELECT lat, lon, k, name,
+    bool_or((lon - x1)*(y2 - y1) - (lat - y1)*(x2 - x1) = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2))
+      OR count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1)*(lat - y1)/(y2 - y1) + x1) % 2 = 1 AS hit,
+    min(sqrt(pow(lon - (least(1e0, greatest(0e0, ((lon - x1)*(x2 - x1) + (lat - y1)*(y2 - y1))/((x2 - x1)*(x2 - x1) + (y2 - y1)*(y2 - y1))))*(x2 - x1) + x1), 2)
+      + pow(lat - (least(1e0, greatest(0e0, ((lon - x1)*(x2 - x1) + (lat - y1)*(y2 - y1))/((x2 - x1)*(x2 - x1) + (y2 - y1)*(y2 - y1))))*(y2 - y1) + y1), 2))) AS d
+  FROM points, sides GROUP BY lat, lon, k, name
+),
+best AS (
+  SELECT lat, lon, count(*) FILTER (WHERE hit) AS hits, arg_min(name, r) FILTER (WHERE hit) AS inner_name, min(d) AS d, arg_min(name, d) AS near_name
+  FROM tested JOIN shape USING (k, name) GROUP BY lat, lon
+)
+SELECT id::VARCHAR AS event_id, CASE WHEN hits > 0 THEN inner_name WHEN d <= 0.25 THEN near_name ELSE '{OUTSIDE_REGION}' END AS tectonic_domain,
+  CASE WHEN hits = 1 THEN 0.9e0 WHEN hits > 1 THEN 0.85e0 WHEN d <= 0.25 THEN 0.45e0 ELSE 0.2e0 END AS domain_confidence
+FROM cat JOIN best USING (lat, lon)"""
     return out

@@ -23,6 +23,7 @@ from quakeloom.operators.fingerprints import (
     MODES, POLICIES, build_fingerprints, populations, window_features,
 )
 from quakeloom.operators.geography import classify_events
+from quakeloom.operators.polygons import classify_by_layer, layer
 from quakeloom.operators.magnitude import (
     MagnitudeRule, homogenize_magnitudes, magnitude_audit_summary, magnitude_policy_summary,
     preferred_events,
@@ -38,7 +39,7 @@ from quakeloom.plans.pipelines import harmonise
 from quakeloom.plans.proxy import orders_catalogue, stream_catalogue, table
 from quakeloom.schema import conform, keep_last, stable_event_id, union_events
 from quakeloom.session import staged, staging_path
-from quakeloom.sources import ahead, fdsn, ipma, ranges, snapshots
+from quakeloom.sources import ahead, fdsn, geojson, ipma, ranges, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1016,3 +1017,30 @@ def range_manifest(spark, sf):
         "feed", day(ranges.START).alias("start_day"), day(ranges.END).alias("end_day"), "status",
         (F.col("held_seconds") / 86400).cast("long").alias("held_days"),
     )
+
+
+# --- polygon layers ---------------------------------------------------------
+
+
+@query
+def polygon_layer(spark, sf):
+    """Orders placed in a layer with one region for each customer: a diamond with a hole, and an island."""
+    key = F.col("c_custkey")
+    x = F.lit(-12) + (key * 104729 % 50000) / F.lit(10000.0)
+    y = F.lit(36) + (key * 7919 % 40000) / F.lit(10000.0)
+    r = F.lit(0.03) + (key % 7) / F.lit(50.0) + key / F.lit(1e7)
+
+    def diamond(cx: Column, cy: Column, size: Column) -> Column:
+        return F.array(F.array(cx + size, cy), F.array(cx, cy + size), F.array(cx - size, cy), F.array(cx, cy - size))
+
+    parts = F.array(F.array(diamond(x, y, r), diamond(x, y, r / 2)), F.array(diamond(x + r * 2, y, r / 4)))
+    text = F.to_json(
+        F.struct(
+            F.lit("Feature").alias("type"),
+            F.struct(F.col("c_name").alias("name")).alias("properties"),
+            F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")).alias("geometry"),
+        )
+    )
+    texts = table(spark, sf, "customer").select(key.alias("rank"), text.alias("value"))
+    regions = staged(layer(geojson.polygons(texts, order=["rank"])))
+    return classify_by_layer(orders_catalogue(spark, sf), regions, 0.25).select("event_id", "tectonic_domain", "domain_confidence")
