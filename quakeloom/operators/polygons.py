@@ -132,13 +132,19 @@ def with_layer_region(
     nearest within ``near`` degrees, equals by rank."""
     x, y = F.col(lon), F.col(lat)
     celled = frame.withColumns({"_cx": _cell(x, size), "_cy": _cell(y, size)})
-    cells = index.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("inside").alias("_inside"), F.col("border").alias("_border"), F.col("around").alias("_around"))
-    joined = celled.join(cells, ["_cx", "_cy"], "left")
-    hits = F.concat("_inside", F.filter("_border", lambda c: covers(c["edges"], x, y)))
+    covering = index.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "inside", "border")
+    joined = celled.join(covering, ["_cx", "_cy"], "left")
+    hits = F.concat("inside", F.filter("border", lambda c: covers(c["edges"], x, y)))
     # The tests are columns of their own, so that the rules below do not repeat them.
-    tested = joined.select(*frame.columns, "_around", F.transform(hits, lambda c: F.struct(c["area"], c["rank"], c["name"])).alias("_hits"))
-    nearest = F.array_min(F.transform("_around", lambda c: F.struct(distance(c["edges"], x, y).alias("d"), c["rank"], c["name"])))
-    placed = tested.withColumn("_near", F.when(F.size("_hits") == 0, nearest))
+    tested = joined.select(
+        *frame.columns, "_cx", "_cy", F.transform(hits, lambda c: F.struct(c["area"], c["rank"], c["name"])).alias("_hits")
+    )
+    # Only points that nothing covers meet the edges around them; the others get keys, spread out, that no cell has.
+    covered = F.coalesce(F.size("_hits") > 0, F.lit(False))
+    asking = tested.withColumn("_cy", F.when(covered, F.pmod(F.xxhash64(x, y), F.lit(1024)) + (1 << 40)).otherwise(F.col("_cy")))
+    near_by = index.filter(F.size("around") > 0).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "around")
+    nearest = F.array_min(F.transform("around", lambda c: F.struct(distance(c["edges"], x, y).alias("d"), c["rank"], c["name"])))
+    placed = asking.join(near_by, ["_cx", "_cy"], "left").select(*frame.columns, "_hits", nearest.alias("_near"))
 
     def answer(name: Column, kind: str) -> Column:
         return F.struct(name.alias("name"), F.lit(REGION_CONFIDENCE[kind]).alias("confidence"))
