@@ -798,6 +798,17 @@ WITH {asked_held}
 SELECT feed, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day,
   CASE WHEN n = e - s THEN 'complete' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS status, n::BIGINT AS held_days
 FROM (SELECT a.feed, s, e, count(d) AS n FROM asked a LEFT JOIN held h ON h.feed = a.feed AND d >= s AND d < e GROUP BY a.feed, s, e)"""
+    out["versioned_catalogue"] = f"""
+WITH {ORDERS},
+states AS (
+  SELECT 1 AS version, source, mag FROM cat
+  UNION ALL SELECT v, source, CASE WHEN source = 'ISC' THEN mag + 1 ELSE mag END FROM cat, (VALUES (2), (4)) AS n(v) WHERE source <> 'ISC' OR mag < 20
+  UNION ALL SELECT 3, source, mag FROM cat WHERE source <> 'ISC')
+SELECT version, source, count(*) AS events, round(sum(mag), 4) AS magnitude_sum FROM states GROUP BY version, source"""
+    out["stream_revisions"] = """
+SELECT o_orderkey AS event_id, strftime(o_orderdate + CASE WHEN o_orderkey % 14 = 0 THEN INTERVAL 400 DAY ELSE INTERVAL 0 DAY END, '%Y-%m-%d') AS day,
+  floor(o_totalprice/10000)/10e0 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS magnitude_value, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS revision
+FROM orders WHERE o_orderkey % 21 <> 0"""
     rings = [("x", "y", "r"), ("x", "y", "r / 2"), ("x + r * 2", "y", "r / 4")]
     turns = []
     for cx, cy, size in rings:

@@ -13,7 +13,7 @@ from quakeloom.operators.geography import classify_events
 from quakeloom.operators.magnitude import MagnitudeRule, homogenize_magnitudes
 from quakeloom.sources.bronze import load_bronze
 from quakeloom.sources.synthetic import demo_events
-from quakeloom.sources.tables import save_gold, save_silver
+from quakeloom.sources.tables import load_silver, save_gold, save_silver
 
 
 def harmonise(
@@ -58,4 +58,4 @@ def build_gold(
 def bootstrap_demo(spark: SparkSession, silver: str, gold: str) -> None:
     """Demonstration catalogue: no grouping, regions given, a 30-day hop."""
     save_silver(annotate_declustering(homogenize_magnitudes(demo_events(spark))), silver)
-    build_gold(spark.read.parquet(silver), gold, step_days=30)
+    build_gold(load_silver(spark, silver), gold, step_days=30)

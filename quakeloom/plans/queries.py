@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,8 @@ from quakeloom.plans.pipelines import harmonise
 from quakeloom.plans.proxy import orders_catalogue, stream_catalogue, table
 from quakeloom.schema import conform, keep_last, stable_event_id, union_events
 from quakeloom.session import staged, staging_path
-from quakeloom.sources import ahead, fdsn, geojson, ipma, ranges, snapshots
+from quakeloom.sources import ahead, fdsn, geojson, ipma, ranges, snapshots, versions
+from quakeloom.streaming import revisions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1019,6 +1021,62 @@ def range_manifest(spark, sf):
     )
 
 
+# --- versions and revisions --------------------------------------------------
+
+
+@query
+def versioned_catalogue(spark, sf):
+    """Rows a source in four versions: all, one source revised, another catalogue, and the second again."""
+    root, columns = staging_path(spark), ["event_id", "magnitude_value", "source"]
+    events = orders_catalogue(spark, sf).select(*columns)
+    versions.commit(events, root, ["source"])
+    revised = events.filter("source = 'ISC' and magnitude_value < 20").withColumn("magnitude_value", F.col("magnitude_value") + 1)
+    versions.commit(revised, root, ["source"], "partitions")
+    versions.commit(events.filter("source <> 'ISC'"), root, ["source"])
+    versions.rollback(spark, root, 2)
+    states = [
+        versions.read(spark, root, number).withColumn("version", F.lit(number)) for number in versions.numbers(spark, root)
+    ]
+    return reduce(DataFrame.unionByName, states).groupBy("version", "source").agg(
+        F.count(F.lit(1)).alias("events"), F.round(F.sum("magnitude_value"), 4).alias("magnitude_sum")
+    )
+
+
+@query
+def stream_revisions(spark, sf):
+    """Orders that arrive in three batches, revisions before and after what they revise.
+
+    Every seventh order has a second revision, in another year for every
+    fourteenth, and every twenty-first is taken away. The last batch comes twice.
+    """
+    key = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select(
+        key.alias("event_id"), F.col("o_orderdate").cast("timestamp").alias("origin_time_utc"),
+        (F.floor(F.col("o_totalprice") / 10000) / F.lit(10.0)).alias("magnitude_value"),
+    )
+    ident = F.col("event_id")
+    second = orders.filter(ident % 7 == 0).withColumns({
+        "magnitude_value": F.col("magnitude_value") + 1,
+        "origin_time_utc": F.col("origin_time_utc") + F.when(ident % 14 == 0, F.expr("interval 400 days")).otherwise(F.expr("interval 0 days")),
+    })
+    feed = (
+        orders.withColumns({"revision": F.lit(0), "deleted": F.lit(False)})
+        .unionByName(second.withColumns({"revision": F.lit(1), "deleted": F.lit(False)}))
+        .unionByName(second.filter(ident % 21 == 0).withColumns({"revision": F.lit(2), "deleted": F.lit(True)}))
+        .withColumn("year", F.year("origin_time_utc"))
+    )
+    inbox, root, checkpoint = (staging_path(spark) for _ in range(3))
+    rule = (["event_id"], ["revision"], ["year"])
+    for arrival in range(3):
+        part = feed.filter(F.pmod(ident + F.col("revision") * 2, F.lit(3)) == arrival)
+        part.write.mode("append").parquet(inbox)
+        arrived = spark.readStream.schema(feed.schema).parquet(inbox)
+        revisions.start(arrived, root, checkpoint, *rule, name="orders").awaitTermination()
+    if revisions.merge(part.withColumn("magnitude_value", F.lit(-9.0)), root, *rule, stream=("orders", 2)) is not None:
+        raise RuntimeError("a batch that is in the dataset was merged again")
+    return revisions.current(spark, root).select("event_id", day("origin_time_utc").alias("day"), "magnitude_value", "revision")
+
+
 # --- polygon layers ---------------------------------------------------------
 
 

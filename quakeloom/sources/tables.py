@@ -1,4 +1,4 @@
-"""Derived tables: Parquet sinks with metadata, and their readers."""
+"""Derived tables: versioned Parquet sinks with metadata, and their readers."""
 
 from __future__ import annotations
 
@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakeloom.fixed_values import SOURCE_PRIORITY
 from quakeloom.operators.fingerprints import POPULATION
 from quakeloom.schema import conform
+from quakeloom.sources import versions
+
+#: Sources whose rows are counted while the catalogue is written.
+COUNTED = tuple(SOURCE_PRIORITY)
 
 
 def save(frame: DataFrame, path: str, partition_by: Sequence[str] = (), csv_path: str | None = None) -> None:
@@ -34,24 +39,29 @@ def metadata(frame: DataFrame) -> DataFrame:
 
 
 def save_silver(frame: DataFrame, path: str, csv_path: str | None = None) -> None:
-    save(conform(frame), path, csv_path=csv_path)
-    metadata(load_silver(frame.sparkSession, path)).write.mode("overwrite").json(f"{path}.metadata")
+    """A new version of the catalogue; rows a source are counted as it is written."""
+    spark = frame.sparkSession
+    made = versions.entry(spark, path, versions.commit(conform(frame), path, count_by="source", expected=COUNTED))
+    if csv_path:
+        load_silver(spark, path).write.mode("overwrite").option("header", True).csv(csv_path)
+    row = (made["rows"], [f["name"] for f in made["schema"]["fields"]], made["counts"])
+    spark.createDataFrame([row], "row_count long, columns array<string>, source_counts map<string,long>").select(
+        F.to_timestamp(F.lit(made["written_at"])).alias("generated_at_utc"), "*"
+    ).write.mode("overwrite").json(f"{path}.metadata")
 
 
-def load_silver(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path))
+def load_silver(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return conform(versions.read(spark, path, version))
 
 
 def save_gold(frame: DataFrame, path: str) -> None:
-    """Populations are partitions: rebuilding one overwrites only its own, and
-    reading the folder is the merge."""
-    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *POPULATION
-    ).parquet(path)
+    """Populations are partitions: a new version replaces those that were built."""
+    versions.commit(frame, path, POPULATION, replace="partitions")
 
 
-def load_gold(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load_gold(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Fingerprints with the types they were written with."""
+    return versions.read(spark, path, version)
 
 
 def assert_not_stale_demo(events: DataFrame, has_real_snapshots: bool) -> DataFrame:
