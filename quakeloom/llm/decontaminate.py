@@ -103,12 +103,21 @@ def cut_contaminated(docs: DataFrame, items: DataFrame, length: int = LENGTH) ->
     """All documents, with the words of hits (and what follows each up to the
     next word) cut from ``text``; all columns stay."""
     joined = _joined(docs, contamination(docs.select("doc_id", "text"), items, length), "left")
-    # Word i stands between the separators i and i + 1; the first and last may be empty.
+    # The text is cut once: what stands before its first word, and each word with what follows it.
+    # The outer transform binds these, so that the kept stretches between spans are slices of them.
     cut = F.expr(f"""
-        case when spans is null then _row.text else concat_ws('',
-            element_at(split(_row.text, r'{WORD_CASED}'), 1),
-            zip_with(sequence(0, size(split(_row.text, r'{WORD_CASED}')) - 2), array_remove(split(_row.text, r'{BETWEEN_CASED}'), ''), (i, w) ->
-                if(exists(spans, s -> s.start <= i and i < s.end), '', concat(w, element_at(split(_row.text, r'{WORD_CASED}'), i + 2))))) end
+        case when spans is null then _row.text else element_at(transform(
+            array(struct(
+                split(_row.text, r'{WORD_CASED}') as between,
+                array_remove(split(_row.text, r'{BETWEEN_CASED}'), '') as words,
+                concat(array(0), transform(spans, s -> s.end)) as froms,
+                transform(spans, s -> s.start) as upto)),
+            t -> element_at(transform(
+                array(struct(
+                    zip_with(t.words, slice(t.between, 2, size(t.words)), (w, after) -> concat(w, after)) as pieces,
+                    zip_with(t.froms, concat(t.upto, array(size(t.words))), (a, b) -> struct(a as at, b - a as n)) as kept)),
+                u -> concat(element_at(t.between, 1),
+                            array_join(flatten(transform(u.kept, k -> slice(u.pieces, k.at + 1, k.n))), ''))), 1)), 1) end
     """)
     return joined.select(*[cut.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -148,6 +149,25 @@ def test_spans_are_cut_or_documents_dropped(spark, awkward):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want_kept
 
 
+def test_cut_of_long_texts_is_linear(spark):
+    """Spans all over a long text: what is left is exact, in time that grows with the text."""
+    windows = [[f"w{k}x{i}" for i in range(10)] for k in range(5)]
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(windows)], "item_id int, text string")
+    spent = []
+    for blocks in (800, 6400):
+        text, want = " -", " -"
+        for b in range(blocks):
+            plain = f"Plain{b}, É{b};\n"
+            text += plain + ". ".join(windows[b % 5]) + "! "
+            want += plain
+        docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, windows[0][0]), (5, " ".join(windows[1]))], "doc_id int, text string")
+        began = time.time()
+        got = {r["doc_id"]: r["text"] for r in decontaminate.cut_contaminated(docs, items).collect()}
+        spent.append(time.time() - began)
+        assert got == {1: want, 2: None, 3: "", 4: windows[0][0], 5: ""}
+    assert spent[1] < 30
+
+
 # licenses
 
 
