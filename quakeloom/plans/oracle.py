@@ -798,6 +798,28 @@ WITH {asked_held}
 SELECT feed, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day,
   CASE WHEN n = e - s THEN 'complete' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS status, n::BIGINT AS held_days
 FROM (SELECT a.feed, s, e, count(d) AS n FROM asked a LEFT JOIN held h ON h.feed = a.feed AND d >= s AND d < e GROUP BY a.feed, s, e)"""
+    out["cluster_pyramid"] = f"""
+WITH {ORDERS},
+fine AS (SELECT *, least(greatest(floor((lon + 180e0)/360e0*4096), 0), 4095)::BIGINT AS x, least(greatest(floor((lat + 90e0)/180e0*4096), 0), 4095)::BIGINT AS y FROM cat),
+each AS (SELECT *, unnest(generate_series(0, 12)) AS level FROM fine),
+made AS (
+  SELECT level, x >> (12 - level)::BIGINT AS cx, y >> (12 - level)::BIGINT AS cy, count(*) AS events, sum(lat) AS alat, sum(lon) AS alon, max(mag) AS m,
+    arg_min(id::VARCHAR, (-mag, id::VARCHAR)) AS strongest,
+    CASE WHEN level < 12 THEN count(DISTINCT (x >> greatest(11 - level, 0)::BIGINT, y >> greatest(11 - level, 0)::BIGINT)) END AS children,
+    greatest(xor(min(x), max(x)), xor(min(y), max(y))) AS apart
+  FROM each GROUP BY level, cx, cy)
+SELECT level::INT AS level, events::BIGINT AS events, round(alat, 4) AS latitude_sum, round(alon, 4) AS longitude_sum, m AS maximum_magnitude, strongest AS strongest_event,
+  children::INT AS children, CASE WHEN apart > 0 THEN (12 - floor(log2(apart)))::INT END AS expand_level, round(least(34e0, greatest(8e0, sqrt(events)*2.8e0 + 7)), 6) AS marker_size FROM made"""
+    years = EPOCH.format(y="year(ts - to_years((5 * (id % 40))::INT))")
+    out["sql_functions"] = out["scalar_physics"].replace(" AS window_days FROM cat", f" AS window_days, {years} AS epoch FROM cat")
+    out["sql_windows"] = f"""
+WITH o AS (SELECT o_orderpriority AS region, o_orderdate::DATE AS d, (o_orderstatus = 'F')::INT AS f FROM orders),
+w AS (SELECT region, i, lo + (i*7)::INT AS a, lo + (i*7 + 89)::INT AS b
+  FROM (SELECT region, lo, unnest(generate_series(0, (hi - lo - 89) // 7)) AS i FROM (SELECT region, min(d) AS lo, max(d) AS hi FROM o GROUP BY region) WHERE hi - lo >= 89)),
+c AS (SELECT w.region, i, a, b, count(*) AS n, avg(f) AS p FROM w JOIN o ON o.region = w.region AND d BETWEEN a AND b GROUP BY ALL),
+l AS (SELECT *, {wilson("p", "n")[0]} AS lo, {wilson("p", "n")[1]} AS hi FROM c)
+SELECT region, i::INT AS window_index, strftime(a, '%Y-%m-%d') AS window_start, strftime(b, '%Y-%m-%d') AS window_end, n::BIGINT AS orders, round(lo, 6) AS lower, round(hi, 6) AS upper,
+  CASE WHEN n < 5 THEN 'watch' WHEN lo >= 0.8e0 THEN 'high' WHEN hi < 0.8e0 THEN 'normal' ELSE 'watch' END AS level FROM l"""
     out["versioned_catalogue"] = f"""
 WITH {ORDERS},
 states AS (

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeloom.fixed_values import FEATURE_WEIGHTS, GRID_HORIZONS, GRID_THRESHOLDS
-from quakeloom.functions import display, text_guard
+from quakeloom.functions import display, sql, text_guard
 from quakeloom.functions.scalar import (
     brier_skill_score, effective_sample_size, first_present, haversine_km,
     normalise_magnitude_type, overlap_factor, parse_datetime, seismic_energy_joule,
     spatial_window_km, temporal_window_days, to_bool, to_float, wilson_interval,
 )
-from quakeloom.operators import epochs, summaries, validation
+from quakeloom.operators import clusters, epochs, summaries, validation
 from quakeloom.operators.decluster import (
     annotate_declustering, declustering_exclusion_summary, declustering_summary, exclusion_reason,
 )
@@ -1021,6 +1021,55 @@ def range_manifest(spark, sf):
     )
 
 
+# --- clusters of the map, functions in SQL ------------------------------------
+
+
+@query
+def cluster_pyramid(spark, sf):
+    """Every order as a map point, in clusters of thirteen levels. Positions are shown
+    as sums, which have two decimals; means can lie just between two roundings."""
+    sums = [F.round(F.col(c) * F.col("events"), 4).alias(f"{c}_sum") for c in ("latitude", "longitude")]
+    return clusters.cluster_pyramid(orders_catalogue(spark, sf), 12).select(
+        "level", "events", *sums, "maximum_magnitude", "strongest_event", "children", "expand_level", r6("marker_size"),
+    )
+
+
+@query
+def sql_functions(spark, sf):
+    """Scalar functions of the session in SQL text, over all events of the stream."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT CAST(event_id AS BIGINT) AS event_id, round(haversine_km(latitude, longitude, 38, -9), 6) AS distance_km,
+          round(log10(seismic_energy_joule(magnitude_comparable)), 6) AS log_energy,
+          round(spatial_window_km(magnitude_comparable), 6) AS radius_km, round(temporal_window_days(magnitude_comparable), 6) AS window_days,
+          observation_epoch(origin_time_utc - make_interval(5 * (CAST(event_id AS BIGINT) % 40))) AS epoch
+        FROM {events}""",
+        events=stream_catalogue(spark, sf),
+    )
+
+
+@query
+def sql_windows(spark, sf):
+    """Windows of each region from a table function, with their orders and the interval of the share of F."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        WITH daily AS (
+          SELECT o_orderpriority AS region, o_orderdate AS day, count(*) AS n, count_if(o_orderstatus = 'F') AS hit FROM {orders} GROUP BY ALL),
+        ends AS (SELECT region, min(day) AS first, max(day) AS last FROM daily GROUP BY region),
+        windows AS (SELECT region, w.* FROM ends, LATERAL event_windows(CAST(first AS DATE), CAST(last AS DATE), 90, 7) AS w),
+        counted AS (
+          SELECT region, window_index, window_start, window_end, sum(n) AS n, sum(hit) AS hit
+          FROM windows JOIN daily USING (region) WHERE CAST(day AS DATE) BETWEEN window_start AND window_end GROUP BY ALL)
+        SELECT region, window_index, date_format(window_start, 'yyyy-MM-dd') AS window_start, date_format(window_end, 'yyyy-MM-dd') AS window_end, n AS orders,
+          round(wilson_interval(hit / n, n).lower, 6) AS lower, round(wilson_interval(hit / n, n).upper, 6) AS upper,
+          activity_state(hit / n, wilson_interval(hit / n, n).lower, wilson_interval(hit / n, n).upper, n).level AS level
+        FROM counted""",
+        orders=table(spark, sf, "orders"),
+    )
+
+
 # --- versions and revisions --------------------------------------------------
 
 
