@@ -7,7 +7,7 @@ not from the Spark plan, so that the two check each other.
 from __future__ import annotations
 
 from quakeloom.fixed_values import (
-    DECLUSTER_METHOD, MODELS, OUTSIDE_REGION, STATE_BASELINE, STATE_CROSSING, STATE_ELEVATED, STATE_EXCEPTIONAL, STATE_MISSING, STATE_SMALL,
+    DECLUSTER_METHOD, EVENT_FIELDS, MODELS, OUTSIDE_REGION, STATE_BASELINE, STATE_CROSSING, STATE_ELEVATED, STATE_EXCEPTIONAL, STATE_MISSING, STATE_SMALL,
 )
 
 ORDERS = """
@@ -798,6 +798,30 @@ WITH {asked_held}
 SELECT feed, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day,
   CASE WHEN n = e - s THEN 'complete' WHEN n > 0 THEN 'partial' ELSE 'failed' END AS status, n::BIGINT AS held_days
 FROM (SELECT a.feed, s, e, count(d) AS n FROM asked a LEFT JOIN held h ON h.feed = a.feed AND d >= s AND d < e GROUP BY a.feed, s, e)"""
+    out["historical_csv"] = """
+SELECT event_id::VARCHAR AS source_event_id, strftime(ts, '%Y-%m-%d') AS day, 36 + (user_id % 40)/10e0 AS latitude, -12 + (user_id % 50)/10e0 AS longitude,
+  CASE WHEN event_id % 11 <> 0 THEN (user_id % 60)::DOUBLE END AS depth_km, CASE WHEN event_id % 17 <> 0 THEN floor(value)/100e0 END AS magnitude_value,
+  event_type || ', ' || user_id % 7 AS location_text, 'IPMA_HISTORICAL' AS source, 'historical' AS record_status, 0.72e0 AS quality_score FROM events WHERE event_id % 19 <> 0"""
+    out["combined_chunks"] = f"""
+WITH {EVENTS} SELECT id::VARCHAR AS event_id, CASE WHEN id % 3 = 0 THEN 'chunk-1' ELSE 'chunk-2' END AS source_file, mag + CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS magnitude_value FROM cat"""
+    out["silver_metadata"] = f"""
+WITH {ORDERS} SELECT source, count(*) AS said, count(*) AS found, (SELECT count(*) FROM cat) AS row_count, {len(EVENT_FIELDS)}::INT AS columns FROM cat GROUP BY source"""
+    out["report_counts"] = f"""
+WITH {ORDERS}, kept AS (SELECT * FROM cat WHERE pref)
+SELECT 'sources' AS part, source AS name, count(*) AS events FROM kept GROUP BY source
+UNION ALL SELECT 'domains', dom, count(*) FROM kept GROUP BY dom
+UNION ALL SELECT 'overview', strftime(min(ts), '%Y-%m-%d') || '/' || strftime(max(ts), '%Y-%m-%d'), count(*) FROM kept"""
+
+    def percent(p: str) -> str:
+        return f"coalesce(printf('%.1f%%', ({p})*100), 'n/d')"
+
+    out["replay_texts"] = f"""
+SELECT o_orderdate::TIMESTAMP AS cutoff, 3e0 + o_orderkey % 4/2e0 AS threshold_magnitude, (o_custkey % 90)::INT AS horizon_days,
+  strftime(o_orderdate, '%Y-%m-%d') || ' + ' || o_custkey % 90 || ' dias, M≥' || printf('%.1f', 3e0 + o_orderkey % 4/2e0) || ': famílias '
+  || {percent("CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 101/100e0 END")} || ', frequência histórica ' || {percent("o_orderkey % 101/100e0")}
+  || ', Poisson ' || {percent("o_orderkey % 51/50e0")} || ' (época ' || CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority ELSE 'n/d' END || ', '
+  || CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 500 ELSE 0 END || ' eventos em ' || printf('%.1f', (o_orderkey % 9000)/365.25e0) || ' anos). Observado: '
+  || CASE WHEN o_orderkey % 2 = 0 THEN 'sim' ELSE 'não' END || '.' AS summary FROM orders"""
     out["cluster_pyramid"] = f"""
 WITH {ORDERS},
 fine AS (SELECT *, least(greatest(floor((lon + 180e0)/360e0*4096), 0), 4095)::BIGINT AS x, least(greatest(floor((lat + 90e0)/180e0*4096), 0), 4095)::BIGINT AS y FROM cat),

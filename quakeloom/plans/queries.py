@@ -35,12 +35,12 @@ from quakeloom.operators.replay import (
 from quakeloom.operators.similarity import (
     comparability, nearest_states, raw_distances, scaled_features, targets_asof, top_contributions,
 )
-from quakeloom.plans import incremental
+from quakeloom.plans import incremental, report
 from quakeloom.plans.pipelines import harmonise
 from quakeloom.plans.proxy import orders_catalogue, stream_catalogue, table
 from quakeloom.schema import conform, keep_last, stable_event_id, union_events
 from quakeloom.session import staged, staging_path
-from quakeloom.sources import ahead, fdsn, geojson, ipma, ranges, snapshots, versions
+from quakeloom.sources import ahead, csv_catalogue, fdsn, geojson, ipma, ranges, snapshots, tables, versions
 from quakeloom.streaming import revisions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1021,6 +1021,77 @@ def range_manifest(spark, sf):
     )
 
 
+# --- files and tables ---------------------------------------------------------
+
+
+@query
+def historical_csv(spark, sf):
+    """The event stream as CSV files with headings of their own, read back; rows without a place are left out."""
+    ident, path = F.col("event_id"), staging_path(spark)
+    table(spark, sf, "events").select(
+        ident.alias("numero"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("quando"),
+        F.when(ident % 19 != 0, F.lit(36) + (F.col("user_id") % 40) / F.lit(10.0)).alias("lat"),
+        (F.lit(-12) + (F.col("user_id") % 50) / F.lit(10.0)).alias("lon"),
+        F.when(ident % 11 != 0, F.col("user_id") % 60).otherwise(F.lit(None)).alias("prof"),
+        F.when(ident % 17 != 0, (F.floor("value") / F.lit(100.0)).cast("string")).otherwise("n/d").alias("mag"),
+        F.concat_ws(", ", "event_type", (F.col("user_id") % 7).cast("string")).alias("location"),
+    ).write.option("header", True).csv(path)
+    names = {
+        "source_event_id": "numero", "origin_time_utc": "quando", "latitude": "lat", "longitude": "lon", "depth_km": "prof", "magnitude_value": "mag",
+    }
+    return csv_catalogue.read_historical(spark, path, names).select(
+        "source_event_id", day("origin_time_utc").alias("day"), "latitude", "longitude", "depth_km", "magnitude_value", "location_text",
+        "source", "record_status", "quality_score",
+    )
+
+
+@query
+def combined_chunks(spark, sf):
+    """Two overlapping chunks of the stream: the later file wins, row by row."""
+    ident = F.col("event_id").cast("long")
+    events = stream_catalogue(spark, sf)
+    first = events.filter(ident % 3 != 1).withColumn("source_file", F.lit("chunk-1"))
+    second = events.filter(ident % 3 != 0).withColumn("source_file", F.lit("chunk-2")).withColumn("magnitude_value", F.col("magnitude_value") + 1)
+    return fdsn.combine_chunks(first.unionByName(second)).select("event_id", "source_file", "magnitude_value")
+
+
+@query
+def silver_metadata(spark, sf):
+    """What the metadata of a stored catalogue says of each source, and the rows that are read back."""
+    path = staging_path(spark)
+    tables.save_silver(orders_catalogue(spark, sf), path)
+    said = spark.read.schema("row_count long, columns array<string>, source_counts map<string,long>").json(f"{path}.metadata")
+    counted = said.select("row_count", F.size("columns").alias("columns"), F.explode("source_counts").alias("source", "said"))
+    found = tables.load_silver(spark, path).groupBy("source").agg(F.count(F.lit(1)).alias("found"))
+    return counted.join(found, "source").select("source", "said", "found", "row_count", "columns")
+
+
+@query
+def report_counts(spark, sf):
+    """Tables of the report that count preferred records."""
+    nothing = spark.createDataFrame([], "tectonic_domain string, window_days int, window_end timestamp")
+    made = report.report_tables(orders_catalogue(spark, sf), nothing)
+    parts = [made[name].toDF("name", "events").withColumn("part", F.lit(name)) for name in ("sources", "domains")]
+    whole = made["overview"].select(
+        F.concat_ws("/", day("first"), day("last")).alias("name"), "events", F.lit("overview").alias("part")
+    )
+    return reduce(DataFrame.unionByName, parts, whole)
+
+
+@query
+def replay_texts(spark, sf):
+    """The text of a replay row for each order, its chances taken from the order's numbers."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf, "orders").select(
+        key, F.col("o_orderdate").cast("timestamp").alias("cutoff"), (F.lit(3.0) + key % 4 / F.lit(2.0)).alias("threshold_magnitude"),
+        (cust % 90).cast("int").alias("horizon_days"), F.when(key % 5 != 0, cust % 101 / F.lit(100.0)).alias("analogue_probability"),
+        (key % 101 / F.lit(100.0)).alias("historical_rate_probability"), (key % 51 / F.lit(50.0)).alias("poisson_probability"),
+        F.when(key % 3 != 0, F.col("o_orderpriority")).alias("baseline_epoch"), F.when(key % 7 != 0, cust % 500).alias("baseline_event_count"),
+        (key % 9000).cast("double").alias("baseline_exposure_days"), (key % 2 == 0).alias("observed_outcome"),
+    )
+    return report.replay_summaries(rows)
+
+
 # --- clusters of the map, functions in SQL ------------------------------------
 
 
