@@ -1,7 +1,8 @@
 """Benchmark decontamination by a broadcast set of normalised n-grams.
 
 The benchmark's windows, with a 64-bit key each, form a small table, counted
-before it is broadcast (beyond ``max_windows`` the join is left to a shuffle).
+before it is broadcast. Beyond ``max_windows`` both sides are shuffled: a place
+in a document then goes as two 64-bit keys, without the document's words.
 Documents are cut into words; every window's key is looked up in the hash table
 inside one stage, and a hit is verified word by word at once, so only true
 hits leave the scan. Nothing but them is shuffled, by document.
@@ -19,8 +20,8 @@ LENGTH = 10
 MAX_WINDOWS = 1 << 20
 
 
-def _key(words: Column, place: Column, length: int) -> Column:
-    return F.xxhash64(*[F.get(words, place + i) for i in range(length)])
+def _key(words: Column, place: Column, length: int, *salt: Column) -> Column:
+    return F.xxhash64(*salt, *[F.get(words, place + i) for i in range(length)])
 
 
 def benchmark_windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -36,10 +37,13 @@ def benchmark_windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def hits(docs: DataFrame, windows: DataFrame, keys: list[str], max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Verified places of windows in documents: keys, place, n, item_ids."""
+    """Verified places of windows in documents: keys, place, n, item_ids.
+
+    A window of a broadcast table is verified by its words, one of a larger
+    table by the second of two keys, 128 bits together.
+    """
     lengths = {r["n"]: r["count"] for r in windows.groupBy("n").count().collect()}  # at most LENGTH rows
-    if sum(lengths.values()) <= max_windows:
-        windows = F.broadcast(windows)
+    small = sum(lengths.values()) <= max_windows
     words = docs.select(*keys, word_list(F.col("text")).alias("words"))
     # The outer form, as the inner one lets the planner cut the text once more for a filter.
     placed = words.select(*keys, "words", F.posexplode_outer("words").alias("place", "word"))
@@ -55,20 +59,27 @@ def hits(docs: DataFrame, windows: DataFrame, keys: list[str], max_windows: int
                 F.struct(F.lit(k).alias("n"), _key(F.col("words"), F.col("place"), k).alias("key")) for k in each
             ])).alias("_w"),
         ).select(*keys, "words", "place", "_w.n", "_w.key").filter("place + n <= size(words)")
+    if not small:
+        def second(words: str, place: Column) -> Column:
+            return F.coalesce(*[F.when(F.col("n") == k, _key(F.col(words), place, k, F.lit("second"))) for k in each])
+
+        narrow = asked.select(*keys, "place", "n", "key", second("words", F.col("place")).alias("second"))
+        listed = windows.select("key", "n", second("window", F.lit(0)).alias("second"), "item_ids")
+        return narrow.join(listed, ["key", "second", "n"]).select(*keys, "place", "n", "item_ids")
     # Equality, put so that it is tested after the look-up and not made part of its key.
     mine = F.slice("words", F.col("place") + 1, F.col("n"))
     return (
-        asked.join(windows, ["key", "n"])
+        asked.join(F.broadcast(windows), ["key", "n"])
         .filter((mine >= F.col("window")) & (mine <= F.col("window")))
         .select(*keys, "place", "n", "item_ids")
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per document with hits: doc_id, _text (hash of the text), ``spans``
     (merged word ranges), ``n_hit`` (words in them) and ``item_ids``."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text")
-    found = hits(keyed, benchmark_windows(items, length), ["doc_id", "_text"]).groupBy("doc_id", "_text").agg(
+    found = hits(keyed, benchmark_windows(items, length), ["doc_id", "_text"], max_windows).groupBy("doc_id", "_text").agg(
         F.array_sort(F.collect_set(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("n")).alias("end")))).alias("places"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"),
     )

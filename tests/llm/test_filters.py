@@ -149,6 +149,31 @@ def test_spans_are_cut_or_documents_dropped(spark, awkward):
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want_kept
 
 
+def test_a_benchmark_too_large_to_broadcast_gives_the_same(spark):
+    """Both ways of the look-up agree, and the shuffled one carries no words."""
+    draw = np.random.default_rng(5)
+    word = lambda: f"w{draw.integers(0, 6)}"
+    texts = [" ".join(word() for _ in range(draw.integers(0, 400))) for _ in range(30)]
+    rows = [(i % 25 if i % 9 else None, t) for i, t in enumerate(texts)] + [(3, texts[3]), (40, None), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    items = spark.createDataFrame(
+        [(k, " ".join(texts[k].split()[5 : 5 + 2 * k])) for k in range(20)] + [(50, None), (51, "w1 w2"), (52, "w5")], "item_id int, text string"
+    )
+
+    def found(limit):
+        made = decontaminate.contamination(docs, items, max_windows=limit)
+        return made, sorted(
+            (repr((r["doc_id"], r["_text"])), [tuple(s) for s in r["spans"]], r["n_hit"], sorted(r["item_ids"])) for r in made.collect()
+        )
+
+    _, wide = found(1 << 20)
+    shuffled, narrow = found(0)
+    assert wide and wide == narrow
+    plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "words" not in join and "second" in join
+
+
 def test_cut_of_long_texts_is_linear(spark):
     """Spans all over a long text: what is left is exact, in time that grows with the text."""
     windows = [[f"w{k}x{i}" for i in range(10)] for k in range(5)]
