@@ -26,7 +26,7 @@ from quakeloom.fixed_values import (
 )
 from quakeloom.functions.display import episode_id, interval_id
 from quakeloom.functions.scalar import clip, weighted_geometric_mean
-from quakeloom.session import staged
+from quakeloom.session import spread_evenly, staged
 
 DAY = 86400
 
@@ -117,6 +117,20 @@ def comparability(value, target) -> dict[str, Column]:
     }
 
 
+def winsor_bounds(quantiles: Column, lowest: Column, highest: Column) -> tuple[Column, Column]:
+    """Limits from the 2.5 and 97.5 % quantiles, or all values if those are equal."""
+    low, high = quantiles[0], quantiles[1]
+    same = F.abs(low - high) <= F.abs(high) * 1e-5 + 1e-8
+    return F.when(same, lowest).otherwise(low), F.when(same, highest).otherwise(high)
+
+
+def robust_scale(quantiles: Column) -> tuple[Column, Column]:
+    """Centre and scale from the 10, 50 and 90 % quantiles."""
+    spread = quantiles[2] - quantiles[0]
+    scale = F.when(spread < 10 * np.finfo(float).eps, F.lit(1.0)).otherwise(spread) / ROBUST_SPAN
+    return quantiles[1], scale
+
+
 def scaled_features(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Impute, winsorise and robust-scale a long table per key and feature.
 
@@ -145,13 +159,8 @@ def scaled_features(values: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min("_x").alias("_min"),
         F.max("_x").alias("_max"),
     )
-    low, high = F.col("_q")[0], F.col("_q")[1]
-    same = F.abs(low - high) <= F.abs(high) * 1e-5 + 1e-8
-    tails = tails.select(
-        *keys,
-        F.when(same, F.col("_min")).otherwise(low).alias("_low"),
-        F.when(same, F.col("_max")).otherwise(high).alias("_high"),
-    )
+    low, high = winsor_bounds(F.col("_q"), F.col("_min"), F.col("_max"))
+    tails = tails.select(*keys, low.alias("_low"), high.alias("_high"))
 
     def clipped(name: str) -> Column:
         return F.least(F.greatest(F.col(name), F.col("_low")), F.col("_high"))
@@ -159,13 +168,11 @@ def scaled_features(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     trimmed = filled.join(tails, keys).select(
         *values.columns, clipped("_x").alias("_x"), clipped("_t").alias("_t")
     )
-    scale = trimmed.groupBy(*keys).agg(F.expr("percentile(_x, array(0.1, 0.5, 0.9))").alias("_q"))
-    spread = F.col("_q")[2] - F.col("_q")[0]
-    scale = scale.select(
-        *keys,
-        F.col("_q")[1].alias("_centre"),
-        (F.when(spread < 10 * np.finfo(float).eps, F.lit(1.0)).otherwise(spread) / ROBUST_SPAN)
-        .alias("_scale"),
+    centre, size = robust_scale(F.col("_q"))
+    scale = (
+        trimmed.groupBy(*keys)
+        .agg(F.expr("percentile(_x, array(0.1, 0.5, 0.9))").alias("_q"))
+        .select(*keys, centre.alias("_centre"), size.alias("_scale"))
     )
     weight = F.lit(1.0)
     for name, w in FEATURE_WEIGHTS.items():
@@ -178,6 +185,67 @@ def scaled_features(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def scaled_pairs(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The scaling of ``scaled_features`` for rows that hold all features.
+
+    In: query_id, columns of the caller, x<i> and t<i> for feature i of
+    ``names`` in the row and in its target. Out: in their place ``_z`` and
+    ``_target_z`` (NULL where a feature is not usable), ``_pool`` (rows of the
+    query), ``_used`` (usable features) and ``_weights`` (normalised; NULL
+    where not usable). One shuffle and one sort by query serve all its
+    quantiles, and no row is repeated for a feature.
+    """
+    size = range(len(names))
+    others = [c for c in pairs.columns if c not in {f"{k}{i}" for k in "xt" for i in size}]
+    query = Window.partitionBy("query_id")
+
+    def known(prefix: str, rule) -> list[Column]:
+        return [F.expr(rule(i)).over(query).alias(f"{prefix}{i}") for i in size]
+
+    counted = spread_evenly(pairs, "query_id").select(
+        "*", F.count(F.lit(1)).over(query).alias("_pool"),
+        *known("n", lambda i: f"count(x{i})"), *known("lo", lambda i: f"min(x{i})"),
+        *known("hi", lambda i: f"max(x{i})"), *known("m", lambda i: f"percentile(x{i}, 0.5)"),
+    )
+
+    def filled(kind: str, i: int) -> Column:
+        usable = (F.col(f"n{i}") >= 3) & (F.col(f"lo{i}") < F.col(f"hi{i}"))
+        return F.when(usable, F.coalesce(f"{kind}{i}", f"m{i}")).alias(f"{kind}{i}")
+
+    imputed = counted.select(*others, "_pool", *[filled(k, i) for k in "xt" for i in size]).select(
+        "*", *known("q", lambda i: f"percentile(x{i}, array(0.025, 0.975))"),
+        *known("lo", lambda i: f"min(x{i})"), *known("hi", lambda i: f"max(x{i})"),
+    )
+
+    def trimmed(kind: str, i: int) -> Column:
+        low, high = winsor_bounds(F.col(f"q{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"))
+        return F.least(F.greatest(F.col(f"{kind}{i}"), low), high).alias(f"{kind}{i}")
+
+    clipped = imputed.select(*others, "_pool", *[trimmed(k, i) for k in "xt" for i in size]).select(
+        "*", *known("q", lambda i: f"percentile(x{i}, array(0.1, 0.5, 0.9))")
+    )
+
+    def scored(kind: str, i: int) -> Column:
+        centre, scale = robust_scale(F.col(f"q{i}"))
+        return clip((F.col(f"{kind}{i}") - centre) / scale, -6.0, 6.0)
+
+    # clip() skips NULLs, so what is not usable is told by the value itself.
+    used = [F.col(f"x{i}").isNotNull() for i in size]
+    weight = [F.lit(float(FEATURE_WEIGHTS[n])) for n in names]
+    count = sum([u.cast("int") for u in used], F.lit(0))
+    total = sum([F.when(u, w).otherwise(0.0) for u, w in zip(used, weight, strict=True)], F.lit(0.0))
+    return clipped.select(
+        *others, "_pool", count.alias("_used"), (total / F.nullif(count, F.lit(0))).alias("_mean"),
+        *[F.when(u, scored("x", i)).alias(f"x{i}") for i, u in enumerate(used)],
+        *[F.when(u, scored("t", i)).alias(f"t{i}") for i, u in enumerate(used)],
+    ).select(
+        *others, "_pool", "_used",
+        F.array(*[F.col(f"x{i}") for i in size]).alias("_z"),
+        F.array(*[F.col(f"t{i}") for i in size]).alias("_target_z"),
+        F.array(*[F.when(F.col(f"x{i}").isNotNull(), w / F.col("_mean")) for i, w in enumerate(weight)]).alias("_weights"),
+    )
+
+
 def _inverse_covariance(size: int):
     """Pseudo-inverse of a query's covariance; features it lacks get zeros."""
 
@@ -193,46 +261,50 @@ def _inverse_covariance(size: int):
     return run
 
 
-def raw_distances(scaled: DataFrame, metric: str, names: Sequence[str] = tuple(FEATURE_WEIGHTS)) -> DataFrame:
-    """(query_id, row, raw_distance) from scaled rows with normalised weights.
-
-    Rows are kept wide, one entry a feature: the covariance is one aggregate,
-    and its quadratic form an expression over the row's arrays.
-    """
+def raw_distances(scaled: DataFrame) -> DataFrame:
+    """(query_id, row, raw_distance), Euclidean, from long scaled rows with normalised weights."""
     difference = F.col("z") - F.col("target_z")
-    euclid = F.sqrt(F.sum(difference * difference * F.col("weight"))).alias("raw_distance")
-    if metric != "mahalanobis":
-        return scaled.groupBy("query_id", "row").agg(euclid)
+    return scaled.groupBy("query_id", "row").agg(
+        F.sqrt(F.sum(difference * difference * F.col("weight"))).alias("raw_distance")
+    )
 
-    def entry(value: Column, name: str) -> Column:
-        return F.max(F.when(F.col("feature") == name, value * F.sqrt("weight")))
 
-    wide = staged(scaled.groupBy("query_id", "row").agg(
-        euclid,
-        F.count(F.lit(1)).alias("_p"),
-        F.array(*[entry(F.col("z"), n) for n in names]).alias("_u"),
-        F.array(*[F.coalesce(entry(difference, n), F.lit(0.0)) for n in names]).alias("_d"),
-    ))
+def pair_distances(scaled: DataFrame, metric: str, names: Sequence[str] = tuple(FEATURE_WEIGHTS)) -> DataFrame:
+    """Adds raw_distance to rows of ``scaled_pairs``, which are read twice for
+    the covariance: its matrix is one aggregate over the rows, and its quadratic
+    form an expression over a row's arrays."""
     size = len(names)
+
+    def total(terms: list[Column]) -> Column:
+        return sum(terms[1:], terms[0])
+
+    difference = [F.col("_z")[i] - F.col("_target_z")[i] for i in range(size)]
+    euclid = F.sqrt(
+        total([F.coalesce(d * d * F.col("_weights")[i], F.lit(0.0)) for i, d in enumerate(difference)])
+    )
+    if metric != "mahalanobis":
+        return scaled.withColumn("raw_distance", euclid)
+    root = [F.sqrt(F.col("_weights")[i]) for i in range(size)]
     inverse = (
-        wide.groupBy("query_id")
-        .agg(*[
-            F.covar_samp(F.col("_u")[i], F.col("_u")[j]).alias(f"c{i}_{j}") for i in range(size) for j in range(i, size)
-        ])
+        scaled.select("query_id", *[(F.col("_z")[i] * root[i]).alias(f"u{i}") for i in range(size)])
+        .groupBy("query_id")
+        .agg(*[F.covar_samp(f"u{i}", f"u{j}").alias(f"c{i}_{j}") for i in range(size) for j in range(i, size)])
         .groupBy("query_id")
         .applyInPandas(_inverse_covariance(size), "query_id long, inverse array<array<double>>")
     )
-    sizes = wide.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     quadratic = F.expr("""
         aggregate(zip_with(inverse, _d, (r, x) -> x * aggregate(zip_with(r, _d, (a, b) -> a * b), 0.0D, (s, v) -> s + v)),
             0.0D, (s, v) -> s + v)
     """)
+    steps = F.array(*[F.coalesce(d * root[i], F.lit(0.0)) for i, d in enumerate(difference)])
     return (
-        wide.join(inverse, "query_id").join(sizes, "query_id").select(
-            "query_id", "row",
-            F.when(F.col("_n") > F.col("_p") + 2, F.sqrt(F.greatest(F.lit(0.0), quadratic)))
-            .otherwise(F.col("raw_distance")).alias("raw_distance"),
+        scaled.withColumn("_d", steps)
+        .join(inverse, "query_id")
+        .withColumn(
+            "raw_distance",
+            F.when(F.col("_pool") > F.col("_used") + 2, F.sqrt(F.greatest(F.lit(0.0), quadratic))).otherwise(euclid),
         )
+        .drop("_d", "inverse")
     )
 
 
@@ -287,13 +359,14 @@ def regime_changes(pool: DataFrame, change_threshold: float, max_span_days: int)
         F.date_diff("window_end", F.lag("window_end").over(order)).alias("gap_days"),
         *[(F.col(f"v{i}") - F.lag(f"v{i}").over(order)).alias(f"d{i}") for i in range(count)],
     )
-    centres = steps.groupBy("query_id").agg(
-        *[F.expr(f"percentile(d{i}, 0.5)").alias(f"c{i}") for i in range(count)],
-        *[F.stddev_pop(f"d{i}").alias(f"s{i}") for i in range(count)],
+    query = Window.partitionBy("query_id")
+    around = steps.select(
+        "*",
+        *[F.expr(f"percentile(d{i}, 0.5)").over(query).alias(f"c{i}") for i in range(count)],
+        *[F.stddev_pop(f"d{i}").over(query).alias(f"s{i}") for i in range(count)],
     )
-    around = steps.join(centres, "query_id")
-    mads = around.groupBy("query_id").agg(
-        *[F.expr(f"percentile(abs(d{i} - c{i}), 0.5)").alias(f"m{i}") for i in range(count)]
+    spread = around.select(
+        "*", *[F.expr(f"percentile(abs(d{i} - c{i}), 0.5)").over(query).alias(f"m{i}") for i in range(count)]
     )
 
     def score(i: int) -> Column:
@@ -303,7 +376,7 @@ def regime_changes(pool: DataFrame, change_threshold: float, max_span_days: int)
 
     change = F.greatest(*[score(i) for i in range(count)])
     gap = max(31, max_span_days // 3)
-    return around.join(mads, "query_id").select(
+    return spread.select(
         "query_id", "row", "window_end", "gap_days", change.alias("change_score"),
         F.coalesce((F.col("gap_days") > gap) | (change >= change_threshold), F.lit(True)).alias("starts"),
     )
@@ -423,107 +496,108 @@ def nearest_states(
     if strict_epoch:
         epoch = F.coalesce(target("comparison_epoch"), F.lit(""))
         condition = condition & ((epoch == "") | (value("comparison_epoch") == epoch))
-    matched = targets.alias("t").join(states.alias("f"), condition)
-    history = staged(
-        matched.select(
-            F.col("t.query_id").alias("query_id"),
-            F.unix_seconds(value("window_end")).alias("row"),
-            "f.*",
-            *[s.alias(n) for n, s in comparability(value, target).items()],
-            F.struct(*[target(n).cast("double").alias(n) for n in names]).alias("_target"),
-        )
-    )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("feature"),
-                F.col(n).cast("double").alias("value"),
-                F.col(f"_target.{n}").alias("target"),
-            )
-            for n in names
-        ]
-    )
-    long = history.select("query_id", "row", F.explode(entries).alias("_e")).select(
-        "query_id", "row", "_e.*"
-    )
-    scaled = staged(scaled_features(long, ["query_id"]))
-    sizes = history.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool_size"))
-    usable = (
-        scaled.select("query_id", "feature", "_weight").distinct()
-        .groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("usable_features"), F.avg("_weight").alias("_mean_weight"))
-    )
+    # A pair of a target and a window of its history: what distances and families need, no more.
+    kept = ["window_start", "window_end", *[c for c in REGIME_FEATURES if family_method == "adaptive"]]
+    pairs = targets.alias("t").join(states.alias("f"), condition).select(
+        F.col("t.query_id").alias("query_id"),
+        F.unix_seconds(value("window_end")).alias("row"),
+        *[value(c).alias(c) for c in kept],
+        comparability(value, target)["comparability_score"].alias("comparability_score"),
+        *[value(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)],
+        *[target(n).cast("double").alias(f"t{i}") for i, n in enumerate(names)],
+    )
+    scaled = staged(scaled_pairs(pairs, names))
+    sizes = scaled.groupBy("query_id").agg(
+        F.max("_pool").alias("pool_size"), F.max("_used").alias("usable_features")
+    )
+    too_short, too_few = max(5, k), 2
     pools = (
         targets.select("query_id")
         .join(sizes, "query_id", "left")
-        .join(usable, "query_id", "left")
         .select(
             "query_id",
             F.coalesce("pool_size", F.lit(0)).alias("pool_size"),
             F.coalesce("usable_features", F.lit(0)).alias("usable_features"),
-            "_mean_weight",
         )
         .withColumn(
             "status",
-            F.when(F.col("pool_size") < max(5, k), "history_too_short")
-            .when(F.col("usable_features") < 2, "too_few_features")
+            F.when(F.col("pool_size") < too_short, "history_too_short")
+            .when(F.col("usable_features") < too_few, "too_few_features")
             .otherwise("ok"),
         )
     )
-    ready = pools.filter("status = 'ok'").select("query_id", "_mean_weight")
-    weighted = scaled.join(ready, "query_id").withColumn(
-        "weight", F.col("_weight") / F.col("_mean_weight")
-    )
-    distances = raw_distances(weighted, metric, names)
-    measured = history.drop("_target").join(distances, ["query_id", "row"]).withColumn(
+    ready = scaled.filter((F.col("_pool") >= too_short) & (F.col("_used") >= too_few))
+    query = Window.partitionBy("query_id")
+    measured = spread_evenly(pair_distances(ready, metric, names), "query_id").withColumn(
         "adjusted_distance", F.col("raw_distance") / clip(F.col("comparability_score"), 0.20, 1.0)
     )
-    measured = staged(measured)
-    middle = measured.groupBy("query_id").agg(
-        F.greatest(F.expr("percentile(adjusted_distance, 0.5)"), F.lit(1e-6)).alias("_scale")
-    )
-    pool = measured.join(middle, "query_id").withColumn(
-        "similarity", F.exp(-F.col("adjusted_distance") / F.col("_scale"))
-    ).drop("_scale")
+    middle = F.greatest(F.expr("percentile(adjusted_distance, 0.5)").over(query), F.lit(1e-6))
+    pool = measured.withColumn("similarity", F.exp(-F.col("adjusted_distance") / middle)).drop("_pool", "_used")
     if family_method == "adaptive":
-        families = adaptive_families(pool, gap, change_threshold)
+        families = adaptive_families(staged(pool), gap, change_threshold)
         prefix, label = "REG", "adaptive_regime"
     else:
         families = fixed_families(pool, gap)
         prefix, label = "FAM", "fixed_window"
+    chosen = pick_separate_families(staged(families), k, buffer)
+    # Only chosen windows bring the other columns of their state.
+    own = [c for c in chosen.columns if c not in {"query_id", "row", "comparability_score", *kept}]
     neighbours = staged(
-        pick_separate_families(families, k, buffer).select(
-            "*",
+        chosen.alias("c")
+        .join(targets.alias("t"), "query_id")
+        .join(
+            states.alias("f"),
+            (value("tectonic_domain") == target("tectonic_domain")) & (value("window_end") == F.col("c.window_end")),
+        )
+        .select(
+            "query_id", "c.row", "f.*",
+            *[score.alias(name) for name, score in comparability(value, target).items()],
+            *[F.col(f"c.{name}").alias(name) for name in own],
+            F.array(*[target(n).cast("double") for n in names]).alias("_target"),
             F.lit(gap).alias("family_radius_days"),
             F.lit(buffer).alias("family_buffer_days"),
-            interval_id(prefix, F.col("family_start"), F.col("family_end")).alias("family_id"),
-            episode_id(F.col("window_end")).alias("episode_id"),
+            interval_id(prefix, F.col("c.family_start"), F.col("c.family_end")).alias("family_id"),
+            episode_id(F.col("c.window_end")).alias("episode_id"),
             F.lit(label).alias("family_method"),
         )
     )
     return SimilarityResult(
-        neighbours=neighbours.drop("row"),
-        feature_differences=feature_differences(neighbours, weighted),
+        neighbours=neighbours.drop("row", "_z", "_target_z", "_weights", "_target"),
+        feature_differences=feature_differences(neighbours, names),
         targets=targets.select("query_id", "target.*"),
-        pools=pools.drop("_mean_weight"),
+        pools=pools,
         family_gap_days=gap,
         family_buffer_days=buffer,
     )
 
 
-def feature_differences(neighbours: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Share of each feature in a neighbour's weighted difference, in percent."""
+def feature_differences(neighbours: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Share of each feature in a neighbour's weighted difference, in percent.
+
+    Takes neighbours with the arrays of ``scaled_pairs`` and ``_target``.
+    """
     per = Window.partitionBy("query_id", "row")
-    absolute = F.abs(F.col("z") - F.col("target_z"))
-    rows = weighted.join(
-        neighbours.select("query_id", "row", "window_end", "episode_id", "family_id", "analogue_rank"),
-        ["query_id", "row"],
-    ).select(
-        "query_id", "row", "analogue_rank", F.col("window_end").alias("neighbour_window_end"),
-        "episode_id", "family_id", "feature", F.col("target").alias("target_value"),
-        F.col("value").alias("neighbour_value"),
-        absolute.alias("robust_absolute_difference"),
-        (absolute * F.col("weight")).alias("weighted_difference"),
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("feature"),
+                F.col("_target")[i].alias("target_value"),
+                F.col(n).cast("double").alias("neighbour_value"),
+                F.abs(F.col("_z")[i] - F.col("_target_z")[i]).alias("robust_absolute_difference"),
+                F.col("_weights")[i].alias("_weight"),
+            )
+            for i, n in enumerate(names)
+        ]
+    )
+    rows = (
+        neighbours.select(
+            "query_id", "row", "analogue_rank", F.col("window_end").alias("neighbour_window_end"),
+            "episode_id", "family_id", F.explode(entries).alias("_e"),
+        )
+        .select("*", "_e.*")
+        .filter("_weight is not null")
+        .withColumn("weighted_difference", F.col("robust_absolute_difference") * F.col("_weight"))
+        .drop("_e", "_weight")
     )
     total = F.sum("weighted_difference").over(per)
     return rows.withColumn(

@@ -525,7 +525,7 @@ def weighted_distance(spark, sf):
     weighted = rows.join(mean.drop("tectonic_domain"), "query_id").withColumn(
         "weight", F.col("_weight") / F.col("_mean")
     )
-    return raw_distances(weighted, "euclidean").join(
+    return raw_distances(weighted).join(
         mean.select("query_id", "tectonic_domain"), "query_id"
     ).select(
         "tectonic_domain", day(F.timestamp_seconds("row")).alias("window_end"),

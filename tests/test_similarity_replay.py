@@ -122,6 +122,38 @@ def test_greedy_choice_matches_sequential(spark, pool):
     assert [(e - DAY0).days for e in got.window_end] == want
 
 
+def test_scaled_pairs_equal_the_long_form(spark, pool):
+    from quakeloom.operators.similarity import scaled_features, scaled_pairs
+
+    frame, data = pool
+    names = list(WEIGHTS)
+    target = data.filter(F.col("window_end") == F.lit(frame.window_end.iloc[-1].to_pydatetime()))
+    both = data.alias("f").join(target.alias("t"), F.lit(True)).select(
+        # Two queries, one with too few rows for any feature.
+        F.when(F.col("f.window_end") < F.lit(frame.window_end.iloc[2].to_pydatetime()), 2).otherwise(1).cast("long").alias("query_id"),
+        F.unix_seconds("f.window_end").alias("row"),
+        *[F.col(f"f.{n}").cast("double").alias(f"x{i}") for i, n in enumerate(names)],
+        *[F.col(f"t.{n}").cast("double").alias(f"t{i}") for i, n in enumerate(names)],
+    )
+    entries = F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.col(f"x{i}").alias("value"), F.col(f"t{i}").alias("target"))
+        for i, n in enumerate(names)
+    ])
+    long = both.select("query_id", "row", F.explode(entries).alias("e")).select("query_id", "row", "e.*")
+    want = {(r.query_id, r.row, r.feature): (r.z, r.target_z) for r in scaled_features(long, ["query_id"]).collect()}
+    wide = scaled_pairs(both, names).collect()
+    got = {
+        (r.query_id, r.row, n): (z, t)
+        for r in wide for n, z, t, w in zip(names, r._z, r._target_z, r._weights) if w is not None
+    }
+    assert got == want and len(got) > 0
+    for r in wide:
+        assert r._used == (0 if r.query_id == 2 else len(WEIGHTS) - 2) == sum(z is not None for z in r._z)
+        assert r._pool == (2 if r.query_id == 2 else len(frame) - 2)
+        assert r._used == 0 or sum(w for w in r._weights if w is not None) == pytest.approx(r._used)
+    assert scaled_pairs(both.limit(0), names).count() == 0
+
+
 def test_adaptive_regimes_match_sequential(spark, pool):
     frame, data = pool
     pooled = data.select(
