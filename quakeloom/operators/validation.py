@@ -16,20 +16,57 @@ from quakeloom.operators.distributed import running_totals
 SCENARIO = ("tectonic_domain", "catalogue_mode", "magnitude_policy", "threshold_magnitude", "horizon_days")
 
 
-def pool_adjacent(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic knots of y on x, with equal x averaged first."""
-    knots, index = np.unique(x, return_inverse=True)
-    weight = np.bincount(index).astype(float)
-    level = np.bincount(index, weights=y) / weight
-    blocks: list[list[float]] = []
-    for value, w in zip(level, weight):
-        blocks.append([value, w, 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v, w2, n = blocks.pop()
-            u, w1, m = blocks.pop()
-            blocks.append([(u * w1 + v * w2) / (w1 + w2), w1 + w2, m + n])
-    fitted = np.concatenate([[v] * int(n) for v, _, n in blocks])
-    return knots, np.clip(fitted, 0.0, 1.0)
+class GrowingIsotonic:
+    """Isotonic fit of y on x that takes points one at a time, equal x averaged.
+
+    Only the knots are kept. The fit between two of them is a slope of the
+    greatest convex minorant of the cumulative sums: the one that touches the
+    points before and the points after. The two touching points are found in
+    turns, from the knots outwards, so a question costs a few passes over arrays
+    and nothing is fitted again.
+    """
+
+    def __init__(self) -> None:
+        self.knots = np.empty(0)
+        self.weights = np.empty(0)
+        self.sums = np.empty(0)
+
+    def add(self, x: float, y: float) -> None:
+        at = int(np.searchsorted(self.knots, x))
+        if at == len(self.knots) or self.knots[at] != x:
+            self.knots = np.insert(self.knots, at, x)
+            self.weights = np.insert(self.weights, at, 0.0)
+            self.sums = np.insert(self.sums, at, 0.0)
+        self.weights[at] += 1.0
+        self.sums[at] += y
+
+    def _level(self, width: np.ndarray, height: np.ndarray, knot: int) -> float:
+        """The fitted value at a knot, from the cumulative weights and sums."""
+        left, right, slope = knot, knot + 1, 0.0
+        for _ in range(len(width)):
+            ahead = (height[knot + 1 :] - height[left]) / (width[knot + 1 :] - width[left])
+            to = knot + 1 + int(np.argmin(ahead))
+            behind = (height[to] - height[: knot + 1]) / (width[to] - width[: knot + 1])
+            start = int(np.argmax(behind))
+            slope = float(behind[start])
+            if (start, to) == (left, right):
+                break
+            left, right = start, to
+        return min(1.0, max(0.0, slope))
+
+    def predict(self, x: float) -> float:
+        """Between knots on a line, beyond them the value at the last."""
+        width = np.concatenate(([0.0], np.cumsum(self.weights)))
+        height = np.concatenate(([0.0], np.cumsum(self.sums)))
+        after = int(np.searchsorted(self.knots, x))
+        if after == len(self.knots):
+            return self._level(width, height, after - 1)
+        high = self._level(width, height, after)
+        if after == 0 or self.knots[after] == x:
+            return high
+        low = self._level(width, height, after - 1)
+        part = (x - self.knots[after - 1]) / (self.knots[after] - self.knots[after - 1])
+        return low + (high - low) * part
 
 
 def _calibrate(minimum_history: int):
@@ -39,15 +76,15 @@ def _calibrate(minimum_history: int):
         o = group["observed_outcome"].astype(float).to_numpy()
         usable = np.isfinite(p) & np.isfinite(o)
         out = np.full(len(group), np.nan)
+        past, count, outcomes = GrowingIsotonic(), 0, set()
         for i in range(len(group)):
-            past = usable[:i]
-            if past.sum() < minimum_history or not np.isfinite(p[i]):
-                continue
-            x, y = p[:i][past], o[:i][past]
-            if len(np.unique(y)) < 2 or len(np.unique(x)) < 3:
-                continue
-            knots, fitted = pool_adjacent(x, y)
-            out[i] = np.interp(p[i], knots, fitted)
+            enough = count >= minimum_history and len(outcomes) > 1 and len(past.knots) > 2
+            if enough and np.isfinite(p[i]):
+                out[i] = past.predict(p[i])
+            if usable[i]:
+                past.add(p[i], o[i])
+                outcomes.add(o[i])
+                count += 1
         group["analogue_calibrated_probability"] = out
         return group
 

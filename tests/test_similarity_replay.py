@@ -291,6 +291,22 @@ def test_calibration_is_expanding_isotonic(spark):
             assert r.analogue_calibrated_probability == pytest.approx(isotonic_prediction(x, y, rows[i][1]))
 
 
+@pytest.mark.parametrize("kind", ["rising", "falling", "ties", "equal outcomes"])
+def test_growing_fit_equals_a_fit_from_scratch(kind):
+    from quakeloom.operators.validation import GrowingIsotonic
+
+    rng = np.random.default_rng(len(kind))
+    x = rng.integers(0, 9, 30) / 8.0 if kind == "ties" else rng.random(30)
+    chance = {"falling": 1 - x, "equal outcomes": np.ones(30)}.get(kind, x)
+    y = (rng.random(30) <= chance).astype(float)
+    fit = GrowingIsotonic()
+    for i in range(30):
+        if i:
+            for asked in (x[i], -1.0, 2.0, x[0]):
+                assert fit.predict(asked) == pytest.approx(isotonic_prediction(list(x[:i]), list(y[:i]), asked), abs=1e-12)
+        fit.add(x[i], y[i])
+
+
 def test_summary_and_status(spark):
     p = np.linspace(0.05, 0.95, 80)
     rows = [
