@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quakeloom.fixed_values import EPOCHS
 from quakeloom.functions.scalar import round_half_even_1
+from quakeloom.session import staged
 
 
 def _by_year(year: Column, pick: int) -> Column:
@@ -176,7 +177,8 @@ def epoch_thresholds(
     """Comparison threshold per (extra keys, region, epoch): the larger of the
     policy floor and Mc, rounded to one decimal as Python rounds."""
     keys = [*extra_keys, "tectonic_domain", "observation_epoch"]
-    counts = magnitude_counts(frame.filter("tectonic_domain is not null"), keys)
+    # Staged, so that the events are read once for all that follows.
+    counts = staged(magnitude_counts(frame.filter("tectonic_domain is not null"), keys))
     return thresholds_of_counts(counts, keys, minimum_events)
 
 

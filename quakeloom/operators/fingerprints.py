@@ -11,15 +11,15 @@ spread over the windows that contain them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeloom.fixed_values import EARTH_RADIUS_KM
 from quakeloom.functions.scalar import (
     clip,
     effective_sample_size,
-    haversine_km,
     overlap_factor,
     seismic_energy_joule,
     wilson_interval,
@@ -32,7 +32,7 @@ from quakeloom.operators.epochs import (
     histogram_index,
 )
 from quakeloom.operators.magnitude import is_background, is_preferred, is_validated
-from quakeloom.session import spread_evenly, staged, with_row_key
+from quakeloom.session import in_stretches, spread_evenly, staged, with_row_key
 
 MODES = ("complete", "declustered")
 POLICIES = ("operational", "validated")
@@ -68,7 +68,7 @@ def populations(
         "origin_time_utc is not null and tectonic_domain is not null"
     )
     return located.select(
-        F.explode(F.array_compact(F.array(*members))).alias("_p"),
+        F.explode(F.array(*members)).alias("_p"),
         "tectonic_domain",
         epoch_key(F.col("origin_time_utc")).alias("observation_epoch"),
         F.unix_micros("origin_time_utc").alias("ts"),
@@ -79,7 +79,7 @@ def populations(
         "longitude",
         "quality_score",
         F.upper(F.coalesce("source", F.lit("OTHER"))).alias("source"),
-    ).select("_p.*", *[c for c in (
+    ).filter("_p is not null").select("_p.*", *[c for c in (
         "tectonic_domain", "observation_epoch", "ts", "day", "magnitude_comparable",
         "depth_km", "latitude", "longitude", "quality_score", "source",
     )])
@@ -110,7 +110,8 @@ def spread_days(daily: DataFrame, window_days: Sequence[int], step_days: int) ->
             )
         )
     return (
-        daily.withColumn("_w", F.explode(F.array_compact(F.array(*choices))))
+        daily.withColumn("_w", F.explode(F.array(*choices)))
+        .filter("_w is not null")
         .withColumn("window_days", F.col("_w.window_days"))
         .withColumn("window_index", F.explode("_w.indices"))
         .drop("_w")
@@ -158,15 +159,14 @@ def daily_histograms(events: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("double")
     m, d = F.col("magnitude_comparable"), F.col("depth_km")
     lat, lon = F.col("latitude"), F.col("longitude")
-    entries = F.array_compact(
-        F.array(
-            entry(MAGNITUDE, m.isNotNull(), m, nothing),
-            entry(DEPTH, comparable & d.isNotNull(), d, nothing),
-            entry(PLACE, comparable & lat.isNotNull() & lon.isNotNull(), lat, lon),
-        )
+    entries = F.array(
+        entry(MAGNITUDE, m.isNotNull(), m, nothing),
+        entry(DEPTH, comparable & d.isNotNull(), d, nothing),
+        entry(PLACE, comparable & lat.isNotNull() & lon.isNotNull(), lat, lon),
     )
     return (
         events.select(GID, "day", F.explode(entries).alias("_e"))
+        .filter("_e is not null")
         .select(GID, "day", "_e.*")
         .groupBy(GID, "day", "kind", "a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -197,27 +197,43 @@ def _window_sums(daily: DataFrame) -> DataFrame:
     )
 
 
-def _bucketed(histograms: DataFrame, sums: DataFrame) -> DataFrame:
-    """Histogram entries per window with their bucket: completeness bin,
-    depth kilometre, or kilometre of distance to the window centroid."""
-    centre = sums.select(
-        *WINDOW,
-        "mag_min",
-        (F.col("lat_sum") / F.col("loc_n")).alias("c_lat"),
-        (F.col("lon_sum") / F.col("loc_n")).alias("c_lon"),
-    )
-    joined = histograms.join(centre, WINDOW)
-    value = F.when(
-        F.col("kind") == PLACE, haversine_km(F.col("a"), F.col("b"), F.col("c_lat"), F.col("c_lon"))
-    ).otherwise(F.col("a"))
-    bucket = (
-        F.when(F.col("kind") == MAGNITUDE, histogram_index(F.col("a"), F.col("mag_min"), 0.1))
-        .when(F.col("kind") == DEPTH, F.floor(F.col("value") / DEPTH_BUCKET_KM))
-        .otherwise(F.floor(F.col("value") / DISTANCE_BUCKET_KM))
-    )
-    return joined.withColumn("value", value).select(
-        *WINDOW, "kind", "mag_min", "value", bucket.alias("bucket"), "n"
-    )
+def _on_sphere(lat: Column, lon: Column) -> dict[str, Column]:
+    """A place as a point of the unit sphere."""
+    lat, lon = F.radians(lat), F.radians(lon)
+    return {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+
+
+def _arc_km(chord: Column) -> Column:
+    return 2 * EARTH_RADIUS_KM * F.asin(F.least(chord / 2, F.lit(1.0)))
+
+
+def placed_entries(histograms: DataFrame) -> DataFrame:
+    """Daily histograms with the places' points, made once a day and not once a window."""
+    return histograms.withColumns(
+        {c: F.when(F.col("kind") == PLACE, e) for c, e in _on_sphere(F.col("a"), F.col("b")).items()}
+    ).drop("b")
+
+
+def _centres(sums: DataFrame) -> DataFrame:
+    """Centroids of the windows as points of the unit sphere."""
+    lat, lon = F.col("lat_sum") / F.col("loc_n"), F.col("lon_sum") / F.col("loc_n")
+    return sums.select(*WINDOW, "mag_min", *[e.alias(f"c_{c}") for c, e in _on_sphere(lat, lon).items()])
+
+
+def _value() -> Column:
+    """An entry's value in a window: a magnitude, a depth, or the chord from a place to the centroid.
+
+    A chord of the unit sphere grows with the distance, so ranks among chords are
+    those among distances, at the cost of one root for each entry and window.
+    """
+    dx, dy, dz = (F.col(c) - F.col(f"c_{c}") for c in "xyz")
+    return F.when(F.col("kind") == PLACE, F.sqrt(dx * dx + dy * dy + dz * dz)).otherwise(F.col("a"))
+
+
+def _kilometre() -> Column:
+    """Bucket of a depth, or of a chord."""
+    scale = F.when(F.col("kind") == DEPTH, 1 / DEPTH_BUCKET_KM).otherwise(EARTH_RADIUS_KM / DISTANCE_BUCKET_KM)
+    return F.floor(F.col("value") * scale)
 
 
 def _distribution_features(histograms: DataFrame, sums: DataFrame) -> DataFrame:
@@ -226,7 +242,11 @@ def _distribution_features(histograms: DataFrame, sums: DataFrame) -> DataFrame:
     Bucket totals locate the middle ranks; only the buckets that hold them are
     looked at value by value.
     """
-    entries = _bucketed(histograms, sums)
+    centres = staged(_centres(sums))
+    index = histogram_index(F.col("a"), F.col("mag_min"), 0.1)
+    entries = histograms.join(centres, WINDOW).withColumn("value", _value()).withColumn(
+        "bucket", F.when(F.col("kind") == MAGNITUDE, index).otherwise(_kilometre())
+    )
     width = F.col("value") - F.col("bucket")  # depth offset inside its kilometre
     is_depth = F.col("kind") == DEPTH
     buckets = entries.groupBy(*WINDOW, "kind", "bucket").agg(
@@ -266,15 +286,24 @@ def _distribution_features(histograms: DataFrame, sums: DataFrame) -> DataFrame:
     first = F.floor((F.col("total") - 1) / 2)
     second = F.ceil((F.col("total") - 1) / 2)
     # At most two rows per window and kind; staged so that its size is known and
-    # the second look at the entries joins it without moving them.
+    # the second look at the entries joins it without moving them. That look meets
+    # one row per window and kind, and leaves magnitudes out: a short loop.
     targets = staged(ranked.filter(F.col("kind") != MAGNITUDE).filter(
         ((first >= lo) & (first < hi)) | ((second >= lo) & (second < hi))
     ).select(*WINDOW, "kind", "bucket", lo.alias("lo"), first.alias("first"), second.alias("second")))
+    sought = staged(
+        targets.groupBy(*WINDOW, "kind").agg(F.min("bucket").alias("_b1"), F.max("bucket").alias("_b2"))
+        .join(centres.drop("mag_min"), WINDOW)
+    )
     values = (
-        entries.filter(F.col("kind") != MAGNITUDE)
-        .join(targets, [*WINDOW, "kind", "bucket"])
-        .groupBy(*WINDOW, "kind", "bucket", "lo", "first", "second", "value")
+        histograms.filter(F.col("kind") != MAGNITUDE)
+        .join(sought, [*WINDOW, "kind"])
+        .withColumn("value", _value())
+        .withColumn("bucket", _kilometre())
+        .filter((F.col("bucket") == F.col("_b1")) | (F.col("bucket") == F.col("_b2")))
+        .groupBy(*WINDOW, "kind", "bucket", "value")
         .agg(F.sum("n").alias("n"))
+        .join(targets, [*WINDOW, "kind", "bucket"])
     )
     within = (
         Window.partitionBy(*WINDOW, "kind", "bucket").orderBy("value")
@@ -283,14 +312,14 @@ def _distribution_features(histograms: DataFrame, sums: DataFrame) -> DataFrame:
     placed = values.withColumn("e", F.col("lo") + F.sum("n").over(within))
     start, end = F.col("e") - F.col("n"), F.col("e")
 
-    def middle(kind: int) -> Column:
+    def middle(kind: int, measure: Callable[[Column], Column] = lambda value: value) -> Column:
         mine = F.col("kind") == kind
         low = F.max(F.when(mine & (F.col("first") >= start) & (F.col("first") < end), F.col("value")))
         high = F.max(F.when(mine & (F.col("second") >= start) & (F.col("second") < end), F.col("value")))
-        return (low + high) / 2
+        return (measure(low) + measure(high)) / 2
 
     medians = placed.groupBy(*WINDOW).agg(
-        middle(DEPTH).alias("median_depth_km"), middle(PLACE).alias("_dispersion")
+        middle(DEPTH).alias("median_depth_km"), middle(PLACE, _arc_km).alias("_dispersion")
     )
     return simple.join(medians, WINDOW, "left").select(
         *WINDOW,
@@ -371,12 +400,14 @@ def windows_of_days(
 ) -> DataFrame:
     """Sums and distributions of windows (of ``only``, keys of windows, if given) from daily partials."""
 
-    def spread(frame: DataFrame, *keys: str) -> DataFrame:
-        found = spread_days(spread_evenly(frame, GID, "day", *keys).join(anchors, GID), window_days, step_days)
+    def spread(frame: DataFrame) -> DataFrame:
+        found = spread_days(frame.join(anchors, GID), window_days, step_days)
         return found if only is None else found.join(only, WINDOW, "left_semi")
 
-    sums = staged(_window_sums(spread(daily)).filter(F.col("n") >= minimum_window_events))
-    shapes = _distribution_features(spread(histograms, "a", "b"), sums)
+    sums = staged(_window_sums(spread(spread_evenly(daily, GID, "day"))).filter(F.col("n") >= minimum_window_events))
+    # Neighbouring days meet the same windows, so a task that holds a stretch of days adds up
+    # nearly all of its rows before they move; a long day still spreads over tasks.
+    shapes = _distribution_features(spread(in_stretches(placed_entries(histograms), GID, "day", "a")), sums)
     start_day = F.col("d0") + F.col("window_index") * step_days
     return (
         sums.withColumn("start_day", start_day)

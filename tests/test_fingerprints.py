@@ -143,3 +143,18 @@ def test_populations_in_one_plan(spark):
         ("complete", "operational"): 30, ("complete", "validated"): 30,
         ("declustered", "operational"): 15, ("declustered", "validated"): 15,
     }
+
+
+def test_chords_rank_as_distances_and_days_stay_together(spark):
+    from quakeloom.operators.fingerprints import _arc_km, _centres, _value, placed_entries
+    from quakeloom.functions.scalar import haversine_km
+    from quakeloom.session import in_stretches
+
+    entries = placed_entries(spark.createDataFrame([(2, 36.5, -9.25), (2, -10.0, 179.0), (1, 12.0, None)], "kind tinyint, a double, b double"))
+    window = spark.createDataFrame([(1, 30, 0, 1.0, 76.0, -20.0, 2)], "gid int, window_days int, window_index int, mag_min double, lat_sum double, lon_sum double, loc_n int")
+    found = entries.withColumn("b", F.degrees(F.atan2("y", "x"))).crossJoin(_centres(window)).withColumn("value", _value())
+    for row in found.select("kind", "a", "value", _arc_km(F.col("value")).alias("arc"), haversine_km(F.col("a"), F.col("b"), F.lit(38.0), F.lit(-10.0)).alias("km")).collect():
+        assert row.value == row.a if row.kind == 1 else abs(row.arc - row.km) < 1e-8
+    days = in_stretches(spark.range(4000).select((F.col("id") % 400).alias("day")), "day")
+    spread = days.withColumn("task", F.spark_partition_id()).groupBy("day").agg(F.countDistinct("task").alias("tasks"))
+    assert spread.agg(F.max("tasks")).first()[0] == 1
