@@ -1,8 +1,9 @@
 """Region assignment against a layer of any number of polygons, by a grid.
 
-The layer is a table. The plane is cut into square cells; a cell carries the
-regions that cover it whole, and, for each region whose border passes through
-it, the edges of that region in the cell's row, which is all that the even-odd
+The layer is a table. The plane is cut into square cells, smaller ones for a
+crowded layer; a cell carries the number and the smallest of the regions that
+cover it whole, and, for each region whose border passes through it and can still
+matter, the edges of that region in the cell's row, which is all that the even-odd
 rule looks at for a point in the cell. So a point meets the cell it lies in, one
 equality join, and all tests are expressions on that row: no edge becomes part
 of the plan, a hot cell is no group, and points are not moved when the index is
@@ -14,13 +15,19 @@ on any ring is covered, as with the rule for single rings.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeloom.fixed_values import NEAR_REGION_DEGREES, OUTSIDE_REGION, REGION_CONFIDENCE, UNCLASSIFIED_REGION
 from quakeloom.schema import conform
+from quakeloom.session import spread_evenly, staged
 
 CELL = 0.5
+#: Cells are halved until so many edges cross one on average, but not more often than this.
+BORDERS, HALVINGS = 64, 4
 #: Ends of clipped edges are taken this much further, in cells, against rounding.
 SLACK = 1e-6
 
@@ -93,67 +100,103 @@ def _crossed(edges: DataFrame, size: float, margin: float) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(_cell(a, size), _cell(b, size))).alias("cx"))
 
 
-def grid_index(regions: DataFrame, size: float = CELL, near: float = NEAR_REGION_DEGREES) -> DataFrame:
-    """One row for each cell that a region covers, crosses, or is near to: ``inside`` and ``border``
-    candidates, and the edges of ``around`` ones within ``near`` degrees."""
-    region = ["name", "rank", "area"]
-    edges = regions.select(*region, F.explode("edges").alias("e"))
+@dataclass
+class GridIndex:
+    """``covering``: for each cell of ``fine`` degrees the number of regions that cover it whole
+    (``inside``), the first of them (``best``) and the ``border`` candidates; ``edges`` of all regions."""
+
+    covering: DataFrame
+    edges: DataFrame
+    fine: float
+    near: float
+
+
+def _fine(edges: DataFrame, size: float) -> float:
+    """The size halved until about BORDERS edges cross a cell, at most HALVINGS times."""
     e = F.col("e")
-    rows = F.sequence(_cell(F.least(e["y1"], e["y2"]), size), _cell(F.greatest(e["y1"], e["y2"]), size))
-    in_row = edges.select(*region, "e", F.explode(rows).alias("cy")).groupBy(*region, "cy").agg(F.collect_list("e").alias("edges"))
-    crossed = _crossed(edges, size, 0.0).select(*region, "cx", "cy").distinct()
-    border = crossed.join(in_row, [*region, "cy"])
+    length = F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
+    low, high = (lambda a: F.min(F.least(e[f"{a}1"], e[f"{a}2"]))), (lambda a: F.max(F.greatest(e[f"{a}1"], e[f"{a}2"])))
+    found = edges.agg(F.sum(length).alias("length"), *[f(a).alias(f"{n}_{a}") for a in "xy" for n, f in (("lo", low), ("hi", high))]).first()
+    if not found["length"]:
+        return size
+    plane = max(found["hi_x"] - found["lo_x"], size) * max(found["hi_y"] - found["lo_y"], size)
+    crowd = found["length"] * size / plane / BORDERS
+    return size / 2 ** min(HALVINGS, max(0, math.ceil(math.log2(crowd))))
+
+
+def grid_index(regions: DataFrame, size: float = CELL, near: float = NEAR_REGION_DEGREES) -> GridIndex:
+    """The index of a layer. Of the regions that cover a cell only their number and the first count,
+    and under two or more of them only border candidates that come before it."""
+    region = ["name", "rank", "area"]
+    edges = staged(regions.select(*region, F.explode("edges").alias("e")))
+    e, fine = F.col("e"), _fine(edges, size)
+    rows = F.sequence(_cell(F.least(e["y1"], e["y2"]), fine), _cell(F.greatest(e["y1"], e["y2"]), fine))
+    in_row = staged(
+        edges.select(*region, "e", F.explode(rows).alias("cy")).groupBy(*region, "cy").agg(F.collect_list("e").alias("edges"))
+    )
+    crossed = staged(_crossed(spread_evenly(edges, "rank", "name", "e"), fine, 0.0).select(*region, "cx", "cy").distinct())
     # Between the outermost crossed cells of a row, a cell without an edge is inside or outside as a whole.
     span = crossed.groupBy(*region, "cy").agg(F.min("cx").alias("first"), F.max("cx").alias("last"))
     between = span.select(*region, "cy", F.explode(F.sequence("first", "last")).alias("cx")).join(
         crossed, [*region, "cx", "cy"], "left_anti"
     )
-    centre_x, centre_y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    inside = between.join(in_row, [*region, "cy"]).filter(covers(F.col("edges"), centre_x, centre_y))
-    around = _crossed(edges, size, near).groupBy(*region, "cx", "cy").agg(F.collect_list("e").alias("edges"))
-    no_edges = F.lit(None).cast(in_row.schema["edges"].dataType)
-    parts = [
-        found.select("cx", "cy", F.lit(kind).alias("kind"), F.struct(*region, kept.alias("edges")).alias("c"))
-        for found, kind, kept in (
-            (inside, "inside", no_edges), (border, "border", F.col("edges")), (around, "around", F.col("edges"))
-        )
-    ]
-    return (
-        parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("cx", "cy")
-        .agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("c"))).alias(k) for k in ("inside", "border", "around")])
+    centre_x, centre_y = (F.col("cx") + 0.5) * fine, (F.col("cy") + 0.5) * fine
+    order = F.struct("area", "rank", "name")
+    inside = staged(
+        between.join(in_row, [*region, "cy"]).filter(covers(F.col("edges"), centre_x, centre_y))
+        .groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("inside"), F.min(order).alias("best"))
+    )
+    asked = crossed.join(inside, ["cx", "cy"], "left").filter((F.coalesce("inside", F.lit(0)) < 2) | (order < F.col("best")))
+    border = asked.select(*region, "cx", "cy").join(in_row, [*region, "cy"]).groupBy("cx", "cy").agg(
+        F.collect_list(F.struct(*region, "edges")).alias("border")
     )
+    return GridIndex(staged(inside.join(border, ["cx", "cy"], "full")), edges, fine, near)
+
+
+def _around(index: GridIndex, cells: DataFrame, size: float) -> DataFrame:
+    """For each of ``cells`` the edges within ``near`` degrees of it, by region."""
+    region = ["name", "rank", "area"]
+    found = _crossed(index.edges, size, index.near).join(cells, ["cx", "cy"], "left_semi")
+    by_region = found.groupBy(*region, "cx", "cy").agg(F.collect_list("e").alias("edges"))
+    return by_region.groupBy("cx", "cy").agg(F.collect_list(F.struct(*region, "edges")).alias("around"))
 
 
 def with_layer_region(
-    frame: DataFrame, index: DataFrame, size: float = CELL, near: float = NEAR_REGION_DEGREES,
+    frame: DataFrame, index: GridIndex, size: float = CELL, near: float = NEAR_REGION_DEGREES,
     lat: str = "latitude", lon: str = "longitude",
 ) -> DataFrame:
     """Add ``_region`` struct(name, confidence): the smallest region that covers the point, else the
     nearest within ``near`` degrees, equals by rank."""
     x, y = F.col(lon), F.col(lat)
-    celled = frame.withColumns({"_cx": _cell(x, size), "_cy": _cell(y, size)})
-    covering = index.select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "inside", "border")
+    celled = frame.withColumns({"_cx": _cell(x, index.fine), "_cy": _cell(y, index.fine)})
+    covering = index.covering.withColumnsRenamed({"cx": "_cx", "cy": "_cy", "inside": "_inside", "best": "_best", "border": "_border"})
     joined = celled.join(covering, ["_cx", "_cy"], "left")
-    hits = F.concat("inside", F.filter("border", lambda c: covers(c["edges"], x, y)))
+    hits = F.transform(
+        F.filter("_border", lambda c: covers(c["edges"], x, y)), lambda c: F.struct(c["area"], c["rank"], c["name"])
+    )
     # The tests are columns of their own, so that the rules below do not repeat them.
-    tested = joined.select(
-        *frame.columns, "_cx", "_cy", F.transform(hits, lambda c: F.struct(c["area"], c["rank"], c["name"])).alias("_hits")
+    tested = joined.select(*frame.columns, "_inside", "_best", hits.alias("_found")).select(
+        *frame.columns,
+        (F.coalesce("_inside", F.lit(0)) + F.coalesce(F.size("_found"), F.lit(0))).alias("_hits"),
+        F.least("_best", F.array_min("_found"))["name"].alias("_smallest"),
     )
+    tested = staged(tested.withColumns({"_cx": _cell(x, size), "_cy": _cell(y, size)}))
     # Only points that nothing covers meet the edges around them; the others get keys, spread out, that no cell has.
-    covered = F.coalesce(F.size("_hits") > 0, F.lit(False))
+    covered = F.col("_hits") > 0
+    open_cells = staged(tested.filter(~covered).select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy")).distinct())
     asking = tested.withColumn("_cy", F.when(covered, F.pmod(F.xxhash64(x, y), F.lit(1024)) + (1 << 40)).otherwise(F.col("_cy")))
-    near_by = index.filter(F.size("around") > 0).select(F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "around")
+    near_by = _around(index, open_cells, size).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
     nearest = F.array_min(F.transform("around", lambda c: F.struct(distance(c["edges"], x, y).alias("d"), c["rank"], c["name"])))
-    placed = asking.join(near_by, ["_cx", "_cy"], "left").select(*frame.columns, "_hits", nearest.alias("_near"))
+    placed = asking.join(near_by, ["_cx", "_cy"], "left").select(*frame.columns, "_hits", "_smallest", nearest.alias("_near"))
 
     def answer(name: Column, kind: str) -> Column:
         return F.struct(name.alias("name"), F.lit(REGION_CONFIDENCE[kind]).alias("confidence"))
 
-    smallest = F.array_min("_hits")["name"]
+    smallest = F.col("_smallest")
     chain = (
         F.when(x.isNull() | y.isNull(), answer(F.lit(UNCLASSIFIED_REGION), "missing"))
-        .when(F.size("_hits") == 1, answer(smallest, "single"))
-        .when(F.size("_hits") > 1, answer(smallest, "overlap"))
+        .when(F.col("_hits") == 1, answer(smallest, "single"))
+        .when(F.col("_hits") > 1, answer(smallest, "overlap"))
         .when(F.col("_near.d") <= near, answer(F.col("_near.name"), "near"))
         .otherwise(answer(F.lit(OUTSIDE_REGION), "outside"))
     )

@@ -105,3 +105,19 @@ def test_single_features_empty_layers_and_plans(spark):
     assert {v[0] for v in answers(with_layer_region(frame, index)).values()} == {OUTSIDE_REGION}
     events = classify_by_layer(frame.withColumnRenamed("id", "event_id"), layer(found.withColumn("rank", F.col("at"))))
     assert {r.event_id: r.tectonic_domain for r in events.collect()} == {"0": "n3", "1": OUTSIDE_REGION}
+
+
+def test_cells_keep_only_candidates_that_can_still_matter(spark):
+    def square(r):
+        return [[[-r, -r], [r, -r], [r, r], [-r, r]]]
+
+    rows = [(f"s{i:03d}", square(1 + i / 50), i) for i in range(200)]
+    regions = layer(spark.createDataFrame(rows, "name string, rings array<array<array<double>>>, rank int"))
+    index = grid_index(regions, 2.0)
+    assert index.fine < 2.0
+    for row in index.covering.collect():
+        if (row.inside or 0) > 1:
+            assert all((c["area"], c["rank"], c["name"]) < tuple(row.best) for c in row.border or [])
+    events = spark.createDataFrame([(0.0, 0.0), (1.5, 0.3), (4.995, 0.0), (5.1, 0.0), (9.0, 0.0)], "latitude double, longitude double")
+    found = {r.latitude: tuple(r._region) for r in with_layer_region(events, index, 2.0).collect()}
+    assert [found[v][0] for v in (0.0, 1.5, 5.1, 9.0)] == ["s000", "s025", "s199", OUTSIDE_REGION]
