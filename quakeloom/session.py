@@ -122,6 +122,14 @@ def in_stretches(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.repartitionByRange(count, *keys)
 
 
+ROWS_PER_TASK = 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Shuffle tasks for so many rows: as the session says, more where a task would get too many."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
+
+
 def with_row_key(frame: DataFrame, name: str = "_row") -> DataFrame:
     """Attach a row identity that stays the same however often it is read."""
     return staged(frame.withColumn(name, F.monotonically_increasing_id()))

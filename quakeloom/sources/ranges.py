@@ -10,28 +10,57 @@ overlap, touch, repeat, or cut each other.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeloom.session import staged, tasks_for
+
 START, END = "chunk_start", "chunk_end"
 COMPLETE, PARTIAL, FAILED = "complete", "partial", "failed"
 
 
-def _stretches(tagged: DataFrame, keys: list[str], sides: Sequence[str]) -> DataFrame:
-    """Stretches between neighbouring borders with, for each side, how many of its ranges cover them.
+def _placed(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """Each different range once, with its ``_count``, all ranges of a key in one task.
 
-    ``tagged`` has ``_side``. Empty and reversed ranges, and ranges with an open
-    end, are none. Equal borders are added up before they are sorted.
+    The number of tasks follows the number of ranges. Every later step groups or
+    sorts within a key and needs no further shuffle. Repeated ranges are added up
+    by many tasks before those of a key meet. Empty and reversed ranges, and
+    ranges with an open end, are none.
     """
+    tagged = staged(tagged.filter(F.col(START) < F.col(END)))
+    count = tasks_for(tagged.sparkSession, tagged.count())
+    salted = tagged.withColumn("_salt", F.spark_partition_id() % 16)
+    folded = (
+        salted.repartition(count, *keys, START, END, "_salt")
+        .groupBy(*keys, START, END, "_side", "_salt").agg(F.count(F.lit(1)).alias("_count"))
+    )
+    placed = folded.repartition(count, *keys) if keys else folded.repartition(1)
+    return placed.groupBy(*keys, START, END, "_side").agg(F.sum("_count").alias("_count"))
+
+
+def _borders(placed: DataFrame) -> DataFrame:
+    """Two rows a range: +_count at its start, -_count at its end."""
     border = F.explode(
-        F.array(F.struct(F.col(START).alias("at"), F.lit(1).alias("step")), F.struct(F.col(END).alias("at"), F.lit(-1).alias("step")))
+        F.array(
+            F.struct(F.col(START).alias("at"), F.col("_count").alias("step")),
+            F.struct(F.col(END).alias("at"), (-F.col("_count")).alias("step")),
+        )
     )
+    return placed.select("*", border.alias("_b")).select("*", F.col("_b.at").alias("_at"), F.col("_b.step").alias("_step")).drop("_b")
+
+
+def _stretches(tagged: DataFrame, keys: list[str], sides: Sequence[str]) -> DataFrame:
+    """Stretches between neighbouring borders with, for each side, how many of its ranges cover them.
+
+    ``tagged`` has ``_side``. Equal borders are added up before they are sorted.
+    """
     borders = (
-        tagged.filter(F.col(START) < F.col(END))
-        .select(*keys, "_side", border.alias("_b"))
-        .groupBy(*keys, F.col("_b.at").alias("_at"))
-        .agg(*[F.sum(F.when(F.col("_side") == s, F.col("_b.step")).otherwise(0)).alias(s) for s in sides])
+        _borders(_placed(tagged, keys))
+        .groupBy(*keys, "_at")
+        .agg(*[F.sum(F.when(F.col("_side") == s, F.col("_step")).otherwise(0)).alias(s) for s in sides])
     )
     order = Window.partitionBy(*keys).orderBy("_at")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -84,20 +113,21 @@ def manifest_entries(asked: DataFrame, read: DataFrame, keys: Sequence[str] = ()
 
     ``read`` are the ranges that arrived. An asked range may have been cut into
     many; it is complete when they cover all of it, whichever way they overlap.
-    Repeated asked ranges are one.
+    Repeated asked ranges are one. A range with a null key matches nothing that arrived.
     """
     keys = list(keys)
-    asked = asked.filter(F.col(START) < F.col(END)).select(*keys, START, END).distinct()
-    # The borders of all asked ranges cut what arrived, so that a piece lies in an asked range or outside of it.
     tagged = asked.select(*keys, START, END, F.lit("_l").alias("_side")).unionByName(read.select(*keys, START, END, F.lit("_r").alias("_side")))
-    held = (F.unix_micros(END) - F.unix_micros(START)) * (F.col("_r") > 0).cast("long")
-    order = Window.partitionBy(*keys).orderBy(START).rowsBetween(Window.unboundedPreceding, 0)
-    total = _stretches(tagged, keys, ("_l", "_r")).select(*keys, START, END, F.sum(held).over(order).alias("_held"))
-    upto = total.select(*keys, F.col(END).alias("_at"), "_held")
+    order = Window.partitionBy(*keys).orderBy("_at")
+    covering = F.sum(F.when(F.col("_side") == "_r", F.col("_step")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # What is held from a border to the next one; of equal borders only the last has a length.
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    swept = _borders(_placed(tagged, keys)).withColumn(
+        "_length", F.when((covering > 0) & known, F.unix_micros(F.lead("_at").over(order)) - F.unix_micros("_at"))
+    )
     # Held time of a range is the running total at its end less that at its start, as both are borders.
-    at_end = asked.join(upto.withColumnRenamed("_at", END).withColumnRenamed("_held", "_e"), [*keys, END], "left")
-    both = at_end.join(upto.withColumnRenamed("_at", START).withColumnRenamed("_held", "_s"), [*keys, START], "left")
-    micros = F.coalesce("_e", F.lit(0)) - F.coalesce("_s", F.lit(0))
-    whole = F.unix_micros(END) - F.unix_micros(START)
+    before = F.coalesce(F.sum("_length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = swept.select(*keys, START, END, "_side", F.when(F.col("_step") > 0, -before).otherwise(before).alias("_held"))
+    held = totals.filter("_side = '_l'").groupBy(*keys, START, END).agg(F.sum("_held").alias("_micros"))
+    micros, whole = F.col("_micros"), F.unix_micros(END) - F.unix_micros(START)
     status = F.when(micros == whole, COMPLETE).when(micros > 0, PARTIAL).otherwise(FAILED)
-    return both.select(*keys, START, END, status.alias("status"), (micros / 1e6).alias("held_seconds"))
+    return held.select(*keys, START, END, status.alias("status"), (micros / 1e6).alias("held_seconds"))

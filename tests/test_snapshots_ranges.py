@@ -143,3 +143,24 @@ def test_manifest_and_gaps(spark):
     assert ranges.manifest_entries(asked.limit(0), read, ["feed"]).count() == 0
     whole = ranges.difference(asked.select(ranges.START, ranges.END), read.limit(0).select(ranges.START, ranges.END))
     assert whole.count() == 2
+
+
+def test_tasks_on_ranges_follow_their_number(spark, monkeypatch):
+    from quakeloom import session
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    rng = random.Random(5)
+    draw = lambda n: [(rng.choice("abcdefgh"), s := rng.randint(0, 400), s + rng.randint(1, 9)) for _ in range(n)]
+    left, right = draw(200), draw(200) + [("a", 7, 9)] * 50
+    gone = ranges.difference(table(spark, left), table(spark, right), ["feed"])
+    assert gone.rdd.getNumPartitions() == 45
+    assert days_of(as_days(gone)) == days_of(left) - days_of(right)
+
+
+def test_manifest_sweeps_once_without_a_join(spark, capsys):
+    asked, read = table(spark, [("a", 0, 10), (None, 0, 3)]), table(spark, [("a", 0, 7), (None, 0, 3)])
+    entries = ranges.manifest_entries(asked, read, ["feed"])
+    entries.explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and plan.count("Exchange") <= 2
+    assert {(r.feed, r.status) for r in entries.collect()} == {("a", "partial"), (None, "failed")}
