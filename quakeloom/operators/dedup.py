@@ -5,7 +5,9 @@ Records are placed in cells so small that any two records of one cell are
 duplicates of each other. Cells, not records, are the nodes of the graph; a
 cell has a bounded number of possible neighbour cells. Bounding boxes settle
 most neighbour pairs; only pairs that straddle a limit look at records, after
-splitting cells until the work per pair is bounded.
+splitting cells until the work per pair is bounded. What the boxes and one pair
+of witnesses join is merged first, so that only pairs of cells that may still
+join two groups are looked at.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from pyspark.sql import functions as F
 
 from quakeloom.fixed_values import EARTH_RADIUS_KM, SOURCE_PRIORITY, STATUS_PRIORITY
 from quakeloom.functions.scalar import haversine_km
-from quakeloom.operators.distributed import connected_components
+from quakeloom.operators.distributed import merged_components, relabelled
 from quakeloom.schema import EVENT_COLUMNS, conform
-from quakeloom.session import staged, with_row_key
+from quakeloom.session import staged, tasks_for, with_row_key
 
 KM_PER_DEGREE = math.radians(1) * EARTH_RADIUS_KM
+BOX = ["n", *[f"{c}_{p}" for c in ("t", "lat", "lon", "mag") for p in ("lo", "hi")]]
 PAIR_BUDGET = 4096  # record pairs tested per cell pair before cells are split
 
 
@@ -69,15 +72,21 @@ class Grid:
             ),
         )
 
-    def boxes(self, points: DataFrame, keys: list[str]) -> DataFrame:
-        return points.groupBy(*keys).agg(
+    def box_sums(self) -> list[Column]:
+        return [
             F.count(F.lit(1)).alias("n"),
             *[f(c).alias(f"{c}_{p}") for c in ("t", "lat", "lon", "mag")
               for p, f in (("lo", F.min), ("hi", F.max))],
-        )
+        ]
+
+    def boxes(self, points: DataFrame, keys: list[str]) -> DataFrame:
+        return points.groupBy(*keys).agg(*self.box_sums())
 
     def neighbour_keys(self, boxes: DataFrame) -> DataFrame:
-        """One row per (cell, neighbouring time bucket, band, longitude cell)."""
+        """One row per (cell, neighbouring time bucket, band, longitude cell).
+
+        Of two cells of one time bucket, the one in the lower band looks for the other.
+        """
         reach = math.degrees(self.distance_km / EARTH_RADIUS_KM) * (1 + 1e-9)
         first = self.band(F.col("lat_lo") - reach)
         last = self.band(F.col("lat_hi") + reach)
@@ -100,6 +109,7 @@ class Grid:
             spread.withColumn("_lonc", F.explode(F.sequence(start, end)))
             .withColumn("n_lonc", F.pmod("_lonc", "_cells"))
             .withColumn("n_tb", F.explode(F.array(F.col("tb"), F.col("tb") + 1)))
+            .filter("n_tb > tb or n_band >= band")
             .drop("_lonc", "_cells")
         )
 
@@ -159,9 +169,9 @@ class Grid:
         )
         return F.when(yes, "yes").when(no, "no").otherwise("open")
 
-    def same_event(self) -> Column:
+    def same_event(self, one: str = "p", other: str = "q") -> Column:
         """The exact pair test on points p.* and q.*; all limits inclusive."""
-        p, q = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"q.{c}"))
+        p, q = (lambda c: F.col(f"{one}.{c}")), (lambda c: F.col(f"{other}.{c}"))
         return (
             (F.abs(p("t") - q("t")) <= self.limit_us)
             & (haversine_km(p("lat"), p("lon"), q("lat"), q("lon")) <= self.distance_km)
@@ -193,33 +203,81 @@ def _points(events: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_edges(points: DataFrame, grid: Grid) -> DataFrame:
-    """Edges (a, b) between cells that hold at least one duplicate pair.
-
-    ``points``: distinct (t, lat, lon, mag) rows with their cell columns.
-    """
-    cells = staged(grid.boxes(points, ["cell", "tb", "band", "lonc"]))
-    pairs = (
-        grid.neighbour_keys(cells).alias("a")
-        .join(
-            cells.alias("b"),
-            (F.col("a.n_tb") == F.col("b.tb"))
-            & (F.col("a.n_band") == F.col("b.band"))
-            & (F.col("a.n_lonc") == F.col("b.lonc"))
-            & ((F.col("a.tb") < F.col("b.tb")) | (F.col("a.cell") < F.col("b.cell"))),
+def _cells(points: DataFrame, grid: Grid) -> DataFrame:
+    """Boxes of the cells, with a number each and their first and last point as witnesses."""
+    witness = F.struct("t", "lat", "lon", "mag")
+    keys = ["cell", "tb", "band", "lonc"]
+    boxes = points.groupBy(*keys).agg(
+        *grid.box_sums(), F.min(witness).alias("first"), F.max(witness).alias("last")
+    )
+    return staged(boxes.withColumn("node", F.monotonically_increasing_id()))
+
+
+def _near_pairs(cells: DataFrame, grid: Grid) -> DataFrame:
+    """Pairs (a, b) of cells that hold a duplicate pair ('yes') or may hold one ('open')."""
+    # Cells are hashed, not sorted, as each is looked up under many keys; a task holds few of them.
+    count = tasks_for(cells.sparkSession, 4 * cells.count())
+    place = ["n_tb", "n_band", "n_lonc"]
+    sides = [
+        f.select(*kept).repartition(count, *place)
+        for f, kept in (
+            (grid.neighbour_keys(cells), [*place, "tb", "band", "node", *BOX, "last"]),
+            (
+                cells.withColumnsRenamed({"tb": "n_tb", "band": "n_band", "lonc": "n_lonc"}),
+                [*place, "node", *BOX, "first"],
+            ),
         )
-        .withColumn("verdict", grid.verdict())
-        .filter("verdict <> 'no'")
+    ]
+    a, b = sides[0].alias("a"), sides[1].alias("b")
+    met = a.join(
+        b.hint("shuffle_hash"),
+        (F.col("a.n_tb") == F.col("b.n_tb"))
+        & (F.col("a.n_band") == F.col("b.n_band"))
+        & (F.col("a.n_lonc") == F.col("b.n_lonc")),
+    ).filter(
+        (F.col("a.tb") < F.col("a.n_tb")) | (F.col("a.band") < F.col("a.n_band")) | (F.col("a.node") < F.col("b.node"))
+    )
+    verdict = F.when(
+        (F.col("_v") == "open") & grid.same_event("a.last", "b.first"), "yes"
+    ).otherwise(F.col("_v"))
+    return staged(
+        met.withColumn("_v", grid.verdict())
+        .filter("_v <> 'no'")
         .select(
-            F.col("a.cell").alias("a"), F.col("b.cell").alias("b"), "verdict",
+            F.col("a.node").alias("a"), F.col("b.node").alias("b"), verdict.alias("verdict"),
             (F.col("a.n").cast("double") * F.col("b.n")).alias("work"),
         )
     )
-    pairs = staged(pairs)
-    edges = pairs.filter("verdict = 'yes'").select("a", "b")
-    open_pairs = pairs.filter("verdict = 'open'").select(
-        "a", "b", F.lit("").alias("sa"), F.lit("").alias("sb"), "work"
+
+
+def duplicate_components(points: DataFrame, grid: Grid) -> DataFrame:
+    """(cell, component) of cells that a chain of duplicate pairs connects.
+
+    ``points``: distinct (t, lat, lon, mag) rows with their cell columns.
+    """
+    cells = _cells(points, grid)
+    pairs = _near_pairs(cells, grid)
+    sure = staged(merged_components(pairs.filter("verdict = 'yes'")))
+    named = relabelled(
+        pairs.filter("verdict = 'open'").select("a", "b", "work", F.col("a").alias("na"), F.col("b").alias("nb")), sure
     )
+    undecided = staged(named.select(F.col("na").alias("a"), F.col("nb").alias("b"), "work"))
+    found = sure
+    if not undecided.isEmpty():
+        asked = undecided.select(F.col("a").alias("node")).union(undecided.select("b")).distinct()
+        numbered = points.join(cells.select("cell", "node").join(asked, "node"), "cell").drop("cell")
+        edges = duplicate_edges(undecided, staged(numbered.withColumnRenamed("node", "cell")), grid)
+        later = merged_components(relabelled(edges, sure)).withColumnsRenamed({"node": "_node", "component": "_later"})
+        found = sure.join(later, F.col("component") == F.col("_node"), "full").select(
+            F.coalesce("node", "_node").alias("node"), F.coalesce("_later", "component").alias("component")
+        )
+    return cells.select("cell", "node").join(found, "node").select("cell", "component")
+
+
+def duplicate_edges(pairs: DataFrame, points: DataFrame, grid: Grid) -> DataFrame:
+    """Those of the pairs (a, b, work) of cells that hold at least one duplicate pair."""
+    edges = pairs.select("a", "b").limit(0)
+    open_pairs = pairs.select("a", "b", F.lit("").alias("sa"), F.lit("").alias("sb"), "work")
     level = 0
     while True:
         light = open_pairs.filter(F.col("work") <= PAIR_BUDGET)
@@ -305,7 +363,7 @@ def group_records(
         )
     )
     points = staged(grid.keyed(_points(events).distinct()))
-    components = connected_components(duplicate_edges(points, grid))
+    components = duplicate_components(points, grid).withColumnRenamed("cell", "node")
     keyed = grid.keyed(
         events.withColumns(
             {
@@ -318,7 +376,7 @@ def group_records(
     )
     joined = keyed.join(components, keyed["cell"] == components["node"], "left")
     return joined.select(
-        *EVENT_COLUMNS, "_row", F.coalesce("component", "cell").alias("component")
+        *EVENT_COLUMNS, "_row", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("cell "), "cell")).alias("component")
     )
 
 

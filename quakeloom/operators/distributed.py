@@ -246,3 +246,43 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(roots)
+
+
+def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) between labels (node, component); a node without one keeps its name, loops go."""
+    out = edges
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias("_label"))
+        out = out.join(named, end, "left").withColumn(end, F.coalesce("_label", end)).drop("_label")
+    return out.filter("a <> b")
+
+
+def merged_components(edges: DataFrame) -> DataFrame:
+    """One member of its component per node of an undirected graph (columns a, b).
+
+    For graphs with many more edges than nodes: each round merges a node into the neighbour (or itself) of least hash, a new
+    hash each time, and draws the edges again between what is left. The graph
+    shrinks by a constant factor, in a dense one by its degree, so that all
+    rounds cost about as much as the first, whatever the diameter. Choices are
+    plain aggregates with a map-side combine, so a hub is never collected.
+    Returns (node, component).
+    """
+    current = staged(edges.select("a", "b").filter("a <> b").distinct())
+    rounds: list[DataFrame] = []
+    while not rounds or not current.isEmpty():
+        both = current.union(current.select("b", "a")).toDF("node", "other")
+        seed = F.lit(len(rounds))
+        rank, own = F.xxhash64("other", seed), F.xxhash64("node", seed)
+        chosen = both.groupBy("node").agg(F.min(rank).alias("_rank"), F.min_by("other", rank).alias("_other"))
+        rounds.append(
+            staged(chosen.select("node", F.when(F.col("_rank") < own, F.col("_other")).otherwise(F.col("node")).alias("component")))
+        )
+        left = relabelled(current, rounds[-1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        current = staged(left.distinct())
+    roots = rounds.pop()
+    while rounds:
+        after = roots.select(F.col("node").alias("component"), F.col("component").alias("_root"))
+        roots = rounds.pop().join(after, "component", "left").select(
+            "node", F.coalesce("_root", "component").alias("component")
+        )
+    return roots

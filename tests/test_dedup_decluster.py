@@ -8,6 +8,7 @@ from quakeloom.operators import dedup
 from quakeloom.operators.decluster import (
     annotate_declustering, declustering_exclusion_summary, declustering_summary,
 )
+from quakeloom.operators.distributed import merged_components
 from quakeloom.operators.magnitude import select_catalogue_mode
 from tests.brute import duplicate_groups, greedy_clusters
 
@@ -74,6 +75,28 @@ def test_heavy_cells_are_split_not_listed(spark, monkeypatch):
     assert found_groups(result) == duplicate_groups(rows)
 
 
+def test_pairs_inside_a_group_are_not_looked_at_again(spark, monkeypatch):
+    rows = random_rows(5, 400, 1_500, 0.1, mags=(2.0, 2.5))
+    looked_at = []
+    exact = dedup.duplicate_edges
+
+    def counted(pairs, points, grid):
+        looked_at.append(pairs.count())
+        return exact(pairs, points, grid)
+
+    monkeypatch.setattr(dedup, "duplicate_edges", counted)
+    result = dedup.deduplicate_events(frame(spark, rows))
+    assert found_groups(result) == duplicate_groups(rows)
+    assert sum(looked_at) <= 10
+
+
+def test_components_of_a_path_and_of_pairs(spark):
+    edges = [(i + 1, i) for i in range(60)] + [(100 + 2 * i, 101 + 2 * i) for i in range(5)]
+    found = merged_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(found) == len({r.node for r in found}) == 71
+    assert len({r.component for r in found if r.node <= 60}) == 1 and len({r.component for r in found}) == 6
+
+
 def test_hot_copies_and_preference(spark):
     rows = [{"id": f"c{i:03d}", "t": 100, "lat": 38.0, "lon": -9.0, "mag": 3.0} for i in range(300)]
     rows[7] |= {"source": "IPMA", "status": "preliminary"}
