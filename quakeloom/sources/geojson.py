@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 POSITION = "array<double>"
 RING = f"array<{POSITION}>"
 FEATURE = "struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
-COLLECTION = f"struct<type:string,features:array<{FEATURE}>>"
+#: A collection or a single feature.
+TEXT = FEATURE.replace("type:string,", f"type:string,features:array<{FEATURE}>,", 1)
 
 
 def read_polygons(spark: SparkSession, path: str, names: Sequence[str] = ("name", "tectonic_domain")) -> DataFrame:
@@ -27,12 +28,15 @@ def polygons(texts: DataFrame, text: str = "value", names: Sequence[str] = ("nam
     without a name, are left out; rings of one feature are those of all its parts,
     holes among them.
     """
-    collection, single = F.from_json(text, COLLECTION), F.from_json(text, FEATURE)
-    features = F.when(collection["features"].isNotNull(), collection["features"]).otherwise(F.array(single))
-    found = texts.select(*order, F.posexplode(features).alias("at", "f"))
+    # What explode returns is not made again by a column that uses it, so each text is parsed once.
+    parsed = texts.select(*order, F.explode(F.array(F.from_json(text, TEXT))).alias("t"))
+    single = F.struct("t.type", "t.properties", "t.geometry")
+    features = F.when(F.col("t.features").isNotNull(), F.col("t.features")).otherwise(F.array(single))
+    found = parsed.select(*order, F.posexplode(features).alias("at", "f"))
     kind, coordinates = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     rings = F.when(kind == "Polygon", F.from_json(coordinates, f"array<{RING}>")).when(
         kind == "MultiPolygon", F.flatten(F.from_json(coordinates, f"array<array<{RING}>>"))
     )
     name = F.coalesce(*[F.col("f.properties")[n] for n in names])
-    return found.select(*order, "at", name.alias("name"), rings.alias("rings")).filter("name is not null and rings is not null")
+    made = found.select(*order, "at", name.alias("name"), F.explode(F.array(rings)).alias("rings"))
+    return made.filter("name is not null and rings is not null")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quakeloom.fixed_values import NEAR_REGION_DEGREES, OUTSIDE_REGION, REGIONS, UNCLASSIFIED_REGION
 from quakeloom.operators.geography import planar_area, ring_edges, with_region
 from quakeloom.operators.polygons import classify_by_layer, grid_index, layer, with_layer_region
+from quakeloom.plans.queries import QUERIES
+from quakeloom.session import staged
 from quakeloom.sources.geojson import polygons, read_polygons
 
 
@@ -121,3 +123,69 @@ def test_cells_keep_only_candidates_that_can_still_matter(spark):
     events = spark.createDataFrame([(0.0, 0.0), (1.5, 0.3), (4.995, 0.0), (5.1, 0.0), (9.0, 0.0)], "latitude double, longitude double")
     found = {r.latitude: tuple(r._region) for r in with_layer_region(events, index, 2.0).collect()}
     assert [found[v][0] for v in (0.0, 1.5, 5.1, 9.0)] == ["s000", "s025", "s199", OUTSIDE_REGION]
+
+
+def crowd(rng, small, large):
+    """Diamonds with holes over a plane of 2 x 2 degrees, small ones and, many times over, larger ones."""
+    radii = [rng.uniform(0.12, 0.2) for _ in range(small)] + [rng.uniform(0.3, 0.5) for _ in range(large)]
+    shapes = []
+    for k, r in enumerate(radii):
+        x, y = rng.uniform(0, 2), rng.uniform(0, 2)
+        rings = [[(x + s, y), (x, y + s), (x - s, y), (x, y - s)] for s in (r, r / 3)] + [[(x + 2 * r, y), (x + 1.9 * r, y + 0.1 * r), (x + 1.8 * r, y)]]
+        shapes.append((f"c{k:04d}", rings))
+    return shapes
+
+
+def test_parts_of_a_layer_give_what_all_of_it_gives(spark, monkeypatch):
+    monkeypatch.setattr("quakeloom.operators.polygons.FIRST", (2000, 2000), raising=False)
+    monkeypatch.setattr("quakeloom.operators.polygons.GROWTH", 2, raising=False)
+    tables = []
+    monkeypatch.setattr("quakeloom.operators.polygons.staged", lambda f: tables.append(staged(f)) or tables[-1])
+    rng = random.Random(5)
+    shapes = crowd(rng, 150, 60) + [("alone", [[(4.0, 1.0), (4.4, 1.0), (4.4, 1.5)]])]
+    rows = [(n, [[list(p) for p in r] for r in rings], k) for k, (n, rings) in enumerate(shapes)]
+    regions = layer(spark.createDataFrame(rows, "name string, rings array<array<array<double>>>, rank int"))
+    points = [(rng.uniform(-0.8, 3.0), rng.uniform(-0.8, 2.8)) for _ in range(500)] + [(rng.uniform(0, 2), rng.uniform(0, 2)) for _ in range(400)]
+    points += [(4.2, 1.1), (4.5, 1.2), (9.0, 9.0), (None, 1.0)] + [shapes[0][1][0][0], shapes[3][1][0][1]]
+    events = points_frame(spark, points).withColumn("event_id", F.col("id").cast("string"))
+    found = {int(r.event_id): (r.tectonic_domain, r.domain_confidence) for r in classify_by_layer(events, regions, 0.25).collect()}
+    whole = answers(with_layer_region(points_frame(spark, points), grid_index(regions, 0.25), 0.25))
+    assert found == whole
+    assert not [(p, found[i]) for i, p in enumerate(points[:-2]) if found[i][0] != expected(shapes, *p)]
+    parts = sum("turns" in t.columns for t in tables) - 1
+    assert parts > 2 and len({c for _, c in found.values()}) == 5
+
+
+def test_a_region_that_cannot_matter_takes_no_cells(spark, monkeypatch):
+    monkeypatch.setattr("quakeloom.operators.polygons.FIRST", (130000, 130000), raising=False)
+    monkeypatch.setattr("quakeloom.operators.polygons.HALVINGS", 0)
+    tables = []
+    monkeypatch.setattr("quakeloom.operators.polygons.staged", lambda f: tables.append(staged(f)) or tables[-1])
+    rng = random.Random(6)
+    points = points_frame(spark, [(rng.uniform(0.5, 1.5), rng.uniform(0.5, 1.5)) for _ in range(50)])
+    taken = []
+    for large in (100, 400):
+        rows = [(n, [[list(p) for p in r] for r in rings], k) for k, (n, rings) in enumerate(crowd(random.Random(6), 900, large))]
+        regions = layer(spark.createDataFrame(rows, "name string, rings array<array<array<double>>>, rank int"))
+        tables.clear()
+        classify_by_layer(points.withColumn("event_id", F.col("id").cast("string")), regions, 1 / 32).collect()
+        taken.append(sum(t.count() for t in tables))
+    assert taken[1] - taken[0] < 900
+
+
+def test_texts_are_parsed_once_and_in_many_tasks(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(json.dumps(feature("n", "Polygon", [ring(0, 0, 1, 5)])),)], "value string")
+    plan = layer(polygons(texts).withColumn("rank", F.col("at")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 3
+    spark.range(40).selectExpr("id as c_custkey", "concat('c', id) as c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+
+    class Reached(Exception):
+        pass
+
+    def reached(frame):
+        raise Reached(frame.rdd.getNumPartitions(), frame.count())
+
+    monkeypatch.setattr("quakeloom.plans.queries.staged", reached)
+    with pytest.raises(Reached) as found:
+        QUERIES["polygon_layer"](spark, str(tmp_path))
+    assert found.value.args[0] > 1 and found.value.args[1] == 40
